@@ -149,8 +149,10 @@ def distinct(values: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Each text's distinct values in ascending order; text must be ascending."""
     if not len(values):
         return values, text
-    order = np.lexsort((values, text))
-    v, t = values[order], text[order]
+    v = values.copy()
+    cut = np.flatnonzero(text[1:] != text[:-1]) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(v)]):
+        v[a:b].sort()
     new = np.ones(len(v), bool)
-    new[1:] = (v[1:] != v[:-1]) | (t[1:] != t[:-1])
-    return v[new], t[new]
+    new[1:] = (v[1:] != v[:-1]) | (text[1:] != text[:-1])
+    return v[new], text[new]
