@@ -11,7 +11,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, SLICE_TEXTS = 1 << 19, 1024
+
+# what Arrow frees goes back to the system, not to a pool that each worker keeps
+pa.set_memory_pool(pa.system_memory_pool())
 
 _M = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,20 +59,19 @@ class Slice:
 
 
 def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Nulls count as empty texts."""
+    """Slices of at most so many bytes (or one text) and SLICE_TEXTS texts. Nulls count as empty texts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
-    if not len(texts):
-        return
-    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    buf = texts.buffers()[2]
-    data = np.frombuffer(buf, np.uint8) if buf is not None and buf.size else np.zeros(0, np.uint8)
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
-        yield Slice(lo, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-        lo = hi
+    for at in range(0, len(texts), SLICE_TEXTS):
+        part = texts.slice(at, SLICE_TEXTS).cast(pa.large_string()).fill_null("")
+        off = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        buf = part.buffers()[2]
+        data = np.frombuffer(buf, np.uint8) if buf is not None and buf.size else np.zeros(0, np.uint8)
+        lo = 0
+        while lo < len(part):
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
+            yield Slice(at + lo, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            lo = hi
 
 
 @dataclass
