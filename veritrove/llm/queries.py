@@ -15,4 +15,67 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n_words=5, threshold=0.75)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard,)}
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritrove.llm.quality_rules import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritrove.llm.lm_scoring import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritrove.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritrove.llm.license_scan import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritrove.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritrove.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritrove.llm.warc import warc_round_trip
+
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from veritrove.llm.token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritrove.llm.html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard, op2_quality_rules, op3_lm_scoring, op4_best_fit_packing, op5_license_scan,
+        op6_decontamination, op7_line_dedup, op8_warc, op9_token_counts, op10_html_extraction,
+    )
+}
