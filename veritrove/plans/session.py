@@ -24,6 +24,16 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     )
 
 
+def workers_import(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where
     the session has it, else (tests, one machine) a temporary one of our own."""
