@@ -63,7 +63,8 @@ def word_counts(docs: DataFrame) -> tuple[int, dict[str, int]]:
     """Documents, and documents with each word of the templates. One row for each of the fixed words comes to the driver."""
     vocabulary = F.array(*map(F.lit, VOCABULARY))
     has = F.array_intersect(vocabulary, _words(F.coalesce("text", F.lit(""))))
-    counts = docs.select(F.explode(has).alias("word")).groupBy("word").count()
+    # outer: else the optimiser tests the array's size first, and takes the words twice
+    counts = docs.select(F.explode_outer(has).alias("word")).where("word is not null").groupBy("word").count()
     return docs.count(), {r["word"]: r["count"] for r in counts.collect()}
 
 
