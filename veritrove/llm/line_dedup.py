@@ -28,7 +28,9 @@ def line_sites(docs: DataFrame) -> DataFrame:
     """doc_id, site, line (hash) of each document's distinct non-blank lines. Null sources are the site ''."""
     lines = F.array_distinct(F.filter(_lines(), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
     site = F.xxhash64(F.coalesce("source", F.lit("")))
-    return docs.select("doc_id", site.alias("site"), F.explode(F.transform(lines, lambda x: F.xxhash64(x))).alias("line"))
+    # outer: else the optimiser tests the array's size first, and takes the lines twice
+    exploded = docs.select("doc_id", site.alias("site"), F.explode_outer(F.transform(lines, lambda x: F.xxhash64(x))).alias("line"))
+    return exploded.where("line is not null")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
