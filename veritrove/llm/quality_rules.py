@@ -111,5 +111,5 @@ def keep_good(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     flags = quality_features(tagged.select("text", F.col("_host").alias("host"))).select("host", "q.base_failed")
     bad = written(host_verdicts(flags, limit).where("host_failed").select(F.col("host").alias("_host")), "hosts")
     # the row number keeps the filter above the features; pushed down, it would take them anew inside lambdas
-    good = quality_features(tagged).withColumn("_row", F.monotonically_increasing_id()).where("not q.base_failed")
+    good = quality_features(tagged).withColumn("_row", F.monotonically_increasing_id()).where("not q.base_failed and _row >= 0")
     return good.join(bad, "_host", "left_anti").select(*docs.columns)
