@@ -1,6 +1,550 @@
-"""One query per operator over the driver's tables, and its DuckDB twin."""
+"""One query per operator over the driver's tables, and its DuckDB twin.
+
+Thresholds are set for these tables' vectors (their largest cosine is about
+0.5); the operators' own defaults are for text encoders. Scores are rounded to
+six places on both sides, as sums differ in their order.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veritrove.functions import chunk, vectors
+from veritrove.functions import text as T
+from veritrove.operators import corpus, incremental, memory, optimise, search, simjoin
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+NEAR = 0.4
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def band(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+def first_vector(b: DataFrame) -> list[float]:
+    return list(b.where("id = 0").select("vec").first()[0])
+
+
+def halves(b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    v = b.select("id", "vec")
+    return v.where("id % 2 = 0"), v.where("id % 2 = 1")
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(c, 6)
+
+
+def versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as sources, and the same with some edited and some gone."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source_file"), F.coalesce("text", F.lit("")).alias("text"))
+    edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    return docs, docs.where("doc_id % 11 <> 0").withColumn("text", edited)
+
+
+def whole_passages(docs: DataFrame) -> DataFrame:
+    """A passage for each document, whole."""
+    p = docs.select(F.col("doc_id").alias("passage_idx"), "source_file", F.lit(0).alias("char_offset"), F.length("text").alias("char_length"), T.content_hash("text").alias("content_hash"))
+    return p.withColumn("passage_id", T.passage_id("source_file", "char_offset", F.lit(0)))
+
+
+V = "v as (select vec_id as id, embedding::double[] as vec, label from embeddings), q as (select vec from v where id = 0)"
+EO = V + ", a as (select * from v where id % 2 = 0), b as (select * from v where id % 2 = 1)"
+DOT = "list_inner_product({}.vec, {}.vec)"
+AB = DOT.format("a", "b")
+EDGES = V + f", e as (select x.id as a, y.id as b from v x join v y on x.id < y.id where {DOT.format('x', 'y')} >= {NEAR})"
+REACH = EDGES + """, s as (select a, b from e union all select b, a from e),
+reach(id, root) as (select a, a from s union select s.b, r.root from reach r join s on s.a = r.id),
+c as (select id, min(root) as cluster_id from reach group by id)"""
+
+
+# search
+
+
+@query(f"with {V} select v.id, round({DOT.format('v', 'q')}, 6) as score from v, q order by {DOT.format('v', 'q')} desc, id limit 10")
+def search_topk(spark, d):
+    b = band(spark, d)
+    return search.top_k(b.select("id", "vec"), first_vector(b), 10).select("id", r6("score").alias("score"))
+
+
+@query(
+    f"with {V}, s as (select v.id, d.source, {DOT.format('v', 'q')} as score from v join documents d on d.doc_id = v.id, q), "
+    "r as (select *, row_number() over (partition by source order by score desc, id) as k from s) "
+    "select source, id, round(score, 6) as score from r where k = 1 order by r.score desc, id limit 5"
+)
+def search_dedup(spark, d):
+    b = band(spark, d)
+    tagged = b.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), "id").select("id", "vec", "source")
+    return search.top_k(tagged, first_vector(b), 5, ["source"]).select("source", "id", r6("score").alias("score"))
+
+
+@query(f"with {V} select id, label from v where id = 7")
+def locate(spark, d):
+    return band(spark, d).where("id = 7").select("id", "label")
+
+
+@query(
+    f"with {V}, n as (select x.id as a, y.id as b, {DOT.format('x', 'y')} as c from v x join v y on x.id <> y.id), "
+    "r as (select *, row_number() over (partition by a order by c desc, b) as rank from n) select a, b, round(c, 6) as cosine, rank from r where rank <= 5"
+)
+def neighbors_all(spark, d):
+    v = band(spark, d).select("id", "vec")
+    return simjoin.nearest(v, v, 5, same=True).select("a", "b", r6("cosine").alias("cosine"), "rank")
+
+
+@query(f"with {EO} select a.id, round(max({AB}), 6) as cosine from a, b group by a.id")
+def best_matches(spark, d):
+    a, b = halves(band(spark, d))
+    return simjoin.best_cosine(a, b).select("id", r6("cosine").alias("cosine"))
+
+
+# vectors
+
+
+@query(
+    f"""with {V}, p as (select x.id, list_zip(x.vec, y.vec) as z from v x join v y on y.id = x.id + 1 where x.id % 2 = 0)
+select id, round(list_sum(list_transform(z, lambda t: t[1] + t[2])), 6) as merged,
+round(list_sum(list_transform(z, lambda t: case when sign(t[1]) = sign(t[2]) then sign(t[1]) * least(abs(t[1]), abs(t[2])) else 0 end)), 6) as intersected,
+round(list_sum(list_transform(z, lambda t: greatest(t[1] - t[2], 0))), 6) as difference,
+round(list_sum(list_transform(z, lambda t: abs(t[1] - t[2]))), 6) as subtracted from p"""
+)
+def vector_algebra(spark, d):
+    v = band(spark, d)
+    y = v.select((F.col("id") - 1).alias("id"), F.col("vec").alias("y"))
+    p = v.where("id % 2 = 0").join(y, "id")
+
+    def total(c: Column) -> Column:
+        return r6(F.aggregate(c, F.lit(0.0), lambda s, x: s + x))
+
+    return p.select(
+        "id", total(vectors.merge("vec", "y")).alias("merged"), total(vectors.intersect("vec", "y")).alias("intersected"),
+        total(vectors.diff("vec", "y")).alias("difference"), total(F.transform(vectors.subtract("vec", "y"), F.abs)).alias("subtracted"),
+    )
+
+
+@query(
+    f"""with {V}, s as (select id, vec[1:16] as vec from v)
+select id, round(vec[1] / sqrt(list_inner_product(vec, vec)), 6) as first, round(vec[16] / sqrt(list_inner_product(vec, vec)), 6) as last from s"""
+)
+def leading_dimensions(spark, d):
+    v = band(spark, d).select("id", vectors.leading("vec", 16).alias("s"))
+    return v.select("id", r6(F.get("s", F.lit(0))).alias("first"), r6(F.get("s", F.lit(15))).alias("last"))
+
+
+@query(
+    f"""with {V}, w as (select r, list_transform(range(64), lambda k: (((r * 7 + k * 3) % 11) - 5)::double) as w from range(8) t(r)),
+p as (select id, r, list_inner_product(vec, w) as x from v, w), n as (select id, sqrt(sum(x * x)) as n from p group by id)
+select p.id, r as dimension, round(x / n, 6) as value from p join n on p.id = n.id"""
+)
+def project_band(spark, d):
+    w = [[float((r * 7 + k * 3) % 11 - 5) for k in range(64)] for r in range(8)]
+    p = simjoin.project_band(band(spark, d), w)
+    return p.select("id", F.posexplode("vec").alias("dimension", "value")).select("id", F.col("dimension").cast("long").alias("dimension"), r6("value").alias("value"))
+
+
+@query(
+    f"""with {V}, e as (select label, unnest(vec) as x, generate_subscripts(vec, 1) - 1 as pos from v),
+m as (select label, pos, avg(x) as m from e group by all), n as (select label, sqrt(sum(m * m)) as n from m group by label)
+select m.label, pos as dimension, round(m / n, 6) as value from m join n on m.label = n.label"""
+)
+def centroid_by_label(spark, d):
+    c = corpus.centroid(band(spark, d), ["label"])
+    return c.select("label", F.posexplode("vec").alias("dimension", "value")).select("label", F.col("dimension").cast("long").alias("dimension"), r6("value").alias("value"))
+
+
+# corpus operators
+
+
+@query("select source as source_file, count(*) as n from documents group by 1")
+def profile_sources(spark, d):
+    return corpus.profile(table(spark, d, "documents").withColumnRenamed("source", "source_file"))
+
+
+@query(
+    f"""with {EO}, d as (select a.id as i, b.id as j, {AB} as c from a, b),
+x as (select avg(m) as x from (select max(c) as m from d group by i)), y as (select avg(m) as y from (select max(c) as m from d group by j)),
+ma as (select pos, avg(x) as m from (select unnest(vec) as x, generate_subscripts(vec, 1) as pos from a) group by pos),
+mb as (select pos, avg(x) as m from (select unnest(vec) as x, generate_subscripts(vec, 1) as pos from b) group by pos),
+cc as (select sum(ma.m * mb.m) / (sqrt(sum(ma.m * ma.m)) * sqrt(sum(mb.m * mb.m))) as c from ma join mb on ma.pos = mb.pos)
+select round(c, 6) as centroid_cosine, round(x, 6) as coverage_a_in_b, round(y, 6) as coverage_b_in_a, round((x + y) / 2, 6) as overlap from cc, x, y"""
+)
+def compare_halves(spark, d):
+    c = corpus.compare(*halves(band(spark, d)), sample_size=None)
+    return c.select(*(r6(x).alias(x) for x in ("centroid_cosine", "coverage_a_in_b", "coverage_b_in_a", "overlap")))
+
+
+@query(f"with {EO} select a.id as a, b.id as b, round({AB}, 6) as cosine from a, b where {AB} >= {NEAR}")
+def intersect_halves(spark, d):
+    return corpus.intersect(*halves(band(spark, d)), NEAR, None).select("a", "b", r6("cosine").alias("cosine"))
+
+
+@query(f"with {EO} select a.id, round(max({AB}), 6) as cosine from a, b group by a.id having max({AB}) < {NEAR}")
+def unique_halves(spark, d):
+    return corpus.unique(*halves(band(spark, d)), NEAR).select("id", r6("cosine").alias("cosine"))
+
+
+@query(
+    f"""with {EO}, o as (select a.id, max({AB}) as c from a, b group by a.id), n as (select b.id, max({AB}) as c from a, b group by b.id)
+select case when c < {NEAR} then 'removed' else 'unchanged' end as bucket, id from o union all select 'added', id from n where c < {NEAR}"""
+)
+def corpus_diff_halves(spark, d):
+    return corpus.corpus_diff(*halves(band(spark, d)), NEAR)
+
+
+@query(
+    f"""with recursive {REACH}, s2 as (select cluster_id, count(*) as size from c group by 1),
+p as (select x.cluster_id, avg({DOT.format('vx', 'vy')}) as m from c x join c y on x.cluster_id = y.cluster_id and x.id < y.id join v vx on vx.id = x.id join v vy on vy.id = y.id group by 1)
+select c.cluster_id, c.id, s2.size, round(p.m, 6) as mean_cosine from c join s2 on c.cluster_id = s2.cluster_id join p on p.cluster_id = c.cluster_id"""
+)
+def near_duplicates(spark, d):
+    n = corpus.near_duplicates(band(spark, d).select("id", "vec"), NEAR)
+    return n.select("cluster_id", "id", "size", r6("mean_cosine").alias("mean_cosine"))
+
+
+@query(
+    f"""with recursive {V}, k as (select id, vec, case when id % 2 = 0 then 0 else 100000000 end + id as o from v),
+e as (select x.o as a, y.o as b from k x join k y on x.o < y.o where {DOT.format('x', 'y')} >= {NEAR}), s as (select a, b from e union all select b, a from e),
+reach(id, root) as (select a, a from s union select s.b, r.root from reach r join s on s.a = r.id), c as (select id, min(root) as m from reach group by id)
+select case when k.o < 100000000 then 'a' else 'b' end as origin, k.id from k left join c on c.id = k.o where c.m is null or c.m = k.o"""
+)
+def merge_keep(spark, d):
+    return corpus.merge(*halves(band(spark, d)), NEAR)
+
+
+@query(
+    f"""with {V}, s as (select v.id, label, {DOT.format('v', 'q')} as score from v, q where label < 3)
+select 'm' || label as label, id, round(score, 6) as score from s order by s.score desc, label, id limit 10"""
+)
+def compose_search(spark, d):
+    b = band(spark, d)
+    members = {f"m{k}": b.where(F.col("label") == k) for k in range(3)}
+    return corpus.compose(members, first_vector(b), 10).select("label", "id", r6("score").alias("score"))
+
+
+GRAMS = """w as (select id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') as w from {t}),
+g as (select id, len(w) as n, list_distinct(list_transform(range(greatest(len(w) - 2, 0)), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) as g from w)"""
+JACCARD = "case when {a}.n < 3 or {b}.n < 3 then 1.0 else len(list_intersect({a}.g, {b}.g)) / len(list_distinct(list_concat({a}.g, {b}.g)))::double end"
+
+
+@query(
+    f"with {V}, t as (select doc_id as id, text from documents where doc_id in (select vec_id from embeddings)), {GRAMS.format(t='t')}, "
+    f"p as (select x.id as a, y.id as b, {DOT.format('x', 'y')} as cosine from v x join v y on x.id < y.id where {DOT.format('x', 'y')} >= {NEAR}) "
+    f"select a, b, round(cosine, 6) as cosine, round({JACCARD.format(a='ga', b='gb')}, 6) as jaccard from p join g ga on ga.id = a join g gb on gb.id = b where {JACCARD.format(a='ga', b='gb')} <= 0.05"
+)
+def contradictions(spark, d):
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    c = corpus.contradictions(band(spark, d).select("id", "vec"), texts, NEAR, 0.05, None)
+    return c.select("a", "b", r6("cosine").alias("cosine"), r6("jaccard").alias("jaccard"))
+
+
+@query(
+    f"""with {V}, t as (select doc_id as id, text from documents where doc_id in (select vec_id from embeddings)), {GRAMS.format(t='t')},
+s as (select v.id, {DOT.format('v', 'q')} as score from v, q order by 2 desc, 1 limit 10), sup as (select * from s where score >= 0.25),
+n as (select sup.id as a, y.id as b, sup.score, {DOT.format('x', 'y')} as c from sup join v x on x.id = sup.id join v y on true where {DOT.format('x', 'y')} >= 0.3 and y.id not in (select id from sup)),
+f as (select n.*, row_number() over (partition by b order by n.score desc, a) as k from n join g ga on ga.id = a join g gb on gb.id = b where {JACCARD.format(a='ga', b='gb')} <= 0.3)
+select 'supporter' as role, id, round(score, 6) as score from sup union all select 'contradicting', b, round(c, 6) from f where k = 1"""
+)
+def audit(spark, d):
+    b = band(spark, d)
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    a = corpus.audit(b.select("id", "vec"), texts, first_vector(b), 10, 0.25, 0.3, 0.3)
+    return a.select("role", "id", r6("score").alias("score"))
+
+
+VERSIONS = """o as (select doc_id, 'doc/' || doc_id as source_file, coalesce(text, '') as text from documents),
+n as (select doc_id, source_file, case when doc_id % 7 = 0 then text || ' edited' else text end as text from o where doc_id % 11 <> 0)"""
+
+
+@query(
+    f"""with {VERSIONS} select o.doc_id as passage_idx, o.source_file,
+case when n.text is null then 'missing' when sha256(substring(n.text, 1, length(o.text))) = sha256(o.text) then 'verified' else 'drifted' end as drift_status from o left join n on n.doc_id = o.doc_id"""
+)
+def drift_report(spark, d):
+    old, new = versions(spark, d)
+    return corpus.drift(whole_passages(old), new.drop("doc_id")).select("passage_idx", "source_file", "drift_status")
+
+
+@query(
+    f"""with {V}, {VERSIONS}, s as (select v.id, {DOT.format('v', 'q')} as score from v, q order by 2 desc, 1 limit 10),
+h as (select s.*, o.source_file, case when n.text is null then 'missing' when substring(n.text, 1, length(o.text)) = o.text then 'verified' else 'drifted' end as st from s join o on o.doc_id = s.id left join n on n.doc_id = s.id)
+select round(max(score), 6) as top1_score, round(max(score) - list_sort(list(score), 'desc')[2], 6) as top1_top2_gap, count(distinct source_file) / count(*)::double as source_diversity,
+round(avg(case when st <> 'verified' then 1.0 else 0.0 end), 6) as drift_fraction from h"""
+)
+def evidence_metrics(spark, d):
+    b = band(spark, d)
+    old, new = versions(spark, d)
+    hits = search.top_k(b.select("id", "vec"), first_vector(b), 10).withColumnRenamed("id", "passage_idx")
+    m = search.confidence(search.verified(hits.join(whole_passages(old), "passage_idx"), new.drop("doc_id")))
+    return m.select(r6("top1_score").alias("top1_score"), r6("top1_top2_gap").alias("top1_top2_gap"), "source_diversity", r6("drift_fraction").alias("drift_fraction"))
+
+
+# hashes, ids, passages
+
+
+@query("select doc_id, 'sha256:' || sha256(text) as content_hash from documents")
+def content_hashes(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.content_hash("text").alias("content_hash"))
+
+
+@query("select doc_id, left(sha256(source || chr(31) || doc_id || chr(31) || n_chars), 16) as passage_id from documents")
+def passage_ids(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.passage_id("source", "doc_id", "n_chars").alias("passage_id"))
+
+
+@query("select doc_id, sha256(source || chr(0) || lang || chr(0)) as stable, 'workspace:' || left(sha256(source), 6) as workspace from documents")
+def stable_hashes(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.stable_hash(F.col("source"), F.col("lang")).alias("stable"), T.workspace_tag(F.col("source")).alias("workspace"))
+
+
+@query()
+def chunk_spans(spark, d):
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source_file"), "text")
+    return chunk.passages(docs).drop("text")
+
+
+@query("select 'doc/' || doc_id as source_file, length(text) as covered from documents where trim(text, chr(10) || chr(9) || ' ') <> ''")
+def chunk_coverage(spark, d):
+    """Passages of texts without blank lines follow one another without gaps, so they cover them."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source_file"), "text")
+    return chunk.passages(docs).groupBy("source_file").agg((F.max(F.col("char_offset") + F.col("char_length")) - F.min("char_offset")).cast("long").alias("covered"))
+
+
+@query("select row_number() over (order by source, doc_id) - 1 as passage_idx, source as source_file, doc_id from documents")
+def passage_numbers(spark, d):
+    p = table(spark, d, "documents").select(F.col("source").alias("source_file"), "doc_id")
+    return corpus.numbered(p, ["source_file", "doc_id"]).select("passage_idx", "source_file", "doc_id")
+
+
+# deltas
+
+
+@query(
+    f"""with {VERSIONS} select coalesce(o.source_file, n.source_file) as source_file,
+case when o.text is null then 'added' when n.text is null then 'removed' when o.text = n.text then 'unchanged' else 'updated' end as bucket from (select * from o where doc_id % 5 <> 0) o full join n on n.doc_id = o.doc_id"""
+)
+def bucketise(spark, d):
+    old, new = versions(spark, d)
+    p, q = whole_passages(old.where("doc_id % 5 <> 0")), whole_passages(new)
+    delta = incremental.bucketise(p, q.select("passage_id", "content_hash"))
+    names = p.select("passage_id", "source_file").union(q.select("passage_id", "source_file")).distinct()
+    return delta.join(names, "passage_id").select("source_file", "bucket")
+
+
+@query("select 'a b/' || source || '/' || doc_id as source_file, 'https://h/a%20b/' || source || '/' || doc_id as url, sha256(text) as sha256 from documents")
+def manifest(spark, d):
+    docs = table(spark, d, "documents").select(F.concat(F.lit("a b/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("source_file"), "text")
+    return incremental.manifest(docs, "https://h/")
+
+
+@query(
+    f"""with {VERSIONS} select coalesce(o.source_file, n.source_file) as source_file,
+case when o.text is null then 'added' when n.text is null then 'removed' when o.text = n.text then 'unchanged' else 'modified' end as bucket from (select * from o where doc_id % 5 <> 0) o full join n on n.doc_id = o.doc_id"""
+)
+def manifest_diff(spark, d):
+    old, new = versions(spark, d)
+    return incremental.manifest_diff(incremental.manifest(old.where("doc_id % 5 <> 0"), "https://h"), incremental.manifest(new, "https://h"))
+
+
+@query(f"with {VERSIONS} select o.source_file, case when n.text is null then 'missing' when n.text = o.text then 'verified' else 'drifted' end as status from o left join n on n.doc_id = o.doc_id")
+def freshness(spark, d):
+    old, new = versions(spark, d)
+    return incremental.freshness(incremental.manifest(old, "https://h"), incremental.manifest(new, "https://h"))
+
+
+# text
+
+
+@query("select doc_id, sha256(regexp_replace(text, '\\b[A-Fa-f0-9]{32,}\\b', '<REDACTED>', 'g')) as scrubbed from documents")
+def redact_hex(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("scrubbed"))
+
+
+@query("select doc_id, len(regexp_extract_all(text, '\\b[A-Fa-f0-9]{32,}\\b')) as long_hex from documents")
+def redact_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.redact_counts(F.col("text"))["long_hex"].cast("long").alias("long_hex"))
+
+
+@query(
+    f"""with w as (select doc_id, list_distinct(list_filter(regexp_extract_all(substring(text, 1, 200), '[A-Za-z][A-Za-z0-9\\-]*'),
+lambda t: length(t) >= 2 and (upper(t) = t or regexp_matches(t, '[0-9]')) and lower(t) not in ({', '.join(repr(w) for w in T.STOPWORDS)}))) as t from documents where not regexp_matches(text, '[''"]'))
+select doc_id, list_aggregate(list_sort(t), 'string_agg', ',') as tokens from w where len(t) > 0"""
+)
+def name_tokens(spark, d):
+    docs = table(spark, d, "documents").where("not text rlike '[\\'\"]'")
+    t = T.distinctive_tokens(F.substring("text", 1, 200))
+    return docs.select("doc_id", F.array_join(F.array_sort(t), ",").alias("tokens")).where("tokens <> ''")
+
+
+POLAR = "text || case doc_id % 3 when 0 then ' Always do.' when 1 then ' Don''t ever.' else '' end"
+
+
+@query(
+    f"""select doc_id, case when regexp_matches({POLAR}, '\\b(avoid|don''?t|never|stop|skip|disable|prohibit|forbid)\\b', 'i') then 'avoid'
+when regexp_matches({POLAR}, '\\b(prefer|want|like|use|always|enable|favo[u]?r|recommend)\\b', 'i') then 'prefer' else 'factual' end as polarity from documents where lang = 'en'"""
+)
+def polarity(spark, d):
+    t = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Always do.").when(F.col("doc_id") % 3 == 1, " Don't ever.").otherwise(""))
+    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", T.polarity(t).alias("polarity"))
+
+
+@query(
+    f"""with t as (select doc_id as id, text from documents), {GRAMS.format(t='t')}
+select a.id as doc_id, round({JACCARD.format(a='a', b='b')}, 6) as jaccard from g a join g b on b.id = a.id + 1"""
+)
+def jaccard_next(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "text")
+    n = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    return t.join(n, "doc_id").select("doc_id", r6(T.jaccard_3gram("text", "other")).alias("jaccard"))
+
+
+@query(
+    """with f as (select doc_id, replace(text, chr(10), ' ') as t from documents)
+select doc_id, case when length(t) <= 80 then t else substring(t, 1, 79) || '…' end as summary from f"""
+)
+def summaries(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.summary(F.col("text")).alias("summary"))
+
+
+@query(
+    """select event_id, round(case when date_diff('second', ts, timestamp '2024-02-01') <= 0 then value else value * pow(0.5, date_diff('second', ts, timestamp '2024-02-01') / 1209600.0) end, 6) as kept from events"""
+)
+def decay(spark, d):
+    e = table(spark, d, "events")
+    age = (F.unix_seconds(F.lit("2024-02-01").cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))).cast("double")
+    return e.select("event_id", r6(T.decay(F.col("value"), age, F.lit(14 * 86_400.0))).alias("kept"))
+
+
+@query("select source, doc_id, n_chars from (select *, sum(n_chars) over (partition by source order by doc_id) as s, row_number() over (partition by source order by doc_id) as k from documents) where s <= 12000 or k = 1")
+def budget_cut(spark, d):
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return search.budget_cut(docs, F.col("n_chars"), 12_000, ["doc_id"], ["source"])
+
+
+# memory
+
+
+@query(
+    """with g as (select conv_id, sum(case when role = 'assistant' then length(coalesce(text, '')) else 0 end) as said, sum(case when role = 'user' then 1 else 0 end) as asks,
+sum(case when role = 'user' then length(coalesce(text, '')) else 0 end) as asked from conversations group by 1),
+r as (select conv_id, case when said < 200 then 'short_assistant' when asks <= 1 and asked <= 30 then 'trivial' else '' end as reason from g) select conv_id, reason = '' as captured, reason from r"""
+)
+def capture_gate(spark, d):
+    return memory.capture_gate(table(spark, d, "conversations").withColumn("n_tools", F.lit(0)), require_tool_use=False)
+
+
+ROWS = V + """, rows as (select id as row_id, vec, id % 6 as recurrence_count, id % 13 = 0 as is_bad, case when label < 5 then 'cross-workspace' else 'workspace:other' end as scope,
+case id % 3 when 0 then 'prefer' when 1 then 'avoid' else 'factual' end as polarity from v where id > 0)"""
+
+
+def memory_rows(spark: SparkSession, d: str) -> DataFrame:
+    b = band(spark, d).where("id > 0")
+    primary = F.when(F.col("id") % 3 == 0, "prefer").when(F.col("id") % 3 == 1, "avoid").otherwise("factual")
+    scope = F.when(F.col("label") < 5, "cross-workspace").otherwise("workspace:other")
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return b.select(
+        F.col("id").alias("row_id"), "vec", (F.col("id") % 6).alias("recurrence_count"), (F.col("id") % 13 == 0).alias("is_bad"), F.array(primary, scope).alias("polarity"),
+        stamp.alias("created_at"), stamp.alias("last_corroborated_at"), F.when(F.col("id") % 4 == 0, "manual").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("transcript_hash"),
+    )
+
+
+@query(
+    f"""with {ROWS}, e as (select row_id, recurrence_count, {DOT.format('rows', 'q')} as score from rows, q where not is_bad and scope = 'cross-workspace')
+select row_id, round(score, 6) as score from e where score >= 0.2 and recurrence_count >= 3 order by e.score desc, row_id limit 5"""
+)
+def recall_gated(spark, d):
+    q = first_vector(band(spark, d))
+    return memory.recall(memory_rows(spark, d), q, None, 0.2, 0.0, 3, 5).select("row_id", r6("score").alias("score"))
+
+
+@query(
+    f"""with {V}, t as (select v.id, {DOT.format('v', 'q')} * (case id % 3 when 0 then 0.5 when 1 then 0.3 else 0.2 end)::double * ((label + 1) / 10.0)::double as score from v, q)
+select id, round(score, 6) as score from t order by t.score desc, id limit 10"""
+)
+def tier_recall(spark, d):
+    b = band(spark, d)
+    tier = F.when(F.col("id") % 3 == 0, "working").when(F.col("id") % 3 == 1, "episodic").otherwise("semantic")
+    e = b.select("id", "vec", tier.alias("tier"), ((F.col("label") + 1) / 10.0).alias("salience"))
+    return memory.tier_recall(e, first_vector(b), 10).select("id", r6("score").alias("score"))
+
+
+@query(
+    """with e as (select event_id as id, case event_type when 'click' then 'working' when 'view' then 'episodic' else 'semantic' end as tier, value, date_diff('second', ts, timestamp '2024-02-01') as age from events),
+f as (select *, value * case tier when 'working' then pow(0.5, greatest(age, 0) / 86400.0) when 'episodic' then pow(0.5, greatest(age, 0) / 1209600.0) else 1 end as eff from e),
+r as (select *, row_number() over (partition by tier order by eff desc, id) as k from f where eff >= 0.001)
+select id, tier, round(eff, 6) as effective from r where k <= case tier when 'working' then 200 when 'episodic' then 2000 else 20000 end"""
+)
+def retention_keep(spark, d):
+    e = table(spark, d, "events")
+    tier = F.when(F.col("event_type") == "click", "working").when(F.col("event_type") == "view", "episodic").otherwise("semantic")
+    rows = e.select(F.col("event_id").alias("id"), tier.alias("tier"), F.col("value").alias("salience"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_utc"))
+    return memory.retained(rows, F.lit("2024-02-01").cast("timestamp")).select("id", "tier", r6("effective").alias("effective"))
+
+
+@query(f"with recursive {REACH} select cluster_id as id, count(*) as recurrence_count from c group by 1 having count(*) >= 3")
+def consolidate(spark, d):
+    return memory.consolidated(band(spark, d), NEAR)[0]
+
+
+STAMPED = ROWS.replace("from v where id > 0)", "strftime(to_timestamp(1700000000 + id * 3600) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as created_at, case when id % 4 = 0 then 'manual' else 't' || id end as transcript_hash from v where id > 0)").replace("end as polarity strftime", "end as polarity, strftime")
+
+
+@query(f"with {STAMPED} select row_id, recurrence_count from rows where polarity = 'prefer' and recurrence_count >= 2 and not is_bad order by recurrence_count desc, created_at desc limit 20")
+def memory_list(spark, d):
+    return memory.listed(memory_rows(spark, d), "prefer", 2, True, 20).select("row_id", "recurrence_count")
+
+
+@query(f"with {STAMPED} select row_id from rows where recurrence_count <= 2 and created_at < '2023-11-20T00:00:00Z'")
+def memory_gc(spark, d):
+    return memory.gc_doomed(memory_rows(spark, d), most_recurrence=2, before="2023-11-20T00:00:00Z")
+
+
+@query(f"with {STAMPED} select row_id from rows where polarity = 'factual' and transcript_hash <> 'manual' and created_at > '2023-11-20T00:00:00Z'")
+def distil_select(spark, d):
+    return memory.distil_input(memory_rows(spark, d), watermark="2023-11-20T00:00:00Z").select("row_id")
+
+
+@query(
+    f"""with {ROWS}, c as (select * from rows where row_id % 10 = 1), r as (select * from rows where row_id % 10 <> 1),
+j as (select c.row_id as id, r.row_id, {DOT.format('c', 'r')} as cosine from c join r on c.polarity = r.polarity where {DOT.format('c', 'r')} >= 0.3),
+k as (select *, row_number() over (partition by id order by cosine desc, row_id desc) as k from j) select id, row_id, round(cosine, 6) as cosine from k where k = 1"""
+)
+def dedupe_match(spark, d):
+    rows = memory_rows(spark, d)
+    c = rows.where("row_id % 10 = 1").withColumnRenamed("row_id", "id")
+    return memory.dedupe_match(c, rows.where("row_id % 10 <> 1"), 0.3).select("id", "row_id", r6("cosine").alias("cosine"))
+
+
+# training
+
+
+@query("""with h as (select doc_id, source, sha256('0:' || doc_id) as h from documents), r as (select *, row_number() over (partition by source order by h) as k from h) select doc_id, source from r where k <= 3 order by h limit 6000""")
+def stratified_cap(spark, d):
+    p = table(spark, d, "documents").select(F.col("doc_id").alias("passage_idx"), F.col("source").alias("source_file"))
+    return optimise.stratified(p).select(F.col("passage_idx").alias("doc_id"), F.col("source_file").alias("source"))
+
+
+@query(
+    f"""with {V}, n as (select x.id as a, y.id as b, {DOT.format('x', 'y')} as c from v x, v y), r as (select *, row_number() over (partition by a order by c desc, b) as k from n),
+h as (select a, b, row_number() over (partition by a order by sha256('0:' || a || ':' || b)) - 1 as slot from r where k <= 64 and a <> b) select a, b, slot from h where slot < 7"""
+)
+def hard_negatives(spark, d):
+    v = band(spark, d).select("id", "vec")
+    h = optimise.hard_negatives(v, v, v.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    return h.select("a", "b", F.col("slot").cast("long").alias("slot"))
