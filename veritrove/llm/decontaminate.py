@@ -5,8 +5,9 @@ counts over the whole corpus, are divided by the item's score against itself,
 so a passage that holds all of an item's words scores 1 whatever its length.
 Passages are windows of twice the longest item, half overlapping, so each
 item-long stretch of a document lies whole in one of them. A window whose
-summed upper bounds stay under the threshold is passed over at once; the
-others are run through block-max WAND, which retrieves all items at or above
+summed upper bounds stay under the threshold is passed over at once, and so is
+one whose summed maxima stay under it in every group of items; the others are
+run through block-max WAND, which retrieves all items at or above
 it. Retrieved items are verified: enough of the question's and enough of the
 answer's word pairs must occur in the window.
 
@@ -31,6 +32,8 @@ K1, B = 1.2, 0.75
 THRESHOLD, QUESTION_SHARE, ANSWER_SHARE = 0.5, 0.5, 0.5
 #: Items and words in a block of items; postings in a block of a posting list.
 BLOCK_ITEMS, BLOCK_WORDS, POSTINGS = 20_000, 2_000_000, 32
+#: Numbers in an index's table of group maxima, at most.
+GROUP_CELLS = 4_000_000
 
 WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -72,6 +75,7 @@ class Index:
     vocabulary: np.ndarray
     bound: np.ndarray = field(default=None)
     postings: list[tuple[list[int], list[float], list[float]]] = field(default=None)
+    groups: np.ndarray = field(default=None)  # for each word its largest impact in each group of neighbouring items
 
     def weigh(self, n_docs: int, df: np.ndarray) -> None:
         """Sets impacts, bounds and block maxima; df in the order of the vocabulary."""
@@ -88,6 +92,10 @@ class Index:
             best.extend(max(impacts[a : a + POSTINGS]) for a in range(0, len(impacts), POSTINGS))
         self.postings = lists
         self.bound = np.array([max(x[1], default=0.0) for x in lists])
+        n = max(1, min(-(-len(self.items) // 4), GROUP_CELLS // max(1, len(lists))))
+        self.groups = np.zeros((len(lists), n), np.float32)
+        for w, (at, impacts, _) in enumerate(lists):
+            np.maximum.at(self.groups[w], np.array(at, np.int64) * n // len(self.items), np.array(impacts, np.float32))
 
 
 def block_max_wand(postings: list[tuple[list[int], list[float], list[float]]], terms: list[int], bound: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -245,7 +253,7 @@ def _leaks(texts: pa.Array, look: Lookup, indexes: list[Index], local: list[np.n
                 a, z, r = int(start[j]), int(end[j]), int(row[j])
                 terms = np.unique(number[a:z])
                 terms = terms[terms >= 0]
-                if x.bound[terms].sum() < threshold - 1e-6:
+                if x.groups[terms].sum(0).max() < threshold - 1e-4:
                     continue
                 found = block_max_wand(x.postings, terms.tolist(), x.bound, threshold)
                 if not found:
