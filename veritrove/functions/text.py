@@ -149,7 +149,8 @@ def decay(score: Column, age: Column, half_life: Column) -> Column:
 def age_seconds(stamp: Column, now: Column) -> Column:
     """Seconds since an ISO stamp: 0 for '', infinite where it can't be read, never below 0."""
     then = F.unix_seconds(F.try_to_timestamp(stamp))
-    return F.when(stamp == "", 0.0).otherwise(F.coalesce(F.greatest(F.unix_seconds(now) - then, F.lit(0)).cast("double"), F.lit(float("inf"))))
+    age = F.greatest(F.unix_seconds(now) - then, F.lit(0)).cast("double")  # greatest() passes over nulls
+    return F.when(stamp == "", 0.0).when(then.isNull(), F.lit(float("inf"))).otherwise(age)
 
 
 def iso(ts: Column) -> Column:

@@ -1,7 +1,7 @@
 """A knowledge model on disk: Parquet tables in snapshot folders, and a pointer that is flipped last.
 
 Layout: <path>/<snapshot>/{metadata.json, passages, bands/band=..., sources, manifest}
-and <path>/_CURRENT. Files go through Spark or Hadoop's file systems, so a
+and <path>/CURRENT. Files go through Spark or Hadoop's file systems, so a
 model can live wherever the session's tables do. One writer at a time.
 """
 
@@ -93,13 +93,13 @@ def save(m: Model, path: str) -> str:
     meta = {**m.metadata, "format_version": FORMAT, "bands": sorted(m.bands)}
     meta |= {"has": [n for n in ("sources", "manifest") if getattr(m, n) is not None]}
     _put(spark, f"{at}/metadata.json", json.dumps(meta, sort_keys=True))
-    _put(spark, f"{path.rstrip('/')}/_CURRENT", snap)
+    _put(spark, f"{path.rstrip('/')}/CURRENT", snap)
     return snap
 
 
 def load(spark: SparkSession, path: str) -> Model:
     """The current snapshot. Unknown metadata stays; another format version is refused."""
-    snap = _get(spark, f"{path.rstrip('/')}/_CURRENT").strip()
+    snap = _get(spark, f"{path.rstrip('/')}/CURRENT").strip()
     at = f"{path.rstrip('/')}/{snap}"
     meta = json.loads(_get(spark, f"{at}/metadata.json"))
     if meta.get("format_version") != FORMAT:
