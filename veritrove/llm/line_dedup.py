@@ -48,11 +48,11 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def _marked(docs: DataFrame, min_sites: int) -> DataFrame:
-    """docs with `_drop`, the hashes of the lines that leave each row (null for none)."""
-    lines = line_sites(docs)
+    """_doc (the row), doc_id, text and `_drop`, the hashes of the lines that leave each row (null for none)."""
+    lines = line_sites(docs.select("doc_id", "text", "source"))
     flagged = written(boilerplate(lines, min_sites), "boilerplate")
     hits = lines.join(flagged, "line").where("keeper is null or doc_id > keeper").groupBy("doc_id").agg(F.collect_set("line").alias("_drop"))
-    return docs.join(hits, "doc_id", "left")
+    return docs.select(F.struct("*").alias("_doc"), "doc_id", "text").join(hits, "doc_id", "left")
 
 
 def _kept() -> F.Column:
@@ -78,6 +78,7 @@ def strip_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     d = _marked(docs, min_sites)
     changed = F.col("_drop").isNotNull()
     d = d.withColumn("text", F.when(changed, F.array_join(_kept(), "\n")).otherwise(F.col("text")))
+    row = F.col("_doc").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return d.where(~changed | (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "")).select(*docs.columns)
+        row = row.withField("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("_doc.n_chars")))
+    return d.where(~changed | (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "")).select(row.alias("_doc")).select("_doc.*")

@@ -107,9 +107,10 @@ def keep_good(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 
     Features are taken twice, once to judge hosts and once to filter, as that
     moves no text."""
-    tagged = docs.withColumn("_host", _host())
+    # the row goes along as a struct, so its names can't clash with those used here
+    tagged = docs.select(F.struct("*").alias("_doc"), "text", _host().alias("_host"))
     flags = quality_features(tagged.select("text", F.col("_host").alias("host"))).select("host", "q.base_failed")
     bad = written(host_verdicts(flags, limit).where("host_failed").select(F.col("host").alias("_host")), "hosts")
     # the row number keeps the filter above the features; pushed down, it would take them anew inside lambdas
     good = quality_features(tagged).withColumn("_row", F.monotonically_increasing_id()).where("not q.base_failed and _row >= 0")
-    return good.join(bad, "_host", "left_anti").select(*docs.columns)
+    return good.join(bad, "_host", "left_anti").select("_doc.*")
