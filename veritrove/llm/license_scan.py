@@ -47,7 +47,7 @@ VOCABULARY = sorted({w for _, _, t in TEMPLATES for w in t.split()})
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(text: Column) -> Column:
@@ -91,7 +91,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     maybe = F.col("t").rlike(f"(?i)({keys})") | F.col("t").rlike("(?i)cc")
     d = d.select(
         "doc_id",
-        F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"),
+        F.regexp_count("t", F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"),
         F.when(maybe, _words(F.col("t"))).otherwise(none).alias("w"),
     )
     places = F.filter(
