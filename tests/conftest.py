@@ -8,8 +8,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from veritrove.plans.session import local_session
+    from veritrove.plans.session import local_session, workers_import
 
-    s = local_session("4", 4)
+    s = workers_import(local_session("4", 4))
     s.sparkContext.setLogLevel("ERROR")
     return s
