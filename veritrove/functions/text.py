@@ -188,3 +188,15 @@ def valid_polarity(tags: Column) -> Column:
     """tags, or an error unless exactly one of them is a primary."""
     primaries = F.filter(tags, lambda t: t.isin("prefer", "avoid", "factual"))
     return F.when(F.size(primaries) == 1, tags).otherwise(F.raise_error(F.lit("polarity needs exactly one primary")).cast("array<string>"))
+
+
+def fingerprint(parts: list[Column]) -> Column:
+    """An aggregate: 16 hex digits that depend on all rows but not on their order, so it merges by partial sums."""
+    digits = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *(p.cast("string") for p in parts)), 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    return F.substring(F.sha2(F.sum(digits).cast("decimal(38,0)").cast("string"), 256), 1, 16)
+
+
+def watched_path(path: Column, roots: list[str], suffixes: list[str], blocked: list[str]) -> Column:
+    """Under a root, of a suffix, and in no blocked folder."""
+    under = functools.reduce(lambda a, b: a | b, [F.startswith(path, F.lit(r.rstrip("/") + "/")) for r in roots])
+    return under & F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(*suffixes) & ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, blocked)))

@@ -548,3 +548,106 @@ def hard_negatives(spark, d):
     v = band(spark, d).select("id", "vec")
     h = optimise.hard_negatives(v, v, v.select(F.col("id").alias("a"), F.col("id").alias("b")))
     return h.select("a", "b", F.col("slot").cast("long").alias("slot"))
+
+
+# further operators
+
+
+@query("select left(sha256(cast(sum(('0x' || left(sha256(doc_id || chr(31) || source || chr(31) || text), 12))::bigint) as varchar)), 16) as fingerprint from documents")
+def corpus_fingerprint(spark, d):
+    return table(spark, d, "documents").agg(T.fingerprint([F.col("doc_id"), F.col("source"), F.col("text")]).alias("fingerprint"))
+
+
+@query("select round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events")
+def percentiles(spark, d):
+    return table(spark, d, "events").agg(r6(F.percentile("value", 0.5)).alias("p50"), r6(F.percentile("value", 0.95)).alias("p95"))
+
+
+@query(
+    """with r as (select event_id, value / 100.0 as top1, (event_id % 10) / 10.0 as drift from events)
+select event_id, mode, top1 < least_score or drift > most_drift as suppressed from r, (values ('augment', 0.30, 0.30), ('knowledge', 0.15, 1.0), ('constrain', 0.0, 1.0)) m(mode, least_score, most_drift)"""
+)
+def suppression(spark, d):
+    e = table(spark, d, "events").select("event_id", (F.col("value") / 100.0).alias("top1_score"), ((F.col("event_id") % 10) / 10.0).alias("drift_fraction"))
+    out = None
+    for mode in search.MODES:
+        part = search.suppressed(e, mode).select("event_id", F.lit(mode).alias("mode"), "suppressed")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query(
+    """with o as (select conv_id, turn, role, coalesce(text, '') as text from conversations),
+g as (select conv_id, sum(case when role = 'assistant' then length(text) else 0 end) as said, sum((role = 'user')::int) as asks, sum(case when role = 'user' then length(text) else 0 end) as asked from o group by 1),
+k as (select conv_id from g where said >= 200 and not (asks <= 1 and asked <= 30))
+select o.conv_id, sha256(substring(regexp_replace(string_agg(text, chr(10) || chr(10) order by turn, text) filter (role = 'assistant'), '\\b[A-Fa-f0-9]{32,}\\b', '<REDACTED>', 'g'), 1, 24000)) as body,
+sha256(string_agg(role || chr(0) || text || chr(0), '' order by turn, role, text)) as transcript_hash from o join k on k.conv_id = o.conv_id group by 1"""
+)
+def captured_rows(spark, d):
+    m = table(spark, d, "conversations").withColumn("n_tools", F.lit(0))
+    return memory.captured(m, "workspace:x", "2024-01-01T00:00:00Z").select("conv_id", F.sha2("text", 256).alias("body"), "transcript_hash")
+
+
+@query("select doc_id, case when doc_id % 2 = 0 then 'prefer' else 'factual' end as primary_polarity, 'migrated:' || case when doc_id % 3 = 0 then 'working' else 'semantic' end as transcript_hash from documents where lang = 'de'")
+def migrated_rows(spark, d):
+    docs = table(spark, d, "documents").where("lang = 'de'")
+    text = F.concat("text", F.when(F.col("doc_id") % 2 == 0, " We prefer it.").otherwise(""))
+    e = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("|"), text).alias("text"), F.when(F.col("doc_id") % 3 == 0, "working").otherwise("semantic").alias("tier"), F.lit("").alias("created_utc"), F.lit(1).alias("recurrence_count"))
+    m = memory.migrated(e, "workspace:x")
+    return m.select(F.substring_index("text", "|", 1).cast("long").alias("doc_id"), F.get("polarity", F.lit(0)).alias("primary_polarity"), "transcript_hash")
+
+
+@query(
+    f"""with {V}, e as (select id, vec, case id % 3 when 0 then 'semantic' when 1 then 'episodic' else 'working' end as tier from v), k as (select * from e where tier <> 'working'),
+m as (select pos, avg(x) as m from (select unnest(vec) as x, generate_subscripts(vec, 1) as pos from k) group by pos), n as (select sqrt(sum(m * m)) as n from m), c as (select list(m / n order by pos) as vec from m, n),
+s as (select id, tier, list_inner_product(k.vec, c.vec) as s from k, c) select id, tier, round(s * case tier when 'semantic' then 1.0 else 0.7 end::double, 6) as score from s where s.s >= 0.05 order by s.s * case tier when 'semantic' then 1.0 else 0.7 end::double desc, id limit 10"""
+)
+def memory_primer(spark, d):
+    tier = F.when(F.col("id") % 3 == 0, "semantic").when(F.col("id") % 3 == 1, "episodic").otherwise("working")
+    return memory.primer(band(spark, d).select("id", "vec", tier.alias("tier")), 10, 0.05).select("id", "tier", r6("score").alias("score"))
+
+
+@query(
+    f"""with {VERSIONS}, b as (select o.source_file, case when n.text is null then 'removed' when o.text = n.text then 'unchanged' else 'updated' end as bucket, o.doc_id from o left join n on n.doc_id = o.doc_id)
+select source_file, case when bucket = 'removed' and doc_id % 22 = 0 then 'unchanged' else bucket end as bucket from b"""
+)
+def skipped_protected(spark, d):
+    old, new = versions(spark, d)
+    p, q = whole_passages(old), whole_passages(new)
+    delta = incremental.bucketise(p, q.select("passage_id", "content_hash"))
+    skipped = old.where("doc_id % 22 = 0").select("source_file", F.lit("decode").alias("reason"))
+    kept = incremental.protect_skipped(delta, p, skipped)
+    return kept.join(p.select("passage_id", "source_file"), "passage_id").select("source_file", "bucket")
+
+
+@query("select event_id, event_type in ('click', 'view') as watched from events")
+def watched_paths(spark, d):
+    e = table(spark, d, "events")
+    path = F.concat(F.lit("/r/"), F.when(F.col("event_type").isin("click", "view"), "docs").otherwise("node_modules"), F.lit("/"), F.col("event_id").cast("string"), F.lit(".MD"))
+    return e.select("event_id", T.watched_path(path, ["/r"], [".md"], ["node_modules", ".git"]).alias("watched"))
+
+
+@query("select doc_id, len(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) as sentences from documents")
+def sentence_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
+
+
+@query()
+def ann_search(spark, d):
+    from veritrove.operators import ann
+
+    b = band(spark, d).select("id", "vec")
+    cells = ann.fit_cells(b, 8)
+    return ann.search(ann.indexed(b, cells), cells, first_vector(b), 10, 4).select("id", r6("score").alias("score"))
+
+
+@query()
+def mined_projection(spark, d):
+    """A projection trained on noisy copies of the band, applied to it: the nested dimensions' first value."""
+    import numpy as np
+
+    b = band(spark, d).select("id", "vec")
+    x = np.array([list(r["vec"]) for r in b.where("id < 256").orderBy("id").collect()])
+    q = x + 0.05 * np.random.default_rng(0).normal(size=x.shape)
+    w = optimise.train(q / np.linalg.norm(q, axis=1, keepdims=True), x, dims=(16, 32), steps=60)
+    return simjoin.project_band(b, w).select("id", r6(F.get("vec", F.lit(0))).alias("first"))
