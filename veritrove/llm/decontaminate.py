@@ -8,8 +8,9 @@ item-long stretch of a document lies whole in one of them. A window whose
 summed upper bounds stay under the threshold is passed over at once, and so is
 one whose summed maxima stay under it in every group of items; the others are
 run through block-max WAND, which retrieves all items at or above
-it. Retrieved items are verified: enough of the question's and enough of the
-answer's word pairs must occur in the window.
+it. Retrieved items are verified: enough of the question's word pairs and
+enough of the answer's words must occur in the window (answers are short, so
+one changed word would take most of their pairs).
 
 The items are taken in blocks of bounded size, each broadcast in turn.
 """
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from veritrove.llm import textvec as tv
 
 K1, B = 1.2, 0.75
-#: Share of an item's own score that a passage must reach; word pairs of question and answer that must occur in it.
-THRESHOLD, QUESTION_SHARE, ANSWER_SHARE = 0.5, 0.5, 0.5
+#: Share of an item's own score that a passage must reach; of the question's word pairs and the answer's words that must occur in it.
+THRESHOLD, QUESTION_SHARE, ANSWER_SHARE = 0.5, 0.4, 0.5
 #: Items and words in a block of items; postings in a block of a posting list.
 BLOCK_ITEMS, BLOCK_WORDS, POSTINGS = 20_000, 2_000_000, 32
 #: Numbers in an index's table of group maxima, at most.
@@ -63,7 +64,7 @@ def item_of(item_id: int, text: str | None) -> Item:
         byte = len(body[: mark[-1]].encode())
         split = int(np.searchsorted(w.start, byte))
     split = min(max(split, 1), max(len(h) - 1, 0))
-    return Item(item_id, h, _grams(h[:split] or h), _grams(h[split:] or h))
+    return Item(item_id, h, _grams(h[:split] or h), frozenset(h[split:] or h))
 
 
 @dataclass
