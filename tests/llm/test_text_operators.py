@@ -265,6 +265,10 @@ def test_decontamination(spark):
     clean = [prose(rng, int(rng.integers(5, 600)), 3000) for _ in range(60)]
     texts = [*clean, *ODD[:9]]
     leaks = set()
+    items.append("Élan ñu ß. " + " ".join(f"Ó{k}é" for k in range(30)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("score", F.lit(1))
+    texts.append("x " * 9 + items[-1].upper())  # case is no matter in any script
+    leaks.add((len(texts) - 1, len(items) - 1))
     for k in range(5):
         texts.append(f"{clean[k]} {items[k].upper()}, {clean[k + 9]}")
         leaks.add((len(texts) - 1, k))

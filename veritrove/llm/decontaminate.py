@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,13 +53,21 @@ def _grams(words: list[int]) -> frozenset:
     return frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset(words)
 
 
+def _slices(texts: pa.Array) -> Iterator[tv.Slice]:
+    """Slices of the texts in lower case, of any script."""
+    for at in range(0, len(texts), tv.SLICE_TEXTS):
+        for s in tv.slices(pc.utf8_lower(texts.slice(at, tv.SLICE_TEXTS).cast(pa.large_string()))):
+            s.lo += at
+            yield s
+
+
 def item_of(item_id: int, text: str | None) -> Item:
     """The answer is what follows an 'answer:' mark, else the last sentence, else the last quarter of the words."""
-    s = next(tv.slices(pa.array([text or ""])))
+    s = next(_slices(pa.array([text or ""])))
     w = tv.words(s, is_word=WORD_BYTES)
     h = tv.hashes(w).tolist()
-    body = (text or "").rstrip()
-    mark = [m.end() for m in re.finditer(r"(?i)\banswer\s*:", body)] or [m.end() for m in re.finditer(r"[.?!]\s+", body)]
+    body = s.data.tobytes().decode().rstrip()
+    mark = [m.end() for m in re.finditer(r"\banswer\s*:", body)] or [m.end() for m in re.finditer(r"[.?!]\s+", body)]
     split = len(h) - max(1, len(h) // 4)
     if mark:
         byte = len(body[: mark[-1]].encode())
@@ -203,7 +212,7 @@ def _document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.n
         look = Lookup(shared.value)
         total, n = np.zeros(len(shared.value), np.int64), 0
         for b in batches:
-            for s in tv.slices(b.column(0)):
+            for s in _slices(b.column(0)):
                 w = tv.words(s, is_word=WORD_BYTES)
                 at = look(tv.hashes(w))
                 text = np.repeat(np.arange(len(s)), w.counts)
@@ -235,7 +244,7 @@ def _prepared(docs: DataFrame, indexes: list[Index]):
 
 def _leaks(texts: pa.Array, look: Lookup, indexes: list[Index], local: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int, float, float, float, int]]:
     """(row, item_id, score, question share, answer share, first word) of the leaks in a batch, the best window for each item."""
-    for s in tv.slices(texts):
+    for s in _slices(texts):
         w = tv.words(s, is_word=WORD_BYTES)
         h = tv.hashes(w)
         at = look(h)
