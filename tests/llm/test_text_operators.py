@@ -89,8 +89,10 @@ def test_jaccard_components(spark, monkeypatch):
     texts = ODD[:9] + near_copies(rng)
     d = frame(spark, texts)
     want = brute_components(list(enumerate(texts)))
-    for bucket in (16, 3):  # small ones make the rounds for large buckets run
+    for bucket, sample, hot in ((16, 64, 64), (3, 64, 64), (3, 1, 4), (16, 1, 17)):  # small buckets, hot signatures
         monkeypatch.setattr(jaccard_join, "SMALL_BUCKET", bucket)
+        monkeypatch.setattr(jaccard_join, "SAMPLE", sample)
+        monkeypatch.setattr(jaccard_join, "HOT_COUNT", hot)
         monkeypatch.setattr(jaccard_join, "BLOCK", 8)
         got = jaccard_join.jaccard_components(d).collect()
         assert {r.doc_id: r.component_id for r in got} == want
