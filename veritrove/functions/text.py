@@ -86,7 +86,7 @@ def jaccard_3gram(a: str | Column, b: str | Column) -> Column:
 
 def redact(text: Column, extra: dict[str, str] | None = None) -> Column:
     for pattern in {**SECRET_PATTERNS, **(extra or {})}.values():
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(REDACTED))
+        text = F.regexp_replace(text, F.lit("(?U)" + pattern), F.lit(REDACTED))
     return text
 
 
@@ -94,8 +94,8 @@ def redact_counts(text: Column, extra: dict[str, str] | None = None) -> Column:
     """Matches of each pattern, each counted on the text as the ones before left it."""
     out = []
     for name, pattern in {**SECRET_PATTERNS, **(extra or {})}.items():
-        out.append(F.regexp_count(text, F.lit(pattern)).alias(name))
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(REDACTED))
+        out.append(F.regexp_count(text, F.lit("(?U)" + pattern)).alias(name))
+        text = F.regexp_replace(text, F.lit("(?U)" + pattern), F.lit(REDACTED))
     return F.struct(*out)
 
 

@@ -229,12 +229,12 @@ def merge_keep(spark, d):
 
 
 @query(
-    f"""with {V}, s as (select v.id, label, {DOT.format('v', 'q')} as score from v, q where label < 3)
+    f"""with {V}, s as (select v.id, label, {DOT.format('v', 'q')} as score from v, q)
 select 'm' || label as label, id, round(score, 6) as score from s order by s.score desc, label, id limit 10"""
 )
 def compose_search(spark, d):
     b = band(spark, d)
-    members = {f"m{k}": b.where(F.col("label") == k) for k in range(3)}
+    members = {f"m{k}": b.where(F.col("label") == k) for k in range(10)}
     return corpus.compose(members, first_vector(b), 10).select("label", "id", r6("score").alias("score"))
 
 
@@ -381,27 +381,33 @@ def redact_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", T.redact_counts(F.col("text"))["long_hex"].cast("long").alias("long_hex"))
 
 
+QUOTED = """['"]([^'"]+)['"]""".replace("'", "''")
+
+
 @query(
-    f"""with w as (select doc_id, list_distinct(list_filter(regexp_extract_all(substring(text, 1, 200), '[A-Za-z][A-Za-z0-9\\-]*'),
-lambda t: length(t) >= 2 and (upper(t) = t or regexp_matches(t, '[0-9]')) and lower(t) not in ({', '.join(repr(w) for w in T.STOPWORDS)}))) as t from documents where not regexp_matches(text, '[''"]'))
-select doc_id, list_aggregate(list_sort(t), 'string_agg', ',') as tokens from w where len(t) > 0"""
+    f"""with q as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '{QUOTED}', 1), lambda t: trim(t)), lambda t: length(t) >= 3) as q,
+regexp_extract_all(regexp_replace(regexp_replace(text, '{QUOTED}', ' ', 'g'), '[()]', ' ', 'g'), '[A-Za-z][A-Za-z0-9\\-]*') as w from documents),
+t as (select doc_id, list_distinct(list_concat(q, list_filter(w, lambda t: length(t) >= 2 and (upper(t) = t or regexp_matches(t, '[0-9]')) and lower(t) not in ({', '.join(repr(w) for w in T.STOPWORDS)})))) as t from q)
+select doc_id, list_aggregate(list_sort(t), 'string_agg', ',') as tokens from t where len(t) > 0"""
 )
 def name_tokens(spark, d):
-    docs = table(spark, d, "documents").where("not text rlike '[\\'\"]'")
-    t = T.distinctive_tokens(F.substring("text", 1, 200))
-    return docs.select("doc_id", F.array_join(F.array_sort(t), ",").alias("tokens")).where("tokens <> ''")
+    t = T.distinctive_tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(t), ",").alias("tokens")).where("tokens <> ''")
 
 
 POLAR = "text || case doc_id % 3 when 0 then ' Always do.' when 1 then ' Don''t ever.' else '' end"
 
 
+EDGE = r"(^|$|[^\p{L}\p{M}\p{N}_])"
+
+
 @query(
-    f"""select doc_id, case when regexp_matches({POLAR}, '\\b(avoid|don''?t|never|stop|skip|disable|prohibit|forbid)\\b', 'i') then 'avoid'
-when regexp_matches({POLAR}, '\\b(prefer|want|like|use|always|enable|favo[u]?r|recommend)\\b', 'i') then 'prefer' else 'factual' end as polarity from documents where lang = 'en'"""
+    f"""select doc_id, case when regexp_matches({POLAR}, '{EDGE}(avoid|don''?t|never|stop|skip|disable|prohibit|forbid){EDGE}', 'i') then 'avoid'
+when regexp_matches({POLAR}, '{EDGE}(prefer|want|like|use|always|enable|favo[u]?r|recommend){EDGE}', 'i') then 'prefer' else 'factual' end as polarity from documents"""
 )
 def polarity(spark, d):
     t = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Always do.").when(F.col("doc_id") % 3 == 1, " Don't ever.").otherwise(""))
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", T.polarity(t).alias("polarity"))
+    return table(spark, d, "documents").select("doc_id", T.polarity(t).alias("polarity"))
 
 
 @query(
@@ -450,11 +456,11 @@ def capture_gate(spark, d):
 
 
 ROWS = V + """, rows as (select id as row_id, vec, id % 6 as recurrence_count, id % 13 = 0 as is_bad, case when label < 5 then 'cross-workspace' else 'workspace:other' end as scope,
-case id % 3 when 0 then 'prefer' when 1 then 'avoid' else 'factual' end as polarity from v where id > 0)"""
+case id % 3 when 0 then 'prefer' when 1 then 'avoid' else 'factual' end as polarity from v)"""
 
 
 def memory_rows(spark: SparkSession, d: str) -> DataFrame:
-    b = band(spark, d).where("id > 0")
+    b = band(spark, d)
     primary = F.when(F.col("id") % 3 == 0, "prefer").when(F.col("id") % 3 == 1, "avoid").otherwise("factual")
     scope = F.when(F.col("label") < 5, "cross-workspace").otherwise("workspace:other")
     stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -502,7 +508,7 @@ def consolidate(spark, d):
     return memory.consolidated(band(spark, d), NEAR)[0]
 
 
-STAMPED = ROWS.replace("from v where id > 0)", "strftime(to_timestamp(1700000000 + id * 3600) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as created_at, case when id % 4 = 0 then 'manual' else 't' || id end as transcript_hash from v where id > 0)").replace("end as polarity strftime", "end as polarity, strftime")
+STAMPED = ROWS.replace("from v)", ", strftime(to_timestamp(1700000000 + id * 3600) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as created_at, case when id % 4 = 0 then 'manual' else 't' || id end as transcript_hash from v)")
 
 
 @query(f"with {STAMPED} select row_id, recurrence_count from rows where polarity = 'prefer' and recurrence_count >= 2 and not is_bad order by recurrence_count desc, created_at desc limit 20")
@@ -588,9 +594,9 @@ def captured_rows(spark, d):
     return memory.captured(m, "workspace:x", "2024-01-01T00:00:00Z").select("conv_id", F.sha2("text", 256).alias("body"), "transcript_hash")
 
 
-@query("select doc_id, case when doc_id % 2 = 0 then 'prefer' else 'factual' end as primary_polarity, 'migrated:' || case when doc_id % 3 = 0 then 'working' else 'semantic' end as transcript_hash from documents where lang = 'de'")
+@query("select doc_id, case when doc_id % 2 = 0 then 'prefer' else 'factual' end as primary_polarity, 'migrated:' || case when doc_id % 3 = 0 then 'working' else 'semantic' end as transcript_hash from documents")
 def migrated_rows(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'de'")
+    docs = table(spark, d, "documents")
     text = F.concat("text", F.when(F.col("doc_id") % 2 == 0, " We prefer it.").otherwise(""))
     e = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("|"), text).alias("text"), F.when(F.col("doc_id") % 3 == 0, "working").otherwise("semantic").alias("tier"), F.lit("").alias("created_utc"), F.lit(1).alias("recurrence_count"))
     m = memory.migrated(e, "workspace:x")
@@ -643,11 +649,11 @@ def ann_search(spark, d):
 
 @query()
 def mined_projection(spark, d):
-    """A projection trained on noisy copies of the band, applied to it: the nested dimensions' first value."""
+    """A projection trained on noisy copies of the band (at most 4,096 rows of it, by hash), applied to it: the first value."""
     import numpy as np
 
     b = band(spark, d).select("id", "vec")
-    x = np.array([list(r["vec"]) for r in b.where("id < 256").orderBy("id").collect()])
+    x = np.array([list(r["vec"]) for r in b.orderBy(F.xxhash64("id"), "id").limit(4096).collect()])
     q = x + 0.05 * np.random.default_rng(0).normal(size=x.shape)
     w = optimise.train(q / np.linalg.norm(q, axis=1, keepdims=True), x, dims=(16, 32), steps=60)
     return simjoin.project_band(b, w).select("id", r6(F.get("vec", F.lit(0))).alias("first"))
