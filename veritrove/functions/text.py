@@ -127,7 +127,7 @@ def distinctive_tokens(question: Column) -> Column:
     stop = F.array(*map(F.lit, STOPWORDS))
     keep = F.filter(
         words,
-        lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, F.lower(w)) & ((F.upper(w) == w) | w.rlike("[0-9]")),
+        lambda w: (F.length(w) >= 2) & ((F.upper(w) == w) | w.rlike("[0-9]")) & ~F.array_contains(stop, F.lower(w)),
     )
     return F.array_distinct(F.concat(quoted, keep))
 
