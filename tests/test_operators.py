@@ -236,3 +236,24 @@ def test_context_names(spark):
     assert missing == ["MVE"] and "Name check failed" in text
     text, _ = search.context([hit], {"top1_score": 0.1, "drift_fraction": 0.0}, "x")
     assert "no confident evidence" in text
+
+
+def test_memory_mutations(spark, tmp_path):
+    rows = planted(spark, [0.9, 0.8]).withColumns({"last_corroborated_at": F.lit("a"), "created_at": F.lit("2024"), "transcript_hash": F.col("row_id")})
+    rows = rows.withColumn("polarity", F.array(F.lit("factual")))
+    more = memory.corroborated(rows, spark.createDataFrame([("r1",), ("r1",)], "row_id string"), "b")
+    got = {r.row_id: (r.recurrence_count, r.last_corroborated_at) for r in more.collect()}
+    assert got == {"r0": (5, "a"), "r1": (7, "b")}
+    with pytest.raises(Exception):
+        memory.add_rows(rows, rows.withColumn("polarity", F.array(F.lit("x")))).collect()
+    assert memory.add_rows(rows, rows).count() == 4
+    memory.append_log(rows.where("row_id = 'r0'").select("row_id", "transcript_hash"), str(tmp_path / "j"))
+    assert [r.row_id for r in memory.unseen(rows, spark.read.json(str(tmp_path / "j"))).collect()] == ["r1"]
+    assert memory.latest_capture(rows).first()[0] == "r1"
+    assert memory.delete_rows(rows, memory.gc_doomed(rows, most_recurrence=9)).count() == 0
+
+
+def test_json_hits(spark):
+    df = spark.createDataFrame([(0, "a", 0, 1, 0.5, "verified", "x"), (1, "b", 0, 1, 0.9, "drifted", None)], "passage_idx long, source_file string, char_offset int, char_length int, score double, drift_status string, text string")
+    assert [r.json[:18] for r in search.as_json(df).collect()] == ['{"source_file":"b"', '{"source_file":"a"']
+    assert search.as_text(df.collect()).count("\n") == 1

@@ -176,6 +176,41 @@ def dedupe_match(candidates: DataFrame, rows: DataFrame, threshold: float = 0.92
     return j.groupBy("id").agg(F.max_by("row_id", F.struct("cosine", "row_id")).alias("row_id"), F.max("cosine").alias("cosine"))
 
 
+def add_rows(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """rows and new ones; an error if a new row's polarity isn't valid. Write the result as the next snapshot."""
+    return rows.unionByName(new.withColumn("polarity", T.valid_polarity(F.col("polarity"))))
+
+
+def corroborated(rows: DataFrame, matches: DataFrame, now: str) -> DataFrame:
+    """rows with recurrence_count raised by their matches (row_id, one row each) and the time stamped."""
+    n = matches.groupBy("row_id").agg(F.count("*").alias("_more"))
+    r = rows.join(n, "row_id", "left")
+    hit = F.col("_more").isNotNull()
+    return r.withColumns({
+        "recurrence_count": F.col("recurrence_count") + F.coalesce("_more", F.lit(0)),
+        "last_corroborated_at": F.when(hit, F.lit(now)).otherwise(F.col("last_corroborated_at")),
+    }).drop("_more")
+
+
+def unseen(candidates: DataFrame, journal: DataFrame) -> DataFrame:
+    """Candidates whose (row_id, transcript_hash) isn't in the journal. Append them to it before acting on them."""
+    return candidates.join(journal.select("row_id", "transcript_hash").distinct(), ["row_id", "transcript_hash"], "left_anti")
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Audit, journal and cache tables only grow."""
+    rows.write.mode("append").json(path)
+
+
+def latest_capture(rows: DataFrame) -> DataFrame:
+    """transcript_hash of the newest raw capture, as one row (null without any)."""
+    return capture_rows(rows).agg(F.max_by("transcript_hash", F.struct("created_at", "row_id")).alias("transcript_hash"))
+
+
+def replaced_tier(entries: DataFrame, tier: str, new: DataFrame) -> DataFrame:
+    return entries.where(F.col("tier") != tier).unionByName(new.withColumn("tier", F.lit(tier)))
+
+
 LLM = Callable[[str, list[dict], int], tuple[str, int, int]]
 
 

@@ -100,6 +100,15 @@ def context(hits: list[Row], metrics: Row, question: str, mode: str = "augment",
     return head + refusal + "\n".join(b for b, _ in shown), missing
 
 
+def as_text(hits: list[Row]) -> str:
+    return "\n".join(f"{h['score']:.3f} [{h['drift_status']}] {h['source_file']}:{h['char_offset']}+{h['char_length']}  {(h['text'] or '')[:200]}" for h in hits)
+
+
+def as_json(hits: DataFrame) -> DataFrame:
+    """One JSON string a hit, best first."""
+    return hits.orderBy(F.desc("score"), "passage_idx").select(F.to_json(F.struct("source_file", "char_offset", "char_length", "score", "drift_status", "text")).alias("json"))
+
+
 def refusal_directive(missing: list[str]) -> str:
     if not missing:
         return ""
