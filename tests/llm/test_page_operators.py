@@ -93,6 +93,13 @@ def test_names_need_whole_words():
     assert one(page("<article><p class='header-image adventure'>no</p><p class='adventure loaded'>yes</p></article>")) == "yes"
 
 
+def test_names_of_frames_do_not_drop_the_article():
+    html = "<html><body class='has-sidebar nav-open'><div class='layout with-sidebar'><article><p>yes</p></article><div class='sidebar'>no</div></div>"
+    html += "<section id='comments'><article class='comment'><p>no</p></article><article><p>nor this</p></article></section></body></html>"
+    assert one(html) == "yes"
+    assert one("<body class='page-header-on'><div class='story'><p>yes</p></div><div class='cookie-notice'>no</div></body>") == "yes"
+
+
 def test_wrapper_without_article():
     make = lambda title, *ps: page(f"<div class='top'><a href='/'>Home</a> <a href='/x'>About us</a></div><div class='c1'><h2>{title}</h2>" + "".join(f"<p>{p}</p>" for p in ps) + "</div><div class='c9'>All rights reserved by us for ever</div>")
     pages = [make(f"Title {k}", *(f"Paragraph {k} {j} with some words" for j in range(k % 3 + 1)), "The same closing line") for k in range(6)]
