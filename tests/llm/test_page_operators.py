@@ -115,6 +115,13 @@ def test_simple_tree_matching():
     assert html_extract.match(a, b, {}) == 7 and html_extract.match(a, a, {}) == html_extract._size(a)
 
 
+def test_deep_and_wide_pages():
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000
+    wide = "<body>" + "".join(f"<p>a{k}</p><h2>b{k}</h2>" + "<ul></ul>" * (k % 3) for k in range(3000)) + "</body>"
+    texts = html_extract.extract_group([deep, deep.replace("x", "y"), wide, wide.replace("<ul></ul><h2>", "<h2>"), wide + "<p>z"])
+    assert texts[:2] == ["x", "y"] and texts[2].count("\n") == 5999 and texts[4].endswith("z")
+
+
 def test_odd_pages(spark):
     rows = [(1, "http://a/x", None), (2, None, ""), (3, "odd", "plain text"), (4, "http://A:80/y", "<p>un<b>closed"), (4, "http://a/y", "<p>un<b>closed"), (5, "http://a/z", "<article>" + "<p>w </p>" * 20_000)]
     got = html_extract.extract(frame(spark, rows)).collect()
