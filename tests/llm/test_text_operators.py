@@ -260,6 +260,18 @@ def test_license_scan(spark):
     assert license_scan.license_scan(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_licenses_do_not_starve_each_other(spark):
+    key = {}
+    for label, _, wording in license_scan.TEMPLATES:
+        key.setdefault(label, []).append(wording)
+    both = [f"{key['mit'][1]} {prose(np.random.default_rng(1), 50)} {key[x][0]}" for x in ("apache-2.0", "gpl-3.0", "mpl-2.0")]
+    both += [f"{key['bsd'][0]} {key['cc-by-nc'][0]}", " ".join(w for _, _, w in license_scan.TEMPLATES)]
+    texts = both + [w for w in (key["apache-2.0"][0], key["gpl-3.0"][0], key["cc-by-nc"][0]) for _ in range(9)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.license_scan(frame(spark, texts)).collect()}
+    assert got[0] == {"apache", "apache-2.0", "mit"} and got[1] == {"gpl", "gpl-3.0", "mit"} and got[2] == {"mit", "mpl-2.0"}
+    assert got[3] == {"bsd", "cc-by", "cc-by-nc"} and got[4] == set(key)
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(8)
     items = [prose(rng, n, 3000) for n in (8, 20, 40, 90, 300)] + [None, "", "..."]

@@ -1,11 +1,13 @@
 """Licence scans with a positional rare-token index, in DataFrame functions only.
 
-The index is a fixed table: template word -> (template, place). A file's
-highest-IDF licence words (IDF from document counts over the whole corpus) are
-looked up, their postings and the words' places in the file are intersected by
-relative position, and alignments on which at least two postings agree are
-verified by the template's mandatory key phrase and by its share of words in
-place.
+The index is a fixed table: template word -> (template, place). The two
+highest-IDF words of each template's mandatory key phrase (IDF from document
+counts over the whole corpus) are looked up in every file, their postings and
+the words' places in the file are intersected by relative position, and
+alignments on which at least two postings agree are verified by the key phrase
+and by the template's share of words in place. An alignment that can be
+verified has the whole key phrase in place, so both words vote for it: none is
+missed, however long the file or however many licences are in it.
 """
 
 from __future__ import annotations
@@ -40,8 +42,7 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
 )
-#: Highest-IDF licence words looked up in a file; template words that must be in place, as a share.
-TOP_WORDS = 8
+#: Template words that must be in place, as a share.
 MIN_SHARE = 0.6
 VOCABULARY = sorted({w for _, _, t in TEMPLATES for w in t.split()})
 
@@ -83,7 +84,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     wording. Phrases may repeat; each place counts. Extra columns are ignored."""
     n_docs, df = word_counts(docs)
     idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) for w in VOCABULARY}
-    ranked = F.array(*map(F.lit, sorted(VOCABULARY, key=lambda w: (-idf[w], w))))
+    rare = [sorted(set(key.split()), key=lambda w: (-idf[w], w))[:2] for _, key, _ in TEMPLATES]
     keys = "|".join(_key_words())
     text = F.coalesce("text", F.lit(""))
     d = docs.select("doc_id", text.alias("t"))
@@ -101,16 +102,16 @@ def license_scan(docs: DataFrame) -> DataFrame:
         )),
         lambda x: x.label.isNotNull(),
     )
-    d = d.withColumn("base", places).withColumn("top", F.slice(F.array_intersect(ranked, F.col("w")), 1, TOP_WORDS))
+    d = d.withColumn("base", places)
     # votes: template and the place in the file where its first word would stand
-    posting = [(w, k, p) for k, (_, _, t) in enumerate(TEMPLATES) for p, w in enumerate(t.split())]
+    posting = [(w, k, p) for k, (_, _, t) in enumerate(TEMPLATES) for p, w in enumerate(t.split()) if w in rare[k]]
     by_word: dict[str, list[tuple[int, int]]] = {}
     for w, k, p in posting:
         by_word.setdefault(w, []).append((k, p))
     index = F.create_map(*(x for w, v in by_word.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(k).alias("k"), F.lit(p).alias("p")) for k, p in v)))))
-    found = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("top", x.w))
+    found = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x.w.isin(list(by_word)))
     votes = F.flatten(F.transform(found, lambda x: F.transform(F.element_at(index, x.w), lambda y: F.struct(y.k.alias("k"), (x.i - y.p).alias("at")))))
-    d = d.withColumn("v", F.when(F.size("top") >= 2, F.array_sort(votes)).otherwise(F.array().cast("array<struct<k:int,at:int>>")))
+    d = d.withColumn("v", F.array_sort(votes))
     # sorted votes: an alignment with two votes or more begins where the next one is equal and the last one isn't
     agreed = F.filter("v", lambda x, i: (x == F.get("v", i + 1)) & ((i == 0) | (x != F.get("v", i - 1))))
     d = d.withColumn("a", agreed)
