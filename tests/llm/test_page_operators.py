@@ -108,6 +108,12 @@ def test_wrapper_without_article():
         assert text == "\n".join(want)
 
 
+def test_template_in_articles_goes():
+    pages = [page(f"<article><h1>Title {k}</h1><div class='x7'>This story is part of our series</div>" + f"<p>Words {k}</p>" * (k % 3 + 1) + "<div class='x9'>Tell your friends</div></article>") for k in range(6)]
+    for k, text in enumerate(html_extract.extract_group(pages)):
+        assert text == "\n".join([f"Title {k}", *[f"Words {k}"] * (k % 3 + 1)])
+
+
 def test_simple_tree_matching():
     a = html_extract.outline(html_extract.parse("<div><p>x</p><ul><li>1<li>2</ul></div>"))
     b = html_extract.outline(html_extract.parse("<div><p>x</p><p>y</p><table></table><ul><li>1</ul></div>"))
