@@ -114,6 +114,15 @@ def test_template_in_articles_goes():
         assert text == "\n".join([f"Title {k}", *[f"Words {k}"] * (k % 3 + 1)])
 
 
+def test_one_wrapper_for_a_large_host(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "GROUP_PAGES", 4)
+    odd = [page(f"<div class='a'>Menu of the first kind</div><div class='b'><h2>First {k}</h2><p>Words {k}</p></div>") for k in range(20)]
+    even = [page(f"<section class='c'>Menu of the other kind</section><div class='d'><p>Other {k}</p></div><div class='e'>Closing</div>") for k in range(20)]
+    rows = [(k, "http://h/x", h) for k, h in enumerate([*odd, *even, *[odd[0]] * 9])]
+    got = {r.page_id: r.text for r in html_extract.extract(frame(spark, rows)).collect()}
+    assert all(got[k] == f"First {k}\nWords {k}" and got[20 + k] == f"Other {k}" for k in range(20)) and got[45] == got[0]
+
+
 def test_simple_tree_matching():
     a = html_extract.outline(html_extract.parse("<div><p>x</p><ul><li>1<li>2</ul></div>"))
     b = html_extract.outline(html_extract.parse("<div><p>x</p><p>y</p><table></table><ul><li>1</ul></div>"))
