@@ -114,6 +114,14 @@ def test_template_in_articles_goes():
         assert text == "\n".join([f"Title {k}", *[f"Words {k}"] * (k % 3 + 1)])
 
 
+def test_ids_made_from_titles_stay():
+    ids = ("discussion", "related-work", "ad-hoc-methods", "social-impact", "share-prices", "search-results-analysis", "notice-of-appeal")
+    body = "".join(f"<section id='{i}'><h2 id='{i}'>About {i}</h2><p>Words on {i}</p></section>" for i in ids)
+    assert one(page(f"<article><h1>T</h1>{body}</article>")) == "\n".join(["T", *(x for i in ids for x in (f"About {i}", f"Words on {i}"))])
+    pages = [page(f"<article><p>{k}</p><div class='related-work'>Found by {k}</div><div class='related-posts'>Read on</div></article>") for k in range(5)]
+    assert html_extract.extract_group(pages) == [f"{k}\nFound by {k}" for k in range(5)]
+
+
 def test_one_wrapper_for_a_large_host(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "GROUP_PAGES", 4)
     odd = [page(f"<div class='a'>Menu of the first kind</div><div class='b'><h2>First {k}</h2><p>Words {k}</p></div>") for k in range(20)]
