@@ -257,3 +257,13 @@ def test_json_hits(spark):
     df = spark.createDataFrame([(0, "a", 0, 1, 0.5, "verified", "x"), (1, "b", 0, 1, 0.9, "drifted", None)], "passage_idx long, source_file string, char_offset int, char_length int, score double, drift_status string, text string")
     assert [r.json[:18] for r in search.as_json(df).collect()] == ['{"source_file":"b"', '{"source_file":"a"']
     assert search.as_text(df.collect()).count("\n") == 1
+
+
+def test_approximate_search_reaches_its_recall(spark):
+    from veritrove.plans.catalogue import QUERIES, band
+
+    d = "/root/testdata/sf0.01"
+    got = {(r.a, r.b) for r in QUERIES["ann_search"](spark, d).collect()}
+    v = band(spark, d).select("id", "vec")
+    want = {(r.a, r.b) for r in simjoin.nearest(v.where("id % 20 = 0"), v, 10).collect()}
+    assert {a for a, _ in got} == {a for a, _ in want} and len(got & want) >= 0.9 * len(want)

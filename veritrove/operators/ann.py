@@ -11,10 +11,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritrove.operators import simjoin
 from veritrove.operators.search import top_k
 
 #: Rows that the cells are fitted on at most; the index holds all rows.
 FIT_ROWS = 100_000
+#: Queries that the number of probes is measured on at most.
+PROBE_QUERIES = 256
 
 
 def fit_cells(band: DataFrame, cells: int, seed: int = 0) -> np.ndarray:
@@ -42,3 +45,55 @@ def search(index: DataFrame, centroids: np.ndarray, q: list[float], k: int = 10,
     """The top k among the rows of the cells nearest to q."""
     near = np.argsort(((centroids - np.array(q)) ** 2).sum(1))[:probes]
     return top_k(index.where(F.col("cell").isin([int(c) for c in near])).drop("cell"), q, k)
+
+
+def _ranked(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The cells of each row of x, the nearest first."""
+    return np.argsort(-2 * x @ centroids.T + (centroids**2).sum(1), axis=1, kind="stable")
+
+
+def probes_for(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, recall: float = 0.95) -> int:
+    """The fewest probes whose recall, against exact search for at most PROBE_QUERIES of the queries, is at least this."""
+    some = queries.orderBy(F.xxhash64("id"), "id").limit(PROBE_QUERIES).select("id", "vec")
+    vecs = {r["id"]: list(r["vec"]) for r in some.collect()}
+    fixed = queries.sparkSession.createDataFrame(list(vecs.items()), "id long, vec array<double>") if vecs else some
+    hits = simjoin.nearest(fixed, index.select("id", "vec"), k).join(index.select(F.col("id").alias("b"), "cell"), "b").select("a", "cell").collect()
+    if not hits:
+        return len(centroids)
+    order = _ranked(np.array([vecs[r["a"]] for r in hits], np.float64), centroids)
+    at = (order == np.array([r["cell"] for r in hits])[:, None]).argmax(1)
+    reached = np.cumsum(np.bincount(at, minlength=len(centroids))) / len(hits)
+    return int(np.argmax(reached >= recall)) + 1
+
+
+def search_all(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, probes: int = 8, block: int = simjoin.BLOCK) -> DataFrame:
+    """a, b, cosine, rank of the top k of each query (id, vec) among the rows of its nearest cells.
+
+    Rows and queries of a cell are packed into blocks by the ids' hash, so a large cell is spread."""
+
+    def probed(batches):
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+            near = _ranked(x, centroids)[:, :probes] if b.num_rows else np.zeros((0, probes))
+            yield b.append_column("cells", pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32())))
+
+    def packed(df: DataFrame, prefix: str) -> DataFrame:
+        parts = max(1, -(-df.count() // block))
+        row = F.struct(F.col("id").alias("id"), F.col("vec").alias("vec"))
+        blocks = df.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.sort_array(F.collect_list(row)).alias("x"))  # of bounded size
+        return blocks.select("cell", F.transform("x", lambda r: r.id).alias(f"{prefix}ids"), F.transform("x", lambda r: r.vec).alias(f"{prefix}vecs"))
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                i, x, j, y = (np.array(b.column(c)[r].as_py(), t) for c, t in enumerate((np.int64, np.float64, np.int64, np.float64)))
+                dots = x @ y.T
+                best = np.argsort(-dots, axis=1, kind="stable")[:, :k]  # ids ascend within a block
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, best.shape[1])), pa.array(j[best].ravel()), pa.array(np.take_along_axis(dots, best, 1).ravel())], names=["a", "b", "cosine"])
+
+    typed = lambda df, *more: df.where("id is not null and vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), *more)
+    q = typed(queries).mapInArrow(probed, "id long, vec array<double>, cells array<int>").select("id", "vec", F.explode("cells").alias("cell"))
+    pairs = packed(q, "l").join(packed(typed(index, "cell"), "r"), "cell").select("lids", "lvecs", "rids", "rvecs")
+    found = pairs.mapInArrow(run, "a long, b long, cosine double")
+    best = found.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("n"), "b"))), 1, k).alias("x"))
+    return best.select("a", F.posexplode("x").alias("r", "x")).select("a", F.col("x.b").alias("b"), (-F.col("x.n")).alias("cosine"), (F.col("r") + 1).cast("long").alias("rank"))

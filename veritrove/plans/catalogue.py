@@ -644,7 +644,9 @@ def ann_search(spark, d):
 
     b = band(spark, d).select("id", "vec")
     cells = ann.fit_cells(b, 8)
-    return ann.search(ann.indexed(b, cells), cells, first_vector(b), 10, 4).select("id", r6("score").alias("score"))
+    index, queries = ann.indexed(b, cells), b.where("id % 20 = 0")
+    probes = ann.probes_for(index, cells, queries, 10)
+    return ann.search_all(index, cells, queries, 10, probes).select("a", "b", r6("cosine").alias("cosine"), "rank")
 
 
 @query()
