@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from veritrove.functions import text as T
 from veritrove.functions.vectors import dot
-from veritrove.operators import corpus, search
+from veritrove.operators import corpus, search, simjoin
 
 # Half-life in seconds, rows kept, and weight in recall of each tier.
 TIERS = {"working": (86_400.0, 200, 0.5), "episodic": (14 * 86_400.0, 2_000, 0.3), "semantic": (float("inf"), 20_000, 0.2)}
@@ -168,12 +168,15 @@ def distil_input(rows: DataFrame, session: str | None = None, everything: bool =
 
 
 def dedupe_match(candidates: DataFrame, rows: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """candidate id, row_id, cosine of the best row of the same primary polarity at the threshold."""
+    """candidate id, row_id, cosine of the best row of the same primary polarity at the threshold; ties go to the larger row_id.
+
+    Similar pairs are found first, by blocks; polarities are compared only on those."""
     primary = lambda c: F.get(F.filter(c, lambda t: t.isin("prefer", "avoid", "factual")), F.lit(0))
-    c = candidates.select("id", F.col("vec").alias("x"), primary(F.col("polarity")).alias("p"))
-    r = rows.select("row_id", F.col("vec").alias("y"), primary(F.col("polarity")).alias("p"))
-    j = c.join(r, "p").withColumn("cosine", dot("x", "y")).where(F.col("cosine") >= threshold)
-    return j.groupBy("id").agg(F.max_by("row_id", F.struct("cosine", "row_id")).alias("row_id"), F.max("cosine").alias("cosine"))
+    j = simjoin.pairs(candidates.select("id", "vec"), rows.select(F.col("row_id").alias("id"), "vec"), threshold)
+    c = candidates.select(F.col("id").alias("a"), primary(F.col("polarity")).alias("p"))
+    r = rows.select(F.col("row_id").alias("b"), primary(F.col("polarity")).alias("p2"))
+    j = j.join(c, "a").join(r, "b").where("p = p2")
+    return j.groupBy(F.col("a").alias("id")).agg(F.max_by("b", F.struct("cosine", "b")).alias("row_id"), F.max("cosine").alias("cosine"))
 
 
 def add_rows(rows: DataFrame, new: DataFrame) -> DataFrame:
