@@ -84,24 +84,69 @@ def near_copies(rng, n=160):
     return texts + [texts[0], texts[5].upper()]
 
 
+def brute_links(texts):
+    """For each text the number of other distinct sets that it is linked with."""
+    kinds = {g for g in map(shingle_set, texts) if g}
+    n = {g: sum(1 for h in kinds if h != g and 100 * len(g & h) >= 75 * len(g | h)) for g in kinds}
+    return [n.get(shingle_set(t), 0) for t in texts]
+
+
 def test_jaccard_components(spark, monkeypatch):
     rng = np.random.default_rng(5)
-    texts = ODD[:9] + near_copies(rng)
+    texts = ODD + near_copies(rng)
     d = frame(spark, texts)
-    want = brute_components(list(enumerate(texts)))
+    want, links = brute_components(list(enumerate(texts))), brute_links(texts)
     for bucket, sample, hot in ((16, 64, 64), (3, 64, 64), (3, 1, 4), (16, 1, 17)):  # small buckets, hot signatures
         monkeypatch.setattr(jaccard_join, "SMALL_BUCKET", bucket)
         monkeypatch.setattr(jaccard_join, "SAMPLE", sample)
         monkeypatch.setattr(jaccard_join, "HOT_COUNT", hot)
-        monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+        monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 8 * 300)
         got = jaccard_join.jaccard_components(d).collect()
         assert {r.doc_id: r.component_id for r in got} == want
         assert {r.doc_id: r.n_shingles for r in got} == {k: len(shingle_set(t)) for k, t in enumerate(texts)}
+        assert {r.doc_id: r.n_links for r in got} == dict(enumerate(links))
     kept = {r.doc_id for r in jaccard_join.keep_one(d).collect()}
     assert kept == set(want.values())
     assert jaccard_join.keep_one(d).columns == d.columns
 
 
+def test_links_of_large_families(spark, monkeypatch):
+    """Families of 10 to 300 near copies, tight ones (all linked) and loose ones, are counted whole."""
+    rng = np.random.default_rng(15)
+    texts = []
+    for size, most in ((10, 1), (17, 1), (30, 1), (60, 1), (60, 9), (300, 1), (120, 7)):
+        base = prose(rng, 200, 5000).split()
+        for _ in range(size):
+            w = list(base)
+            for at in rng.choice(200, int(rng.integers(1, most + 1)), replace=False):
+                w[at] = f"n{rng.integers(10**9)}"
+            texts.append(" ".join(w))
+    texts += texts[:3]
+    links, want = brute_links(texts), brute_components(list(enumerate(texts)))
+    for size in (1 << 20, 8 * 2000):  # one block, and many
+        monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", size)
+        got = jaccard_join.jaccard_components(frame(spark, texts)).collect()
+        assert {r.doc_id: r.n_links for r in got} == dict(enumerate(links))
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_spanning_joins_what_is_linked():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        links = rng.random((9, 7)) < 0.12
+        a, b = np.arange(9), np.arange(100, 107)
+        x, y = jaccard_join.spanning(links, a, b)
+
+        def parts(edges):
+            label = {k: k for k in [*a.tolist(), *b.tolist()]}
+            for _ in label:
+                for p, q in edges:
+                    label[p] = label[q] = min(label[p], label[q])
+            return label
+
+        assert parts(list(zip(x.tolist(), y.tolist()))) == parts([(int(a[i]), int(b[j])) for i, j in np.argwhere(links)])
+
+
 def test_jaccard_odd_rows(spark):
     d = frame(spark, ["a b c d e f", "a b c d e f", None, "a b c d e f", "x" * 9000], ids=[4, 4, None, None, 9])
     got = sorted(((r.doc_id, r.component_id, r.n_shingles) for r in jaccard_join.jaccard_components(d).collect()), key=str)

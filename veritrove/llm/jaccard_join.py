@@ -21,12 +21,19 @@ Why buckets stay small. The same argument holds for the good partitions of
 which no signature fell in a large bucket. If they still settle a set, it can
 leave its large buckets, as its partners were met in small ones. The sets that
 can't (few: those whose texts are largely made of passages that many others
-have) are bucketed again by single elements, with the same argument, and only
-what isn't settled there either stays in its large buckets. There each member is
-paired with the smallest, and clusters of them that are still in different
-components after that are compared block by block.
-
-Candidate pairs are thinned by size and by parity sketches, which differ in no
+have) are bucketed again by single elements, with the same argument, and what
+isn't settled there either is open. Open sets that share large buckets,
+directly or not, are a cluster; two open sets that are linked are in one.
+
+How clusters are counted. Jaccard distance is a metric. Every open set's distance
+from one set of its cluster, the pivot, is taken, and sets are dealt to blocks by it.
+Of two blocks, all pairs are linked if the largest distances add up to the limit
+at most, none is if the distances or sizes are too far apart; else their sets are compared, by
+exact intersections from a matrix product over the elements that both blocks have. Tight families of near
+copies are so counted without comparing their pairs. What leaves a pair of
+blocks is the number of links of each set and a spanning forest, never the pairs.
+
+Other candidate pairs are thinned by size and by parity sketches, which differ in no
 more places than the sets do in elements, and then verified on whole sets.
 Identical sets are one node all along.
 """
@@ -46,8 +53,13 @@ from veritrove.plans.session import shuffle_partitions, written
 
 MAX_CUTS = 3
 SMALL_BUCKET = 16
-BLOCK = 256
 SKETCH_BITS = 1024
+#: Bytes of elements in a block of a cluster, about; classes of distance from the pivot; numbers in a product's slice.
+BLOCK_BYTES, DISTANCES, SLICE_CELLS = 1 << 20, 64, 1 << 22
+#: Classes of distance that need more than a block, at most: their sizes are broadcast. Beyond that, blocks grow.
+MOST_LARGE = 1 << 16
+#: Parts that a key with many rows is dealt out to.
+SALTS = 64
 REDUCER_SIGNATURES = 2_500_000  # signatures a reduce task gets on average, at most
 #: A signature that so many of every SAMPLE-th document share is hot: its rows are members of a large bucket at once,
 #: dealt out by set, and no task gathers them. At most HOT_MOST are broadcast. Results don't depend on these.
@@ -312,10 +324,15 @@ def _buckets(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list[bytes]] = {}
+        met: set[int] = set()  # a set's hot rows come in one blob from each task that has a copy of it
         for b in batches:
             for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if np.frombuffer(x, "<u4", 3)[2]:
                     sig, fp, _, band, spare, place, own = _unpacked(x)
+                    kinds, index = np.unique(fp, return_inverse=True)
+                    fresh = np.array([v not in met for v in kinds.tolist()], bool)
+                    met.update(kinds.tolist())
+                    sig, fp, band, spare, place, own = (c[fresh[index]] for c in (sig, fp, band, spare, place, own))
                     yield _members((own.astype(np.int64) << 32) + sig.astype(np.int64), fp, band, spare, place)
                 else:
                     blobs.setdefault(p, []).append(x)
@@ -341,7 +358,8 @@ def _buckets(threshold: float):
                     near = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
                     pairs.append(np.stack([f[i][near], f[j][near]], 1))
             if pairs:
-                pair = np.unique(np.concatenate(pairs), axis=0).view(np.int64)
+                pair = np.concatenate(pairs).view(np.int64)
+                pair = np.unique(np.sort(pair, axis=1), axis=0)
                 no = pa.nulls(len(pair), pa.int64())
                 yield pa.RecordBatch.from_arrays([no, pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), no, no, no], names=FOUND)
             big = np.repeat(count > SMALL_BUCKET, count)
@@ -400,8 +418,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
 
 
-def _close(on_x, size_x, on_y, size_y, both, threshold):
-    differ = on_x + on_y - 2 * both
+def _close(differ: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, threshold: float) -> np.ndarray:
     most = (1 - threshold) / (1 + threshold) * (size_x + size_y)
     return (differ <= most + 1e-6) & (np.minimum(size_x, size_y) >= threshold * np.maximum(size_x, size_y) - 1e-9)
 
@@ -417,7 +434,7 @@ def _thinned(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
                 least = min(len(x), len(y))
                 differ[k] = np.bitwise_count(folded(x, least) ^ folded(y, least)).sum()
             nx, ny = (np.array(b.column(c)) for c in ("nx", "ny"))
-            ok = pa.array(_close(differ, nx, 0, ny, 0, threshold))
+            ok = pa.array(_close(differ, nx, ny, threshold))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
     x = known.select(F.col("fp").alias("a"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"))
@@ -425,36 +442,139 @@ def _thinned(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "sx", "sy").mapInArrow(run, "a long, b long")
 
 
-def _compared_blocks(members: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components in one cluster that may be linked, by blocks of a cluster's sets."""
-    n = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    small = known.select(F.col("fp").alias("a"), F.col("n_shingles").alias("size"), "sketch")
-    m = members.join(n, "cluster").join(small, "a").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+def _packed(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of the rows' sets, and their rows."""
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in column]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.repeat(np.arange(len(sets)), sizes)
+
+
+def intersections(one: tuple[np.ndarray, np.ndarray], n: int, other: tuple[np.ndarray, np.ndarray], m: int) -> np.ndarray:
+    """(n, m) numbers of common elements of two lists of sets, by matrix products over the elements that occur in both."""
+    (v, i), (w, j) = one, other
+    common = np.intersect1d(v, w)
+    out = np.zeros((n, m), np.float32)
+    keep, both = np.isin(v, common), np.isin(w, common)
+    p, q = np.searchsorted(common, v[keep]), np.searchsorted(common, w[both])
+    i, j = i[keep], j[both]
+    step = max(256, SLICE_CELLS // max(1, n + m))
+    for a in range(0, len(common), step):
+        x, y = np.zeros((n, min(step, len(common) - a)), np.float32), np.zeros((m, min(step, len(common) - a)), np.float32)
+        here, there = (p >= a) & (p < a + step), (q >= a) & (q < a + step)
+        x[i[here], p[here] - a] = 1
+        y[j[there], q[there] - a] = 1
+        out += x @ y.T
+    return out
 
-    def run(key, table):
-        x, y = key[1].as_py(), key[2].as_py()
-        block = np.array(table.column("block"))
-        fp, comp, size = (np.array(table.column(c)) for c in ("a", "component", "size"))
-        i, j = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        raw = [np.frombuffer(v.as_py(), np.uint8) for v in table.column("sketch")]
-        width = np.array([len(v) for v in raw])
-        ok = np.zeros((len(i), len(j)), bool)
-        for w in np.unique(width):
-            p, q = np.flatnonzero(width[i] >= w), np.flatnonzero(width[j] >= w)
-            if not len(p) or not len(q):
-                continue
-            one, other = (np.unpackbits(np.stack([folded(raw[k], w) for k in at]), axis=1).astype(np.float32) for at in (i[p], j[q]))
-            close = _close(one.sum(1)[:, None], size[i[p]][:, None], other.sum(1)[None], size[j[q]][None], one @ other.T, threshold)
-            close &= np.minimum(width[i[p]][:, None], width[j[q]][None]) == w
-            ok[np.ix_(p, q)] |= close
-        ok &= comp[i][:, None] != comp[j][None]
-        p, q = np.nonzero(ok)
-        a, b = fp[i][p], fp[j][q]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return m.select("cluster", "x", "y", "block", "a", "component", "size", "sketch").groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long").where("a <> b").distinct()
+def linked_matrix(both: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, threshold: float) -> np.ndarray:
+    """|A & B| >= t * |A | B| for a matrix of intersections, in whole numbers of hundredths of a percent."""
+    both = both.astype(np.int64)
+    return 10_000 * both >= round(threshold * 10_000) * (size_x[:, None] + size_y[None] - both)
+
+
+def spanning(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, fewer than rows and columns, that join what a boolean matrix of links between a and b joins."""
+    left, x, y = np.flatnonzero(links.any(1)), [], []
+    open_rows = np.zeros(len(a), bool)
+    open_rows[left] = True
+    while open_rows.any():
+        start = int(np.argmax(open_rows))
+        rows, cols = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        now = np.zeros(len(a), bool)
+        now[start] = True
+        while now.any():
+            rows |= now
+            new = links[now].any(0) & ~cols
+            cols |= new
+            now = links[:, new].any(1) & ~rows
+        open_rows &= ~rows
+        for ids in (a[rows], b[cols]):
+            x.append(np.full(len(ids), a[start]))
+            y.append(ids)
+    if not x:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(x), np.concatenate(y)
+
+
+def _blocks(cluster: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """cluster, a, elements, size, d (distance from the pivot, the cluster's smallest node), near (linked with it), bin, block."""
+    m = cluster.join(sets.select(F.col("fp").alias("a"), "elements"), "a").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    pivot = sets.select(F.col("fp").alias("cluster"), F.col("elements").alias("pivot")).join(cluster.select("cluster").distinct(), "cluster")
+    pivot = pivot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+    def run(batches):
+        for b in batches:
+            d, near = np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
+            for k, (x, y) in enumerate(zip(b.column("elements"), b.column("pivot"))):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                d[k] = 1 - both / (len(x) + len(y) - both)
+                near[k] = 10_000 * both >= round(threshold * 10_000) * (len(x) + len(y) - both)
+            bins = np.minimum((d * DISTANCES).astype(np.int64), DISTANCES - 1)
+            yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("a"), b.column("elements"), pa.array(d), pa.array(near), pa.array(bins)], names=["cluster", "a", "elements", "d", "near", "bin"])
+
+    m = m.join(pivot, ["cluster", "salt"]).select("cluster", "a", "elements", "pivot")
+    m = m.mapInArrow(run, "cluster long, a long, elements binary, d double, near boolean, bin long")
+    m = written(m.withColumn("size", F.expr("octet_length(elements) div 8")), "open-sets")
+    total = m.agg(F.sum("size")).first()[0] or 0
+    limit = max(BLOCK_BYTES // 8, total // MOST_LARGE)
+    # classes of over `limit` elements are no more than MOST_LARGE, so their sizes may be broadcast
+    large = m.groupBy("cluster", "bin").agg(F.sum("size").alias("n")).where(F.col("n") > limit)
+    large = large.select("cluster", "bin", F.ceil(F.col("n") / limit).cast("long").alias("blocks"))
+    return m.join(F.broadcast(large), ["cluster", "bin"], "left").withColumn("block", F.pmod(F.xxhash64("a"), F.coalesce("blocks", F.lit(1)))).drop("blocks")
+
+
+def _counted(cluster: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, n: links of each open set within its cluster), (a, b: edges that join what is linked there)."""
+    m = _blocks(cluster, sets, threshold)
+    key = ["cluster", "bin", "block"]
+    stats = written(m.groupBy(*key).agg(
+        F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("size").alias("small"), F.max("size").alias("big")
+    ), "blocks")
+    names = ["bin", "block", "n", "lo", "hi", "small", "big"]
+    x = stats.select("cluster", *(F.col(c).alias(f"x_{c}") for c in names))
+    y = stats.select("cluster", *(F.col(c).alias(f"y_{c}") for c in names))
+    most = 1 - threshold
+    p = x.join(y, "cluster").where("x_bin < y_bin or (x_bin = y_bin and x_block <= y_block)")
+    p = p.where((F.col("y_lo") - F.col("x_hi") <= most + 1e-9) & (F.col("x_lo") - F.col("y_hi") <= most + 1e-9))
+    p = p.where((F.col("x_big") >= threshold * F.col("y_small") - 1e-9) & (F.col("y_big") >= threshold * F.col("x_small") - 1e-9))
+    p = p.withColumn("own", F.expr("x_bin = y_bin and x_block = y_block")).withColumn("sure", F.col("x_hi") + F.col("y_hi") <= most - 1e-9)
+    p = written(p, "block-pairs")
+    sure = p.where("sure")
+    whole = sure.select("cluster", F.col("x_bin").alias("bin"), F.col("x_block").alias("block"), F.expr("if(own, y_n - 1, y_n)").alias("n"))
+    whole = whole.union(sure.where("not own").select("cluster", "y_bin", "y_block", "x_n")).groupBy(*key).agg(F.sum("n").alias("n"))
+    counts = m.join(whole, key).select("a", "n")
+
+    pair = F.xxhash64("x_bin", "x_block", "y_bin", "y_block").alias("pair")
+    todo = p.where("not sure")
+    sides = todo.select("cluster", F.col("x_bin").alias("bin"), F.col("x_block").alias("block"), pair, F.lit(0).alias("side"))
+    sides = sides.union(todo.where("not own").select("cluster", "y_bin", "y_block", pair, F.lit(1)))
+    rows = m.join(sides, key).select("cluster", "pair", "side", "a", "elements")
+
+    def run(key, table):
+        side, a = np.array(table.column("side")), np.array(table.column("a"))
+        i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        own = not len(j)
+        elements = table.column("elements").combine_chunks()
+        one = _packed(elements.take(pa.array(i)))
+        other = one if own else _packed(elements.take(pa.array(j)))
+        j = i if own else j
+        links = linked_matrix(intersections(one, len(i), other, len(j)), np.bincount(one[1], minlength=len(i)), np.bincount(other[1], minlength=len(j)), threshold)
+        if own:
+            np.fill_diagonal(links, False)
+        src, dst = spanning(links, a[i], a[j])
+        ids, n = (a[i], links.sum(1)) if own else (np.concatenate([a[i], a[j]]), np.concatenate([links.sum(1), links.sum(0)]))
+        some = n > 0
+        return pa.table({
+            "a": np.concatenate([ids[some], src]), "b": pa.array(np.concatenate([np.zeros(int(some.sum()), np.int64), dst]), mask=np.arange(int(some.sum()) + len(src)) < int(some.sum())),
+            "n": np.concatenate([n[some].astype(np.int64), np.zeros(len(src), np.int64)]),
+        })
+
+    compared = written(rows.groupBy("cluster", "pair").applyInArrow(run, "a long, b long, n long"), "compared")
+    near = m.where("near and a <> cluster").select(F.col("cluster").alias("a"), F.col("a").alias("b"))
+    edges = compared.where("b is not null and a <> b").select("a", "b").union(near)
+    return counts.union(compared.where("b is null").select("a", "n")), edges
 
 
 def _linked(pairs: DataFrame, known: DataFrame, groups: DataFrame, n_words: int, threshold: float) -> DataFrame:
@@ -465,14 +585,29 @@ def _linked(pairs: DataFrame, known: DataFrame, groups: DataFrame, n_words: int,
     return written(_verified(pairs, sets, threshold), "links")
 
 
+def _clusters(found: DataFrame, open_sets: DataFrame) -> DataFrame:
+    """a, cluster (its smallest fingerprint) of the open sets that share large buckets, directly or not."""
+    large = found.where("sig is not null").select("sig", F.col("a").alias("fp"), "band")
+    members = large.join(open_sets, ["fp", "band"], "left_semi").select("sig", F.col("fp").alias("a")).distinct()
+    # in two steps, so that no bucket is a hot key: the least of each part of a bucket, and of these the least
+    members = members.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    parts = members.groupBy("sig", "salt").agg(F.min("a").alias("least"))
+    near = members.join(parts, ["sig", "salt"]).where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    tops = parts.groupBy("sig").agg(F.min("least").alias("top"))
+    far = parts.join(tops, "sig").where("least <> top").select(F.col("top").alias("a"), F.col("least").alias("b"))
+    star = written(near.union(far).distinct(), "star")
+    return written(components(star, "a", "b").select(F.col("node").alias("a"), F.col("component").alias("cluster")), "clusters")
+
+
 def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: float = 0.75) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row of docs (doc_id, text).
 
     component_id is the smallest doc_id reachable by links, the row's own
-    included; n_links counts the other distinct sets it was found linked with.
-    Empty, blank and null texts have n_shingles 0 and are their own component. A row with a
+    included; n_links is the number of other distinct sets that the row's set is linked
+    with. Both are exact (elements are 64-bit hashes).
+    Empty, blank and null texts have n_shingles 0, no links and are their own component. A row with a
     null doc_id gets a null component and links nothing. Repeated rows come
-    back as often as they went in. Elements are 64-bit hashes."""
+    back as often as they went in; extra columns are ignored; an empty table gives an empty result."""
     spark = docs.sparkSession
     nodes = written(set_nodes(docs, n_words), "nodes")
     named = nodes.where("fp is not null and doc_id is not null")
@@ -486,50 +621,43 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: float = 0.7
     found = written(blobs.mapInArrow(_buckets(threshold), FOUND_SCHEMA), "buckets")
     pairs = found.where("sig is null").select("a", "b")
     open_sets = written(_unsettled(found), "unsettled")
-    star = None
+    counts = edges = None
     if not open_sets.isEmpty():
         texts = written(_elements(known, groups, open_sets.select("fp").distinct(), n_words).join(open_sets, "fp"), "unsettled-sets")
         again = _element_blobs(texts, threshold, parts).mapInArrow(_buckets(threshold), FOUND_SCHEMA)
         again = written(again, "elements")
         pairs = pairs.union(again.where("sig is null").select("a", "b"))
         open_sets = written(_unsettled(again), "open")
-        if not open_sets.isEmpty():
-            large = found.where("sig is not null").select("sig", F.col("a").alias("fp"), "band")
-            members = large.join(open_sets, ["fp", "band"], "left_semi").select("sig", F.col("fp").alias("a"))
-            star = members.groupBy("sig").agg(F.min("a").alias("least"))
-            star = members.join(star, "sig").where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
-            star = written(star.distinct(), "star")
-            pairs = pairs.union(star)
+        cluster = _clusters(found, open_sets)
+        if not cluster.isEmpty():
+            counts, edges = _counted(cluster, texts.select("fp", "elements").dropDuplicates(["fp"]), threshold)
+            # pairs within a cluster are counted there
+            one, other = cluster.select("a", F.col("cluster").alias("ca")), cluster.select(F.col("a").alias("b"), F.col("cluster").alias("cb"))
+            pairs = pairs.join(one, "a", "left").join(other, "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
     links = _linked(pairs.distinct(), known, groups, n_words, threshold)
-    if star is not None and not star.isEmpty():
-        # all sets that share large buckets, directly or not, are one cluster: a set is compared once, not once a bucket
-        cluster = components(star, "a", "b").select(F.col("node").alias("a"), F.col("component").alias("cluster"))
-        label = components(links, "a", "b").select(F.col("node").alias("a"), "component")
-        m = cluster.join(label, "a", "left").select("cluster", "a", F.coalesce("component", "a").alias("component"))
-        mixed = m.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("cluster")
-        m = written(m.join(mixed, "cluster", "left_semi"), "mixed")
-        if not m.isEmpty():
-            more = _compared_blocks(m, groups, threshold)
-            links = links.union(_linked(more, known, groups, n_words, threshold)).distinct()
+    ends = links.select("a", F.lit(1).cast("long").alias("n")).union(links.select("b", F.lit(1).cast("long")))
+    if counts is not None:
+        ends, links = ends.union(counts), links.union(edges)
+    degree = ends.groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n_links"))
     rep = groups.select("fp", "rep")
-    edges = (
+    joined = (
         links.join(rep.select(F.col("fp").alias("a"), F.col("rep").alias("src")), "a")
         .join(rep.select(F.col("fp").alias("b"), F.col("rep").alias("dst")), "b")
         .select("src", "dst")
     )
-    edges = written(edges, "linked")
-    comp = components(edges).select(F.col("node").alias("rep"), "component")
-    degree = edges.union(edges.select(F.col("dst"), F.col("src"))).groupBy(F.col("src").alias("rep")).agg(F.count("*").alias("n_links"))
-    classes = groups.select("fp", "rep").join(comp, "rep", "left").join(degree, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    comp = components(written(joined, "linked")).select(F.col("node").alias("rep"), "component")
+    classes = written(rep.join(comp, "rep", "left").join(degree, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
     return nodes.join(classes, "fp", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("fp").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
     )
 
 
 def keep_one(docs: DataFrame, n_words: int = 5, threshold: float = 0.75) -> DataFrame:
-    """Of each component the row with the smallest doc_id; repeated rows with that id stay as they are."""
+    """docs, its columns as they are, with one document of each component: that with the smallest doc_id.
+
+    Repeated rows with that id stay as they are; rows without text, words or doc_id stay; an empty table stays empty."""
     c = jaccard_components(docs, n_words, threshold).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(c, "doc_id", "left_anti")
