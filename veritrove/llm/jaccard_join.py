@@ -628,8 +628,8 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: float = 0.7
         again = written(again, "elements")
         pairs = pairs.union(again.where("sig is null").select("a", "b"))
         open_sets = written(_unsettled(again), "open")
-        cluster = _clusters(found, open_sets)
-        if not cluster.isEmpty():
+        cluster = None if open_sets.isEmpty() else _clusters(found, open_sets)
+        if cluster is not None and not cluster.isEmpty():
             counts, edges = _counted(cluster, texts.select("fp", "elements").dropDuplicates(["fp"]), threshold)
             # pairs within a cluster are counted there
             one, other = cluster.select("a", F.col("cluster").alias("ca")), cluster.select(F.col("a").alias("b"), F.col("cluster").alias("cb"))
