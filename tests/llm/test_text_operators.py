@@ -239,13 +239,40 @@ def test_lm_rare_words_are_joined(spark, monkeypatch):
 
 
 def test_model_probabilities_sum_to_one():
-    m = lm_scoring.LogBilinear()
-    counts = np.zeros((lm_scoring.CLASSES**2, lm_scoring.CLASSES))
-    counts[3, 5] = 40
-    counts[7, 9] = 40
-    m.fit(counts)
-    p = 10 ** m.log10_table().astype(float)
-    assert np.allclose(p.sum(1), 1, atol=1e-4) and p[3, 5] > p[7, 5]
+    rng = np.random.default_rng(12)
+    weights, starts = rng.random(40) * 50 + 1, np.r_[np.arange(12), 20, 21, 40]
+    m = lm_scoring.LogBilinear(weights, starts)
+    m.begin()
+    for _ in range(300):  # 5 follows 3, 30 follows 7
+        c1 = rng.choice([3, 7], 64)
+        m.train(np.where(c1 == 3, 5, 30), c1, rng.integers(0, 40, 64), rng)
+    every = np.arange(40)
+    p = {c: 10 ** m.log10(every, np.full(40, c), np.full(40, 9)).astype(float) for c in (0, 3, 7, 33)}
+    assert all(abs(x.sum() - 1) < 1e-4 for x in p.values()) and p[3][5] > 0.5 > p[7][5] and p[7][30] > 0.5 > p[3][30]
+    # against the definition: products one by one
+    h = m.p["A"][7] + m.p["B"][9]
+    c = np.exp([m.p["C"][k] @ h + m.p["d"][k, 0] for k in range(14)])
+    w = np.exp([m.p["R"][x] @ h + m.p["b"][x, 0] for x in range(21, 40)])
+    assert p[7][30] == pytest.approx(c[13] / c.sum() * w[30 - 21] / w.sum(), rel=1e-3)
+
+
+def test_shares_of_other_words(spark, monkeypatch):
+    """What a tail's symbol stands for adds up to one: its words without a symbol, and one more for unseen words."""
+    monkeypatch.setattr(lm_scoring, "MIN_COUNT", 4)
+    monkeypatch.setattr(lm_scoring, "SINGLES", 8)
+    rng = np.random.default_rng(13)
+    texts = [prose(rng, 60, 300) for _ in range(20)]
+    counts = lm_scoring.count_words(frame(spark, texts))
+    v = lm_scoring.vocabulary(counts)
+    c = Counter(w for t in texts for w in t.split())
+    tails = {r["word"]: r["tail"] for r in counts.collect()}
+    rest = Counter()
+    for w, n in c.items():
+        if n < 4:
+            rest[tails[tv.hash_of(w)]] += n + 1
+    assert np.allclose(10**v.rest, [rest[t] + 1 for t in range(lm_scoring.TAILS)])
+    assert v.modelled == 20 + sum(n for n in c.values() if n >= 4) and v.total == 20 * 61 and v.kinds == len(c) + 1
+    assert np.all(np.diff(v.starts) > 0) and len(v.weights) == v.starts[-1] and set(v.symbols) >= set(range(8))
 
 
 def test_packing(spark):
