@@ -89,6 +89,33 @@ def test_parts_that_go():
     assert one(page(body)) == "Keep\nthis"
 
 
+def test_headers_of_articles_and_links_in_sentences_stay():
+    assert one(page("<article><header><h1>Title</h1></header><p>See <a class='related'>this link</a> inside.</p><h2 class='search-results'>Found</h2><footer>f</footer></article>")) == "Title\nSee this link inside.\nFound"
+    assert one(page("<article><p>x</p><a class='related'>more</a></article>")) == "x"
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    for bad in ("<a href=\"x ", "<a title='", "<!", "<!--", "<p class=x\"y>", "<script>", "</", "<b =", "<div id=\"", "&#", "<a " + " " * 50):
+        took = []
+        for n in (20_000, 80_000):
+            start = time.process_time()
+            one("<article><p>kept</p>" + bad * n)
+            took.append(time.process_time() - start)
+        assert took[1] < 8 * took[0] + 1, bad
+    assert one("<article><p class=don't>one</p><p>it's</p></article>") == "one\nit's"
+
+
+def test_sidebars_of_neutral_names():
+    """What is the same on all pages goes, wherever it is; what differs stays."""
+    make = lambda k: page(f"<div class='k1'><p>Story {k} goes on and on.</p></div><div class='k2'>" + "Constant words of a side column. " * 20 + "</div>")
+    assert html_extract.extract_group([make(k) for k in range(6)]) == [f"Story {k} goes on and on." for k in range(6)]
+    make = lambda k: page(f"<article><p>Story {k}.</p></article><div class='k2'>" + f"Latest: {k} " * 40 + "</div>")
+    assert html_extract.extract_group([make(k) for k in range(6)]) == [f"Story {k}." for k in range(6)]
+    assert one(make(1)) == "Story 1."  # a host of one page
+
+
 def test_names_need_whole_words():
     assert one(page("<article><p class='header-image adventure'>no</p><p class='adventure loaded'>yes</p></article>")) == "yes"
 
