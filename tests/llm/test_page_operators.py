@@ -4,6 +4,7 @@ import base64
 import hashlib
 import struct
 
+import numpy as np
 import pytest
 import zstandard
 
@@ -158,11 +159,57 @@ def test_one_wrapper_for_a_large_host(spark, monkeypatch):
     assert all(got[k] == f"First {k}\nWords {k}" and got[20 + k] == f"Other {k}" for k in range(20)) and got[45] == got[0]
 
 
+def outline(html):
+    return html_extract.frame_of(html_extract.parse(html)).outline
+
+
+def brute_match(a, b):
+    """Simple tree matching by its definition: the best order-keeping pairing of children, tried in every way."""
+    if a[:2] != b[:2]:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[1:], y), best(x, y[1:]), brute_match(x[0], y[0]) + best(x[1:], y[1:]))
+
+    return 1 + best(a[2:], b[2:])
+
+
 def test_simple_tree_matching():
-    a = html_extract.outline(html_extract.parse("<div><p>x</p><ul><li>1<li>2</ul></div>"))
-    b = html_extract.outline(html_extract.parse("<div><p>x</p><p>y</p><table></table><ul><li>1</ul></div>"))
-    # root, div, p and its text, ul, li and its text
-    assert html_extract.match(a, b, {}) == 7 and html_extract.match(a, a, {}) == html_extract._size(a)
+    a, b = outline("<div><h2>x</h2><div><ul><li>1<li>2</ul></div></div>"), outline("<div><h2>x</h2><p>y</p><div><table></table><ul><li>1</ul></div></div>")
+    assert html_extract.match(a, b, {}) == 5 == brute_match(a, b)  # root, div, h2, div, ul
+    rng = np.random.default_rng(4)
+
+    def tree(depth):
+        kids = [tree(depth - 1) for _ in range(int(rng.integers(0, 4)))] if depth else []
+        return ("div" if kids or rng.random() < 0.4 else str(rng.choice(["p", "h2"])), "", *kids)
+
+    for _ in range(150):
+        a, b = tree(3), tree(3)
+        assert html_extract.match(a, b, {}) == brute_match(a, b) == html_extract.match(b, a, {})
+        pairs = html_extract.matched(a[2:], b[2:], {})
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+        if a[0] == b[0]:
+            assert 1 + sum(brute_match(a[2 + i], b[2 + j]) for i, j in pairs) == brute_match(a, b)
+
+
+def test_alignment_tells_nameless_siblings_apart():
+    """Nameless blocks are told apart by matching, though some pages lack one and the words are those of another block elsewhere."""
+    make = lambda k: page("<div><p>Home and more</p></div>" + ("<div><table><tr><td>Offers</td></tr></table></div>" if k % 2 else "") + f"<div><h2>Story {k}</h2><p>{'Home and more' if k == 3 else f'Words {k}'}</p></div><div><p>Legal words</p></div>")
+    got = html_extract.extract_group([make(k) for k in range(8)])
+    assert [g.replace("Offers\n", "") for g in got] == [f"Story {k}\n" + ("Home and more" if k == 3 else f"Words {k}") for k in range(8)]
+
+
+def test_query_equals_one_host_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "GROUP_PAGES", 5)
+    rng = np.random.default_rng(5)
+    block = lambda k, c: f"<div class='{c}'><p>{rng.integers(99) if c == 'v' else c} words</p></div>"
+    rows = [(k, f"http://h{k % 3}/x", page("".join(block(k, str(rng.choice(["v", "a", "b"]))) for _ in range(4)))) for k in range(60)]
+    got = {r.page_id: r.text for r in html_extract.extract(frame(spark, rows)).collect()}
+    for h in range(3):
+        own = [r for r in rows if r[0] % 3 == h]
+        assert [got[r[0]] for r in own] == html_extract.extract_group([r[2] for r in own])
 
 
 def test_deep_and_wide_pages():
