@@ -4,7 +4,7 @@ Words are counted over all training documents. Symbols are the end of a text,
 all words of MIN_COUNT occurrences (the MOST_WORDS most frequent at most, which
 is what a worker holds), and TAILS symbols for other words, told apart by their
 last bytes; symbols are outputs, and contexts are the two symbols before. The
-score of an output is bilinear, (A[c1] + B[c2]) . R[w] + b[w]. Outputs are in classes: the
+score of an output is bilinear, (A[c1] + B[c2]) . R[w], with a bias. Outputs are in classes: the
 SINGLES most frequent are alone, the others go by their words' last bytes, so
 log P(w) = log P(class | context) + log P(w | class, context), both from the
 same context vector, and both normalised exactly by batched matrix products.
@@ -34,16 +34,16 @@ from pyspark.sql import functions as F
 from veritrove.llm import textvec as tv
 from veritrove.plans.session import written
 
-MIN_COUNT, MOST_WORDS, SINGLES, TAILS = 3, 1 << 16, 256, 256
+MIN_COUNT, MOST_WORDS, SINGLES, TAILS = 3, 1 << 15, 128, 128
 DIMENSIONS = 16
-CLASS_NOISE, WORD_NOISE = 64, 3  # noise samples: classes for a batch, words for each word seen
+CLASS_NOISE, WORD_NOISE = 32, 2  # noise samples: classes for a batch, words for each word seen
 RATE = 0.1
 #: Words in a batch: few at first, then more; words that a task trains on at least where there are so many; rounds.
-FIRST_BATCH, BATCH, TASK_WORDS, ROUNDS = 64, 4096, 1 << 24, 2
+FIRST_BATCH, BATCH, TASK_WORDS, ROUNDS = 64, 8192, 1 << 24, 2
 #: Training documents are passed over until so many words were seen, PASSES times at most and once at least.
 SEEN_WORDS, PASSES = 4_000_000, 8
 #: Rows of parameters that are merged at a time; numbers in a slice of a matrix product.
-ROW_BLOCK, CELLS = 2048, 1 << 18
+ROW_BLOCK, CELLS = 2048, 1 << 17
 TOP = 1 << 19
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x7F4A7C159E3779B9)
@@ -190,14 +190,14 @@ def _symbols(s: tv.Slice, v: Vocabulary) -> tuple[np.ndarray, ...]:
 
 def _summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, the sums of their gradients, and how many they are."""
-    order = np.argsort(rows)
+    order = np.argsort(rows.astype(np.int32))
     rows = rows[order]
     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     return rows[first], np.add.reduceat(grads[order], first, axis=0), np.diff(np.r_[first, len(rows)])
 
 
 class LogBilinear:
-    """score(class) = (A[c1] + B[c2]) . C[class] + d[class]; score(w in its class) = (A[c1] + B[c2]) . R[w] + b[w]."""
+    """score(class) = (A[c1] + B[c2]) . C[class]; score(w in its class) = (A[c1] + B[c2]) . R[w]; the last dimension holds the biases."""
 
     def __init__(self, weights: np.ndarray, starts: np.ndarray, seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -208,11 +208,14 @@ class LogBilinear:
         self.log_class = np.log(mass / mass.sum()).astype(np.float32)
         self.log_word = np.log(weights / mass[self.of]).astype(np.float32)  # within the class
         self.cum = np.cumsum(weights / weights.sum())
+        # the last dimension of a context is always one, so that of an output is its bias
         self.p = {x: rng.normal(0, 0.1, (n, DIMENSIONS)).astype(np.float32) for x in "AB"}
-        self.p |= {"R": np.zeros((n, DIMENSIONS), np.float32), "b": self.log_word[:, None].copy()}
-        self.p |= {"C": np.zeros((k, DIMENSIONS), np.float32), "d": self.log_class[:, None].copy()}
+        self.p["A"][:, -1], self.p["B"][:, -1] = 1, 0
+        self.p |= {"R": np.zeros((n, DIMENSIONS), np.float32), "C": np.zeros((k, DIMENSIONS), np.float32)}
+        self.p["R"][:, -1], self.p["C"][:, -1] = self.log_word, self.log_class
 
     def begin(self) -> None:
+        """Before training: the rates are as at the start."""
         self.squares = {k: np.zeros(len(v), np.float32) for k, v in self.p.items()}
         self.used = {k: np.zeros(len(v), np.float32) for k, v in self.p.items()}
 
@@ -232,27 +235,26 @@ class LogBilinear:
         k = self.of[w]
         ends = self.cum[self.starts[1:] - 1]
         noise = np.minimum(np.searchsorted(ends, rng.random(CLASS_NOISE) * ends[-1], "right"), len(ends) - 1)
-        yes = _sigmoid((h * p["C"][k]).sum(1) + p["d"][k, 0] - self.log_class[k] - np.float32(np.log(CLASS_NOISE))) - 1
-        no = _sigmoid(h @ p["C"][noise].T + p["d"][noise, 0] - self.log_class[noise] - np.float32(np.log(CLASS_NOISE)))
-        g_h = yes[:, None] * p["C"][k] + no @ p["C"][noise]
-        g_c, g_d = np.concatenate([yes[:, None] * h, no.T @ h]), np.concatenate([yes, no.sum(0)])[:, None]
-        rows = np.concatenate([k, noise])
-        wide = np.flatnonzero(np.diff(self.starts)[k] > 1)
+        own, others = p["C"][k], p["C"][noise]
+        yes = _sigmoid(np.einsum("nd,nd->n", h, own) - self.log_class[k] - np.float32(np.log(CLASS_NOISE))) - 1
+        no = _sigmoid(h @ others.T - self.log_class[noise] - np.float32(np.log(CLASS_NOISE)))
+        g_h = yes[:, None] * own + no @ others
+        g_c, rows = np.concatenate([yes[:, None] * h, no.T @ h]), np.concatenate([k, noise])
+        wide = np.flatnonzero(self.starts[k + 1] - self.starts[k] > 1)
         if len(wide):
-            x, hw, kw = w[wide], h[wide], k[wide]
-            low = np.where(self.starts[kw] > 0, self.cum[self.starts[kw] - 1], 0)
-            u = low[:, None] + rng.random((len(wide), WORD_NOISE)) * (ends[kw] - low)[:, None]
-            z = np.clip(np.searchsorted(self.cum, u, "right"), self.starts[kw][:, None], self.starts[kw + 1][:, None] - 1)
-            both = np.concatenate([x[:, None], z], 1)
+            hw, kw = h[wide], k[wide]
+            first, end = self.starts[kw], ends[kw]
+            low = np.where(first > 0, self.cum[first - 1], 0)
+            u = low[:, None] + rng.random((len(wide), WORD_NOISE)) * (end - low)[:, None]
+            z = np.clip(np.searchsorted(self.cum, u, "right"), first[:, None], self.starts[kw + 1][:, None] - 1)
+            both = np.concatenate([w[wide, None], z], 1)
             vec = p["R"][both]
-            s = np.einsum("nd,nkd->nk", hw, vec) + p["b"][both, 0] - self.log_word[both] - np.float32(np.log(WORD_NOISE))
-            g = _sigmoid(s)
+            g = _sigmoid(np.einsum("nd,nkd->nk", hw, vec) - self.log_word[both] - np.float32(np.log(WORD_NOISE)))
             g[:, 0] -= 1
             g_h[wide] += np.einsum("nk,nkd->nd", g, vec)
             self._step("R", both.ravel(), (g[:, :, None] * hw[:, None]).reshape(-1, DIMENSIONS))
-            self._step("b", both.ravel(), g.reshape(-1, 1))
+        g_h[:, -1] = 0
         self._step("C", rows, g_c)
-        self._step("d", rows, g_d)
         self._step("A", c1, g_h)
         self._step("B", c2, g_h)
 
@@ -262,11 +264,9 @@ class LogBilinear:
         out = np.empty(len(w), np.float32)
         k = self.of[w]
         step = max(1, CELLS // max(1, len(self.starts) - 1))
-        h = np.ones((len(w), DIMENSIONS + 1), np.float32)  # a last one takes the biases along
-        np.add(p["A"][c1], p["B"][c2], out=h[:, :-1])
-        classes, words = np.concatenate([p["C"], p["d"]], 1), np.concatenate([p["R"], p["b"]], 1)
+        h = p["A"][c1] + p["B"][c2]
         for a in range(0, len(w), step):
-            out[a : a + step] = _log_share(h[a : a + step] @ classes.T, k[a : a + step])
+            out[a : a + step] = _log_share(h[a : a + step] @ p["C"].T, k[a : a + step])
         order = np.argsort(k, kind="stable")
         edge = np.searchsorted(k[order], np.arange(len(self.starts)))
         for c in np.flatnonzero((np.diff(edge) > 0) & (np.diff(self.starts) > 1)).tolist():
@@ -274,12 +274,12 @@ class LogBilinear:
             step = max(1, CELLS // (hi - lo))
             for a in range(int(edge[c]), int(edge[c + 1]), step):
                 at = order[a : min(a + step, int(edge[c + 1]))]
-                out[at] += _log_share(h[at] @ words[lo:hi].T, w[at] - lo)
+                out[at] += _log_share(h[at] @ p["R"][lo:hi].T, w[at] - lo)
         return out / np.float32(np.log(10))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
 
 
 def _log_share(s: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -304,7 +304,7 @@ def _fitted(model: LogBilinear, texts: Iterator[pa.Array], v: Vocabulary, passes
                 order = rng.permutation(len(w))
                 a = 0
                 while a < len(order):
-                    size = min(BATCH, FIRST_BATCH + seen // 256)
+                    size = min(BATCH, FIRST_BATCH + seen // 64)
                     at = order[a : a + size]
                     model.train(w[at], c1[at], c2[at], rng)
                     seen += len(at)
