@@ -7,6 +7,22 @@ force, the library or exact round trips in tests/llm.
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
+_QUALITY = rf"""with d as (
+  select row_number() over () as rn, doc_id, coalesce(source, '') as host, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '{_WORDS}') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORDS}')) as lines from d),
+g as (select rn, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select rn, w, unnest(range(1, len(w) - 1)) as i from w)),
+r as (select rn, i from (select rn, i, count(*) over (partition by rn, g) as c from g) where c > 1),
+c as (select rn, count(distinct p) as c from (select rn, unnest([i, i + 1, i + 2]) as p from r) group by 1),
+f as (select doc_id, host, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(c.c, 0) as n_repeat_words
+  from w left join c on c.rn = w.rn),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f),
+h as (select host, count(*)::double as n, sum(base_failed::int)::double as k from b group by 1),
+q as (select count(*) as c, sum(n) as n, sum(k) as k, sum(k * k / n) as kk, sum(n * n) as nn, sum(k) / sum(n) as m from h),
+y as (select m, case when m * (1 - m) * (n - nn / n - (c - 1)) > 0 then (kk - m * k - m * (1 - m) * (c - 1)) / (m * (1 - m) * (n - nn / n - (c - 1))) end as rho from q),
+z as (select m, case when rho is null then 10.0 when rho > 0 then greatest(1.0, least(10000.0, (1 - rho) / rho)) else 10000.0 end as s from y),
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": rf"""with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') as w from documents),
@@ -21,21 +37,9 @@ r(id, root) as (select doc_id, doc_id from n union select e.b, r.root from r joi
 m as (select id, min(root) as component_id from r group by 1),
 d as (select e.a as id, count(distinct y.k) as n_links from e join n x on x.doc_id = e.a join n y on y.doc_id = e.b where x.k <> y.k group by 1)
 select n.doc_id, n.n as n_shingles, m.component_id, coalesce(d.n_links, 0) as n_links from n join m on m.id = n.doc_id left join d on d.id = n.doc_id""",
-    "op2_quality_rules": rf"""with d as (
-  select row_number() over () as rn, doc_id, coalesce(source, '') as host, coalesce(text, '') as t from documents),
-w as (select *, regexp_extract_all(t, '{_WORDS}') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORDS}')) as lines from d),
-g as (select rn, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select rn, w, unnest(range(1, len(w) - 1)) as i from w)),
-r as (select rn, i from (select rn, i, count(*) over (partition by rn, g) as c from g) where c > 1),
-c as (select rn, count(distinct p) as c from (select rn, unnest([i, i + 1, i + 2]) as p from r) group by 1),
-f as (select doc_id, host, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
-  len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(c.c, 0) as n_repeat_words
-  from w left join c on c.rn = w.rn),
-b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f),
-h as (select host, count(*) as n, sum(base_failed::int) as k from b group by 1),
-q as (select avg(k / n::double) as m, var_samp(k / n::double) as v from h),
-z as (select m, case when v > 0 then greatest(1.0, least(10000.0, m * (1 - m) / v - 1)) else 10.0 end as s from q),
-x as (select host, (k + m * s) / (n + s) > 0.5 as host_failed from h, z)
+    "op2_quality_rules": rf"""{_QUALITY}x as (select host, (k + m * s) / (n + s) > 0.5 as host_failed from h, z)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not host_failed as kept, host_failed from b join x on x.host = b.host""",
+    "quality_hosts": rf"""{_QUALITY}select host, n::bigint as n_docs, k::bigint as n_failed, round((k + m * s) / (n + s), 6) as host_rate, (k + m * s) / (n + s) > 0.12 as host_failed from h, z""",
     "op7_line_dedup": rf"""with d as (select row_number() over () as rn, doc_id, coalesce(source, '') as site, string_split(coalesce(text, ''), chr(10)) as l from documents),
 e as (select rn, doc_id, site, unnest(l) as line, generate_subscripts(l, 1) as pos from d),
 s as (select line, min(doc_id) as keeper from e where regexp_matches(line, '{_WORDS}') group by 1 having count(distinct site) >= 8),

@@ -2,7 +2,8 @@
 
 Document rules give base_failed; failures are then counted by host (the source
 column), each host's failure rate is shrunk towards an empirical beta prior
-fitted to all hosts by moments, and hosts whose shrunk rate exceeds a limit
+fitted to all hosts by the moments of a beta-binomial, in which hosts weigh as their
+documents and their sampling noise is taken off, and hosts whose shrunk rate exceeds a limit
 take their other documents with them.
 """
 
@@ -67,12 +68,17 @@ def quality_features(docs: DataFrame) -> DataFrame:
 def host_verdicts(flags: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """host, n_docs, n_failed, host_rate (shrunk), host_failed from (host, base_failed) rows."""
     hosts = flags.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"))
-    size = F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1
+    n, k = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    sums = hosts.agg(F.count("*").alias("c"), F.sum(n).alias("n"), F.sum(k).alias("k"), F.sum(k * k / n).alias("kk"), F.sum(n * n).alias("nn"))
+    mean = F.col("k") / F.col("n")
+    # between hosts: what the weighted spread of rates has over that of samples from one rate
+    spread = F.col("kk") - mean * F.col("k") - mean * (1 - mean) * (F.col("c") - 1)
+    most = mean * (1 - mean) * (F.col("n") - F.col("nn") / F.col("n") - (F.col("c") - 1))
+    prior = sums.where("c > 0").select(mean.alias("mean"), F.when(most > 0, spread / most).alias("rho"))
+    size = F.greatest(F.lit(PRIOR_LEAST), F.least(F.lit(PRIOR_MOST), (1 - F.col("rho")) / F.col("rho")))
     prior = prior.select(
         "mean",
-        F.when(F.col("var") > 0, F.greatest(F.lit(PRIOR_LEAST), F.least(F.lit(PRIOR_MOST), size))).otherwise(PRIOR_DEFAULT).alias("size"),
+        F.when(F.col("rho").isNull(), PRIOR_DEFAULT).when(F.col("rho") > 0, size).otherwise(PRIOR_MOST).alias("size"),
         F.lit(1).alias("_one"),
     )
     shrunk = (F.col("n_failed") + F.col("mean") * F.col("size")) / (F.col("n_docs") + F.col("size"))
@@ -94,23 +100,26 @@ def quality_rules(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     as often as they occur. An empty table gives an empty result."""
     thin = docs.select("doc_id", "text", _host().alias("host"))
     f = written(quality_features(thin).select("doc_id", "host", "q.*"), "quality")
-    verdict = host_verdicts(f, limit).select("host", "host_failed")
-    out = f.join(verdict, "host")
+    failed = _failed_hosts(f, limit).withColumn("host_failed", F.lit(True))
+    out = f.join(failed, "host", "left").withColumn("host_failed", F.coalesce("host_failed", F.lit(False)))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), "host_failed",
     )
 
 
+def _failed_hosts(flags: DataFrame, limit: float) -> DataFrame:
+    """host of the hosts that fail, as a written table: Spark knows its size, and broadcasts it only where that is small."""
+    return written(host_verdicts(flags, limit).where("host_failed").select("host"), "hosts")
+
+
 def keep_good(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of docs that pass, with their columns as they were.
 
-    Features are taken twice, once to judge hosts and once to filter, as that
-    moves no text."""
+    Features are taken once: rows that pass the rules are written with their host, of the others the host alone.
+    Null and blank texts fail; a null source is the host ''; repeated rows stay or go together; an empty table stays empty."""
     # the row goes along as a struct, so its names can't clash with those used here
-    tagged = docs.select(F.struct("*").alias("_doc"), "text", _host().alias("_host"))
-    flags = quality_features(tagged.select("text", F.col("_host").alias("host"))).select("host", "q.base_failed")
-    bad = written(host_verdicts(flags, limit).where("host_failed").select(F.col("host").alias("_host")), "hosts")
-    # the row number keeps the filter above the features; pushed down, it would take them anew inside lambdas
-    good = quality_features(tagged).withColumn("_row", F.monotonically_increasing_id()).where("not q.base_failed and _row >= 0")
-    return good.join(bad, "_host", "left_anti").select("_doc.*")
+    tagged = quality_features(docs.select(F.struct("*").alias("_doc"), "text", _host().alias("host")))
+    judged = tagged.select(F.when(~F.col("q.base_failed"), F.col("_doc")).alias("_doc"), "host", F.col("q.base_failed").alias("base_failed"))
+    judged = written(judged, "judged")
+    return judged.where("not base_failed").join(_failed_hosts(judged, limit), "host", "left_anti").select("_doc.*")

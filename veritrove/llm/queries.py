@@ -22,6 +22,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on hosts with a limit that some hosts of the tables exceed."""
+    from pyspark.sql import functions as F
+
+    from veritrove.llm.quality_rules import host_verdicts, quality_features
+
+    d = quality_features(_table(spark, sf_dir, "documents").select("text", F.coalesce("source", F.lit("")).alias("host")))
+    v = host_verdicts(d.select("host", "q.base_failed"), 0.12)
+    return v.select("host", "n_docs", "n_failed", F.round("host_rate", 6).alias("host_rate"), "host_failed")
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veritrove.llm.lm_scoring import score_texts
 
@@ -76,6 +87,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard, op2_quality_rules, op3_lm_scoring, op4_best_fit_packing, op5_license_scan,
-        op6_decontamination, op7_line_dedup, op8_warc, op9_token_counts, op10_html_extraction,
+        op6_decontamination, op7_line_dedup, op8_warc, op9_token_counts, op10_html_extraction, quality_hosts,
     )
 }
