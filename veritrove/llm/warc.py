@@ -30,6 +30,8 @@ FRAME_MAGIC = 0xFD2FB528
 #: Bytes of records in an archive before the next one begins; pages and bytes that a dictionary is trained on at most.
 ARCHIVE_BYTES = 4 << 20
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 2 << 20, 32 << 10
+#: Payloads that occur more than once (28 bytes each), broadcast at most; parts of a payload's rows beyond that.
+MOST_REPEATS, SALTS = 1 << 18, 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -166,13 +168,19 @@ def with_references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Of equal payloads of at least so many bytes the smallest page_id's is the
     response. Rows that repeat it are responses too, and so are rows without a
-    page_id. The hot payload's rows are joined to one row made by a partial
-    aggregation, by payload hash and length."""
+    page_id. Only payloads that occur more than once are looked up: up to MOST_REPEATS of them are
+    broadcast, and html stays where it is; more are joined by shuffling, a payload's rows in parts by page_id."""
     p = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("key", F.sha1("html"))
-    first = p.groupBy("key").agg(F.min("page_id").alias("first"))
-    again = (F.col("first") < F.col("page_id")) & (F.octet_length("html") >= least_bytes)
-    return p.join(first, "key").select("page_id", "url", "html", F.when(again, F.col("first")).alias("refers_to"))
+    p = p.withColumn("key", F.unhex(F.sha1("html")))
+    first = p.where(F.octet_length("html") >= least_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = written(first.where("n > 1").select("key", "first"), "repeats")
+    if first.count() <= MOST_REPEATS:
+        j = p.join(F.broadcast(first), "key", "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS))
+        parts = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        j = p.withColumn("salt", salt).join(parts, ["key", "salt"], "left")
+    return j.select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
 def write_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
