@@ -17,7 +17,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "k", "h", 1) for r in rows], SCHEMA)
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_warc_round_trip(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "MOST_REPEATS", most)  # payloads broadcast, and joined
     rows = [(5, "u", "<p>é</p>"), (3, "u\r\nX: y", "<p>é</p>"), (9, None, None), (8, "u", ""), (3, "u", "<p>é</p>"), (None, "u", "<p>é</p>"), (1, "u", "x" * 300_000), (2, "v", "\r\n\r\nabc\r\n\r\n")]
     got = sorted(map(tuple, warc.warc_round_trip(frame(spark, rows)).collect()), key=str)
     sha = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()

@@ -251,8 +251,9 @@ def test_model_probabilities_sum_to_one():
     assert all(abs(x.sum() - 1) < 1e-4 for x in p.values()) and p[3][5] > 0.5 > p[7][5] and p[7][30] > 0.5 > p[3][30]
     # against the definition: products one by one
     h = m.p["A"][7] + m.p["B"][9]
-    c = np.exp([m.p["C"][k] @ h + m.p["d"][k, 0] for k in range(14)])
-    w = np.exp([m.p["R"][x] @ h + m.p["b"][x, 0] for x in range(21, 40)])
+    assert h[-1] == 1  # the biases' place
+    c = np.exp([m.p["C"][k] @ h for k in range(14)])
+    w = np.exp([m.p["R"][x] @ h for x in range(21, 40)])
     assert p[7][30] == pytest.approx(c[13] / c.sum() * w[30 - 21] / w.sum(), rel=1e-3)
 
 
@@ -448,3 +449,27 @@ def test_token_counts_equal_the_library(spark):
     for k, (t, w) in enumerate(zip(texts, want)):
         assert (got[k].n_tokens, got[k].n_bytes, got[k].over_limit) == (len(w.ids), len((t or "").encode()), len(w.ids) > 512), t
     assert token_counts.count_tokens(d.limit(0), path).count() == 0
+
+
+def test_chunk_maps_compose_wherever_a_piece_is_cut():
+    import public_tokenizers
+
+    t = token_counts.Transducer(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(14)
+    for _ in range(12):
+        piece = "".join(rng.choice(list("abcdeinrst=-ü"), int(rng.integers(70, 700)))).encode()
+        want = len(t.merged(piece)) if len(piece) < 300 else t.run(piece)[1]
+        for size in (1, 3, 7, 64):
+            assert t.scan([piece[k : k + size] for k in range(0, len(piece), size)]) == t.run(piece)
+        cuts = sorted({0, len(piece), *rng.integers(1, len(piece), 9).tolist()})
+        assert t.scan([piece[a:z] for a, z in zip(cuts, cuts[1:])])[1] == want == t.count(piece)
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_counts.tv, "hashes", lambda w: np.zeros(len(w.start), np.uint64))
+    texts = ["the quick brown fox", "the thee thes", "xyzzy 12345"]
+    assert token_counts.Counter(path).counts(texts).tolist() == [len(x.ids) for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]

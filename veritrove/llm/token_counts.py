@@ -11,9 +11,11 @@ are compiled when they are first met and kept by the worker.
 
 At every piece's start the transducer is in its start state, so pieces are
 chunks whose state maps are sums, and a text's count is a difference of their
-prefix sums. Pieces longer than CHUNK bytes are cut further; a chunk's map is
-compiled for the entry states that occur, kept, and composed with its
-neighbours'.
+prefix sums. Pieces longer than CHUNK bytes are cut further. A chunk's map is
+compiled for the states that the bytes before it lead to, and neighbours' maps are
+composed pair by pair, level by level, as in the up-sweep of a parallel prefix scan; the
+pairs of a level don't depend on one another. Where a composition meets a state that a
+map lacks, the map is extended.
 """
 
 from __future__ import annotations
@@ -126,16 +128,51 @@ class Transducer:
             self.reset()
         if len(piece) <= CHUNK:
             return self.run(piece)[1]
-        state, total = 0, 0
-        for k in range(0, len(piece), CHUNK):
-            key = (state, piece[k : k + CHUNK])
-            if key not in self.maps:
-                if len(self.maps) > KEPT_PIECES // 8:
-                    self.maps.clear()
-                self.maps[key] = self.run(key[1], state)
-            state, emitted = self.maps[key]
-            total += emitted
-        return total
+        return self.scan([piece[k : k + CHUNK] for k in range(0, len(piece), CHUNK)])[1]
+
+    def chunk_map(self, chunk: bytes, state: int) -> tuple[int, int]:
+        """What the chunk's map gives for an entry state."""
+        key = (state, chunk)
+        if key not in self.maps:
+            if len(self.maps) > KEPT_PIECES // 8:
+                self.maps.clear()
+            self.maps[key] = self.run(chunk, state)
+        return self.maps[key]
+
+    def scan(self, chunks: list[bytes]) -> tuple[int, int]:
+        """The state after all chunks from the start state, and the tokens more: maps composed in a balanced tree."""
+        level: list[Span] = []
+        before = 0
+        for k, c in enumerate(chunks):
+            level.append(Span(self, c, None, None, {before: self.chunk_map(c, before)}))
+            before = self.chunk_map(c, 0)[0]  # where the bytes before lead to if a piece began with them
+        while len(level) > 1:
+            level = [level[k].then(level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        return level[0].at(0)
+
+
+class Span:
+    """The state map of consecutive chunks, for the entry states met so far: entry to (exit, tokens more)."""
+
+    def __init__(self, machine: Transducer, chunk: bytes | None, left: Span | None, right: Span | None, table: dict[int, tuple[int, int]]):
+        self.machine, self.chunk, self.left, self.right, self.table = machine, chunk, left, right, table
+
+    def at(self, state: int) -> tuple[int, int]:
+        if state not in self.table:
+            if self.chunk is not None:
+                self.table[state] = self.machine.chunk_map(self.chunk, state)
+            else:
+                middle, one = self.left.at(state)
+                end, other = self.right.at(middle)
+                self.table[state] = (end, one + other)
+        return self.table[state]
+
+    def then(self, other: Span) -> Span:
+        """The composition of two neighbours' maps."""
+        out = Span(self.machine, None, self, other, {})
+        for state in list(self.table):
+            out.at(state)
+        return out
 
 
 def character_classes() -> np.ndarray:
@@ -158,7 +195,7 @@ class Counter:
     def __init__(self, path: str):
         self.transducer = Transducer(path)
         self.classes = character_classes()
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
 
     @classmethod
     def of(cls, path: str) -> Counter:
@@ -230,14 +267,19 @@ class Counter:
         z = np.r_[byte[start[1:]], len(data)]
         h = tv.hashes(tv.Words(a, z, np.array([0, len(a)]), data))
         kinds, one, index = np.unique(h, return_index=True, return_inverse=True)
-        n = np.empty(len(kinds), np.int64)
+        if not _alike(data, a, z, one[index]):  # two pieces of one hash: each stands for itself
+            one = index = np.arange(len(a))
+        n = np.empty(len(one), np.int64)
         known, count, raw = self.known, self.transducer.count, data.tobytes()
         if len(known) > KEPT_PIECES:
             known.clear()
-        for k, (x, i) in enumerate(zip(kinds.tolist(), one.tolist())):
+        for k, (i, j) in enumerate(zip(a[one].tolist(), z[one].tolist())):
+            x = raw[i:j]
             v = known.get(x)
             if v is None:
-                v = known[x] = count(raw[a[i] : z[i]])
+                v = count(x)
+                if len(x) <= CHUNK:
+                    known[x] = v
             n[k] = v
         total = np.zeros(len(start) + 1, np.int64)
         np.cumsum(n[index], out=total[1:])
@@ -254,6 +296,15 @@ class Counter:
         return found
 
 
+def _alike(data: np.ndarray, a: np.ndarray, z: np.ndarray, of: np.ndarray) -> bool:
+    """Whether each piece data[a:z] has the bytes of the piece that it is counted as."""
+    n = z - a
+    if (n != n[of]).any():
+        return False
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return bool((data[np.repeat(a, n) + inside] == data[np.repeat(a[of], n) + inside]).all())
+
+
 def _between(text: str, sep: str) -> list[str]:
     out: list[str] = []
     for k, x in enumerate(text.split(sep)):
