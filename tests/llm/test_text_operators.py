@@ -241,7 +241,7 @@ def test_lm_rare_words_are_joined(spark, monkeypatch):
 def test_model_probabilities_sum_to_one():
     rng = np.random.default_rng(12)
     weights, starts = rng.random(40) * 50 + 1, np.r_[np.arange(12), 20, 21, 40]
-    m = lm_scoring.LogBilinear(weights, starts)
+    m = lm_scoring.LogBilinear(weights, starts, np.arange(14) == 13)  # 11 to 19 keep their shares
     m.begin()
     for _ in range(300):  # 5 follows 3, 30 follows 7
         c1 = rng.choice([3, 7], 64)
@@ -254,6 +254,7 @@ def test_model_probabilities_sum_to_one():
     assert h[-1] == 1  # the biases' place
     c = np.exp([m.p["C"][k] @ h for k in range(14)])
     w = np.exp([m.p["R"][x] @ h for x in range(21, 40)])
+    assert p[7][15] == pytest.approx(c[11] / c.sum() * weights[15] / weights[11:20].sum(), rel=1e-3)
     assert p[7][30] == pytest.approx(c[13] / c.sum() * w[30 - 21] / w.sum(), rel=1e-3)
 
 

@@ -5,9 +5,10 @@ all words of MIN_COUNT occurrences (the MOST_WORDS most frequent at most, which
 is what a worker holds), and TAILS symbols for other words, told apart by their
 last bytes; symbols are outputs, and contexts are the two symbols before. The
 score of an output is bilinear, (A[c1] + B[c2]) . R[w], with a bias. Outputs are in classes: the
-SINGLES most frequent are alone, the others go by their words' last bytes, so
+SINGLES most frequent and the tails are alone, the others go by their words' last bytes and frequency, so
 log P(w) = log P(class | context) + log P(w | class, context), both from the
-same context vector, and both normalised exactly by batched matrix products.
+same context vector, and both normalised exactly by batched matrix products. Words
+further down than BAND are too rare for vectors as outputs: in their classes they have their unigram shares.
 
 Training goes over all training documents in batches on the workers, with sampled noise:
 classes from their unigram distribution, and words from that of the
@@ -34,10 +35,11 @@ from pyspark.sql import functions as F
 from veritrove.llm import textvec as tv
 from veritrove.plans.session import written
 
-MIN_COUNT, MOST_WORDS, SINGLES, TAILS = 3, 1 << 15, 128, 128
+#: The words up to BAND have vectors as outputs; those further down are in classes apart, where they keep their shares.
+MIN_COUNT, MOST_WORDS, SINGLES, TAILS, BAND = 3, 1 << 15, 64, 64, 1 << 13
 DIMENSIONS = 16
 CLASS_NOISE, WORD_NOISE = 32, 2  # noise samples: classes for a batch, words for each word seen
-RATE = 0.1
+RATE = 0.2
 #: Words in a batch: few at first, then more; words that a task trains on at least where there are so many; rounds.
 FIRST_BATCH, BATCH, TASK_WORDS, ROUNDS = 64, 8192, 1 << 24, 2
 #: Training documents are passed over until so many words were seen, PASSES times at most and once at least.
@@ -118,6 +120,7 @@ class Vocabulary:
     rest: np.ndarray  # log10 of the add-one total of each tail's words without a symbol
     weights: np.ndarray  # of each symbol, for noise and as a start
     starts: np.ndarray  # first symbol of each class, and one past the last
+    vectored: np.ndarray  # classes whose words have vectors
     total: int  # N
     kinds: int  # V
     modelled: int  # tokens that have symbols of their own
@@ -154,22 +157,26 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     end = int(np.searchsorted(words, END))
     symbols[end] = 0
     symbols[alone] = 1 + np.arange(len(alone))
-    more = more[np.lexsort((np.arange(len(more)), tail[more]))]
-    per = np.bincount(tail[more], minlength=TAILS)
-    starts = 1 + len(alone) + np.r_[0, np.cumsum(per + 1)]  # a tail's words, then its symbol for other words
-    symbols[more] = 1 + len(alone) + np.arange(len(more)) + tail[more]
-    tail_symbols = starts[1:] - 1
+    tail_symbols = 1 + len(alone) + np.arange(TAILS)
+    key = tail[more] * 2 + (np.arange(len(more)) >= BAND)
+    order = np.argsort(key, kind="stable")
+    more, key = more[order], key[order]
+    wide = 1 + len(alone) + TAILS  # symbols alone in their classes
+    symbols[more] = wide + np.arange(len(more))
+    starts = np.r_[np.arange(wide), wide + np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[: len(more)], wide + len(more)]
+    vectored = np.zeros(len(starts) - 1, bool)
+    vectored[wide:] = key[starts[wide:-1] - wide] % 2 == 0
     own = np.flatnonzero(symbols >= 0)
     left_n, left_kinds = np.zeros(TAILS), np.zeros(TAILS)
     for t, (a, k) in tails.items():
         left_n[t], left_kinds[t] = a, k
     left_n -= np.bincount(tail[own], n[own], minlength=TAILS)
     left_kinds -= np.bincount(tail[own], (n[own] > 0).astype(float), minlength=TAILS)
-    weights = np.zeros(int(starts[-1]))
+    weights = np.zeros(wide + len(more))
     weights[symbols[own]] = n[own] + 1.0
     weights[tail_symbols] = left_n + 1
     return Vocabulary(
-        words, n, symbols, tail_symbols, np.log10(left_n + left_kinds + 1), weights, np.r_[np.arange(1 + len(alone)), starts], int(total), int(kinds), int(n[own].sum())
+        words, n, symbols, tail_symbols, np.log10(left_n + left_kinds + 1), weights, starts, vectored, int(total), int(kinds), int(n[own].sum())
     )
 
 
@@ -199,10 +206,10 @@ def _summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class LogBilinear:
     """score(class) = (A[c1] + B[c2]) . C[class]; score(w in its class) = (A[c1] + B[c2]) . R[w]; the last dimension holds the biases."""
 
-    def __init__(self, weights: np.ndarray, starts: np.ndarray, seed: int = 0):
+    def __init__(self, weights: np.ndarray, starts: np.ndarray, vectored: np.ndarray, seed: int = 0):
         rng = np.random.default_rng(seed)
         n, k = len(weights), len(starts) - 1
-        self.starts = starts
+        self.starts, self.vectored = starts, vectored
         self.of = np.repeat(np.arange(k), np.diff(starts))  # class of each symbol
         mass = np.add.reduceat(weights, starts[:-1])
         self.log_class = np.log(mass / mass.sum()).astype(np.float32)
@@ -240,7 +247,7 @@ class LogBilinear:
         no = _sigmoid(h @ others.T - self.log_class[noise] - np.float32(np.log(CLASS_NOISE)))
         g_h = yes[:, None] * own + no @ others
         g_c, rows = np.concatenate([yes[:, None] * h, no.T @ h]), np.concatenate([k, noise])
-        wide = np.flatnonzero(self.starts[k + 1] - self.starts[k] > 1)
+        wide = np.flatnonzero(self.vectored[k])
         if len(wide):
             hw, kw = h[wide], k[wide]
             first, end = self.starts[kw], ends[kw]
@@ -265,16 +272,19 @@ class LogBilinear:
         k = self.of[w]
         step = max(1, CELLS // max(1, len(self.starts) - 1))
         h = p["A"][c1] + p["B"][c2]
+        bounded = _longest(h) * max(_longest(p["C"]), _longest(p["R"])) < 60
         for a in range(0, len(w), step):
-            out[a : a + step] = _log_share(h[a : a + step] @ p["C"].T, k[a : a + step])
+            out[a : a + step] = _log_share(h[a : a + step] @ p["C"].T, k[a : a + step], bounded)
+        plain = np.flatnonzero(~self.vectored[k])
+        out[plain] += self.log_word[w[plain]]
         order = np.argsort(k, kind="stable")
         edge = np.searchsorted(k[order], np.arange(len(self.starts)))
-        for c in np.flatnonzero((np.diff(edge) > 0) & (np.diff(self.starts) > 1)).tolist():
+        for c in np.flatnonzero((np.diff(edge) > 0) & self.vectored).tolist():
             lo, hi = int(self.starts[c]), int(self.starts[c + 1])
             step = max(1, CELLS // (hi - lo))
             for a in range(int(edge[c]), int(edge[c + 1]), step):
                 at = order[a : min(a + step, int(edge[c + 1]))]
-                out[at] += _log_share(h[at] @ p["R"][lo:hi].T, w[at] - lo)
+                out[at] += _log_share(h[at] @ p["R"][lo:hi].T, w[at] - lo, bounded)
         return out / np.float32(np.log(10))
 
 
@@ -282,16 +292,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
 
 
-def _log_share(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log of the softmax of each row at a place."""
-    top = s.max()
-    if top > 60:  # else exp() can't overflow
+def _log_share(s: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
+    """log of the softmax of each row at a place; bounded: no exp() can overflow."""
+    if not bounded:
         s -= s.max(1, keepdims=True)
     one = s[np.arange(len(s)), at]
     np.exp(s, out=s)
     return one - np.log(s.sum(1))
 
 
+def _longest(x: np.ndarray) -> float:
+    return float(np.sqrt(np.einsum("nd,nd->n", x, x).max(initial=0)))
+
+
 def _fitted(model: LogBilinear, texts: Iterator[pa.Array], v: Vocabulary, passes: int, seed: int) -> None:
     """Trains on a task's texts. A slice's words are taken in a random order, and again for each pass."""
     rng = np.random.default_rng(seed)
@@ -314,7 +327,7 @@ def _fitted(model: LogBilinear, texts: Iterator[pa.Array], v: Vocabulary, passes
 def train_model(train: DataFrame, v: Vocabulary) -> LogBilinear:
     """A model of all texts of train (doc_id, text): every document is in one of the rounds."""
     spark = train.sparkSession
-    model = LogBilinear(v.weights, v.starts)
+    model = LogBilinear(v.weights, v.starts, v.vectored)
     if not v.total:
         return model
     tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-v.total // (TASK_WORDS >> 6))), v.total // TASK_WORDS)
