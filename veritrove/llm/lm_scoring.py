@@ -39,11 +39,11 @@ from veritrove.plans.session import written
 MIN_COUNT, MOST_WORDS, SINGLES, TAILS, BAND = 3, 1 << 15, 64, 64, 1 << 13
 DIMENSIONS = 16
 CLASS_NOISE, WORD_NOISE = 32, 2  # noise samples: classes for a batch, words for each word seen
-RATE = 0.2
+RATE = 0.1
 #: Words in a batch: few at first, then more; words that a task trains on at least where there are so many; rounds.
 FIRST_BATCH, BATCH, TASK_WORDS, ROUNDS = 64, 8192, 1 << 24, 2
 #: Training documents are passed over until so many words were seen, PASSES times at most and once at least.
-SEEN_WORDS, PASSES = 4_000_000, 8
+SEEN_WORDS, PASSES = 2_000_000, 8
 #: Rows of parameters that are merged at a time; numbers in a slice of a matrix product.
 ROW_BLOCK, CELLS = 2048, 1 << 17
 TOP = 1 << 19
