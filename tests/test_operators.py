@@ -267,3 +267,54 @@ def test_approximate_search_reaches_its_recall(spark):
     v = band(spark, d).select("id", "vec")
     want = {(r.a, r.b) for r in simjoin.nearest(v.where("id % 20 = 0"), v, 10).collect()}
     assert {a for a, _ in got} == {a for a, _ in want} and len(got & want) >= 0.9 * len(want)
+
+
+def test_models_keep_their_chunk_bounds(spark, tmp_path):
+    make = lambda: hashed_encoder(16)
+    src = {"a.md": "\n\n".join(f"Paragraph {k} says a few words. " * 3 for k in range(9)), "b.md": "\n\n".join(f"Another {k} is here too. " * 4 for k in range(7))}
+    df = lambda s: spark.createDataFrame(list(s.items()), "source_file string, text string")
+    path = str(tmp_path / "m")
+    M.save(M.build(df(src), make, least=20, most=400), path)
+    M.save(M.load(spark, path), path)  # CURRENT is replaced in one step
+    m = M.load(spark, path)
+    n = m.passages.count()
+    same, counts = M.refreshed(m, df(src), make)
+    assert same is m and counts == {"unchanged": n}
+    new, counts = M.refreshed(m, df({**src, "b.md": src["b.md"] + "\n\nOne more paragraph at the end."}), make)
+    assert counts["unchanged"] >= n - 1 and M.build_bounds(new) == (20, 400)
+    assert M.build_bounds(m, most=99) == (20, 99) and M.build_bounds(M.Model(m.passages, m.bands)) == (200, 3200)
+
+
+def test_federated_models_must_fit(spark):
+    v = vectors(spark, unit(6)).withColumnRenamed("id", "passage_idx")
+    model = lambda dim, revision: M.Model(v, {"base": v}, {"dim": dim, "revision": revision})
+    hits, odd = corpus.compose_models({"a": model(16, "r1"), "b": model(16, "r2"), "c": model(16, "r1")}, [1.0] * 16, 4)
+    assert odd == ["b"] and hits.count() == 4
+    with pytest.raises(ValueError):
+        corpus.compose_models({"a": model(16, "r"), "b": model(8, "r")}, [1.0] * 16)
+
+
+def test_walk_lists_only_suffixes(spark, tmp_path):
+    for name in ("a.md", "B.MD", "c.bin", "d.py", "e.md.png"):
+        (tmp_path / name).write_bytes(b"\xff\xfe\x00" if name.endswith("bin") else b"text")
+    good, bad = files.walk(spark, [str(tmp_path)], str(tmp_path))
+    assert {r.source_file for r in good.collect()} == {"a.md", "B.MD", "d.py"} and bad.count() == 0
+
+
+def test_migration_needs_an_empty_target(spark):
+    e = spark.createDataFrame([("use it", "working", "", 1)], "text string, tier string, created_utc string, recurrence_count int")
+    rows = memory.checked_migration(e, e.limit(0), "workspace:x")
+    assert rows.count() == 1
+    with pytest.raises(ValueError):
+        memory.checked_migration(e, rows, "workspace:x")
+
+
+def test_grid_of_stripes():
+    g, h = simjoin.grid_of(10**8, 10**8, 64, 8)
+    assert simjoin.STRIPE_BYTES // (8 * 64) >= 10**8 / g and g == h
+    assert simjoin.grid_of(500, 500, 64, 8) == (1, 1) and simjoin.grid_of(0, 0, 1, 8) == (1, 1)
+    assert retention_and_time() == (0.5, 0.0, 17.0)
+
+
+def retention_and_time():
+    return optimise.retention(3, 6), optimise.retention(0, 0), optimise.estimate_seconds(20)

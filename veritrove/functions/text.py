@@ -20,6 +20,7 @@ SECRET_PATTERNS = {
 }
 DENYLIST_PATHS = (".env*", ".envrc", "*.secret", "*.key", "*.pem", "id_rsa", "*/.aws/credentials*", "*\\.aws\\credentials*")
 REDACTED, REDACTED_FILE = "<REDACTED>", "<REDACTED file contents>"
+# The verbs that make a row a preference.
 AVOID_VERBS = r"(?i)(?U)\b(avoid|don'?t|never|stop|skip|disable|prohibit|forbid)\b"
 PREFER_VERBS = r"(?i)(?U)\b(prefer|want|like|use|always|enable|favo[u]?r|recommend)\b"
 # Words that a question need not find verbatim in a passage.
@@ -124,10 +125,9 @@ def distinctive_tokens(question: Column) -> Column:
     quoted = F.filter(F.transform(F.regexp_extract_all(question, F.lit("['\"]([^'\"]+)['\"]"), 1), F.trim), lambda q: F.length(q) >= 3)
     rest = F.regexp_replace(F.regexp_replace(question, "['\"][^'\"]+['\"]", " "), "[()]", " ")
     words = F.regexp_extract_all(rest, F.lit(r"([A-Za-z][A-Za-z0-9\-]*)"), 1)
-    stop = F.array(*map(F.lit, STOPWORDS))
     keep = F.filter(
         words,
-        lambda w: (F.length(w) >= 2) & ((F.upper(w) == w) | w.rlike("[0-9]")) & ~F.array_contains(stop, F.lower(w)),
+        lambda w: (F.length(w) >= 2) & ((F.upper(w) == w) | w.rlike("[0-9]")) & ~F.lower(w).isin(*STOPWORDS),
     )
     return F.array_distinct(F.concat(quoted, keep))
 

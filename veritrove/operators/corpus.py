@@ -42,6 +42,16 @@ def profile(passages: DataFrame) -> DataFrame:
     return passages.groupBy("source_file").agg(F.count("*").alias("n"))
 
 
+def drift_tallies(passages: DataFrame, sources: DataFrame) -> DataFrame:
+    """drift_status, n of all passages."""
+    return search.verified(passages, sources).groupBy("drift_status").agg(F.count("*").alias("n"))
+
+
+def corpus_size(passages: DataFrame) -> DataFrame:
+    """One row: passages, distinct files, characters."""
+    return passages.agg(F.count("*").alias("passages"), F.count_distinct("source_file").alias("files"), F.coalesce(F.sum("char_length"), F.lit(0)).cast("long").alias("chars"))
+
+
 def neighbors(model, passage_idx: int, k: int = 10, prefer: str | None = None) -> DataFrame:
     band = _ids(model.band(prefer))
     one = band.where(F.col("id") == passage_idx)
@@ -81,7 +91,7 @@ def compare(a: DataFrame, b: DataFrame, sample_size: int | None = 512, seed: int
     """One row: centroid_cosine, coverage_a_in_b, coverage_b_in_a, overlap. Exact up to sample_size rows a side or with None."""
 
     def some(x: DataFrame) -> DataFrame:
-        return x if sample_size is None else x.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample_size)
+        return x if sample_size is None else x.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), "id"), 256), "id").limit(sample_size)
 
     ab = simjoin.best_cosine(some(a), b).agg(F.coalesce(F.avg("cosine"), F.lit(0.0)).alias("coverage_a_in_b"))
     ba = simjoin.best_cosine(some(b), a).agg(F.coalesce(F.avg("cosine"), F.lit(0.0)).alias("coverage_b_in_a"))
@@ -101,6 +111,20 @@ def intersect(a: DataFrame, b: DataFrame, threshold: float = 0.7, max_pairs: int
     return found if max_pairs is None else found.orderBy(F.desc("cosine"), "a", "b").limit(max_pairs)
 
 
+def check_members(members: dict) -> list[str]:
+    """Labels of the models whose revision isn't the first one's, to be reported; an error where dimensions differ."""
+    models = list(members.values())
+    for other in models[1:]:
+        check_pair(models[0], other)
+    return [name for name, m in members.items() if m.revision != models[0].revision]
+
+
+def compose_models(members: dict, q: list[float], k: int = 10) -> tuple[DataFrame, list[str]]:
+    """The k best rows of all models' bands, and the labels of those of another revision."""
+    odd = check_members(members)
+    return compose({name: _ids(m.band()) for name, m in members.items()}, q, k), odd
+
+
 def compose(members: dict[str, DataFrame], q: list[float], k: int = 10) -> DataFrame:
     """label, id, score: the k best rows of all members, each searched by itself."""
     parts = [search.top_k(m.select("id", "vec"), q, k).withColumn("label", F.lit(name)) for name, m in members.items()]

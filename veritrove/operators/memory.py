@@ -262,6 +262,23 @@ def migrated(entries: DataFrame, workspace: str, default: str = "factual") -> Da
     )
 
 
+def migration_tallies(rows: DataFrame) -> DataFrame:
+    """primary polarity, tier it came from, n of migrated rows."""
+    tier = F.regexp_replace("transcript_hash", "^migrated:", "")
+    return rows.groupBy(F.get("polarity", F.lit(0)).alias("primary_polarity"), tier.alias("tier")).agg(F.count("*").alias("n"))
+
+
+def checked_migration(entries: DataFrame, target: DataFrame, workspace: str) -> DataFrame:
+    """migrated(), refused where the target has rows."""
+    if not target.isEmpty():
+        raise ValueError("the target has rows; migrate into an empty store")
+    return migrated(entries, workspace)
+
+
+def tier_sizes(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("tier").agg(F.count("*").alias("n"))
+
+
 def injection_block(rows: list, budget: int = 6_000) -> str:
     """Lines of polarity and text, whole rows only, while they fit; the first isn't exempt."""
     out, used = [], 0

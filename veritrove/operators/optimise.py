@@ -27,6 +27,29 @@ def good_query(q: str) -> bool:
     return 10 <= len(q) <= 400 and "passage" not in q[:40].lower()
 
 
+def good_queries(queries: DataFrame) -> DataFrame:
+    """good_query() on a table with a column q."""
+    q = F.trim("q")
+    return queries.where(F.length(q).between(10, 400) & (F.instr(F.lower(F.substring(q, 1, 40)), "passage") == 0))
+
+
+def anchors(lines: DataFrame, most: int = 5) -> DataFrame:
+    """n, q of the first `most` lines (n, q) that have 3 to 30 words: examples for those who write queries."""
+    return lines.where(F.size(F.filter(F.split("q", r"\s+"), lambda w: w != "")).between(3, 30)).orderBy("n").limit(most)
+
+
+def first_choice_rate(queries: DataFrame, band: DataFrame, positives: DataFrame) -> DataFrame:
+    """One row: rate, the share of queries whose nearest row is their positive (a, b)."""
+    best = simjoin.nearest(queries, band, 1).select("a", "b")
+    hit = positives.join(best.withColumn("hit", F.lit(1.0)), ["a", "b"], "left")
+    return hit.agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0.0))), F.lit(0.0)).alias("rate"))
+
+
+def retention(kept: int, emitted: int) -> float:
+    """Kept queries by emitted ones; 0 without any."""
+    return kept / emitted if emitted else 0.0
+
+
 def synthetic_queries(passages: list[dict], ask: Callable, per_passage: int = 3) -> list[tuple[int, str]]:
     """(passage_idx, query) from a language model's lines, what passes the filter."""
     out = []
@@ -83,3 +106,8 @@ def train(queries: np.ndarray, positives: np.ndarray, dims: tuple[int, ...] = DI
 def estimate(n_queries: int, tokens_per_query: int = 900, price: float = 3.0) -> float:
     """Cost in dollars at a price per million tokens."""
     return n_queries * tokens_per_query * price / 1e6
+
+
+def estimate_seconds(n_queries: int, seconds_per_call: float = 1.5, at_once: int = 8, steps: int = STEPS, seconds_per_step: float = 0.05) -> float:
+    """Wall time of synthesis, so many calls at once, and of training."""
+    return -(-n_queries // at_once) * seconds_per_call + steps * seconds_per_step

@@ -95,9 +95,12 @@ def search_dedup(spark, d):
     return search.top_k(tagged, first_vector(b), 5, ["source"]).select("source", "id", r6("score").alias("score"))
 
 
-@query(f"with {V} select id, label from v where id = 7")
+@query("select 7::bigint as passage_idx, 'doc/7' as source_file, 0 as char_offset, length(text) as char_length, 'sha256:' || sha256(text) as content_hash from documents where doc_id = 7")
 def locate(spark, d):
-    return band(spark, d).where("id = 7").select("id", "label")
+    from types import SimpleNamespace
+
+    m = SimpleNamespace(passages=whole_passages(versions(spark, d)[0]))
+    return corpus.locate(m, 7).drop("passage_id")
 
 
 @query(
@@ -659,3 +662,230 @@ def mined_projection(spark, d):
     q = x + 0.05 * np.random.default_rng(0).normal(size=x.shape)
     w = optimise.train(q / np.linalg.norm(q, axis=1, keepdims=True), x, dims=(16, 32), steps=60)
     return simjoin.project_band(b, w).select("id", r6(F.get("vec", F.lit(0))).alias("first"))
+
+
+# operators by their further branches
+
+
+@query(f"with {EO} select a.id as a, b.id as b, round({AB}, 6) as cosine from a, b where {AB} >= 0.3 order by {AB} desc, a.id, b.id limit 20")
+def intersect_capped(spark, d):
+    return corpus.intersect(*halves(band(spark, d)), 0.3, 20).select("a", "b", r6("cosine").alias("cosine"))
+
+
+@query(
+    f"""with {EO}, sa as (select * from a order by sha256('0:' || id), id limit 100), sb as (select * from b order by sha256('0:' || id), id limit 100),
+x as (select avg(m) as x from (select max({DOT.format('sa', 'b')}) as m from sa, b group by sa.id)), y as (select avg(m) as y from (select max({DOT.format('sb', 'a')}) as m from sb, a group by sb.id))
+select round(x, 6) as coverage_a_in_b, round(y, 6) as coverage_b_in_a, round((x + y) / 2, 6) as overlap from x, y"""
+)
+def compare_sampled(spark, d):
+    c = corpus.compare(*halves(band(spark, d)), sample_size=100)
+    return c.select(*(r6(x).alias(x) for x in ("coverage_a_in_b", "coverage_b_in_a", "overlap")))
+
+
+@query(
+    f"""with {VERSIONS} select o.doc_id as passage_idx from o join n on n.doc_id = o.doc_id where substring(n.text, 1, length(o.text)) = o.text"""
+)
+def verified_only(spark, d):
+    old, new = versions(spark, d)
+    return search.only_verified(search.verified(whole_passages(old), new.drop("doc_id"))).select("passage_idx")
+
+
+@query(
+    f"""with {VERSIONS}, s as (select case when n.text is null then 'missing' when substring(n.text, 1, length(o.text)) = o.text then 'verified' else 'drifted' end as drift_status from o left join n on n.doc_id = o.doc_id)
+select drift_status, count(*) as n from s group by 1"""
+)
+def drift_counts(spark, d):
+    old, new = versions(spark, d)
+    return corpus.drift_tallies(whole_passages(old), new.drop("doc_id"))
+
+
+@query("select count(*) as passages, count(distinct doc_id) as files, sum(length(coalesce(text, '')))::bigint as chars from documents")
+def corpus_size(spark, d):
+    return corpus.corpus_size(whole_passages(versions(spark, d)[0]))
+
+
+@query(
+    f"""with {ROWS}, e as (select row_id, recurrence_count, {DOT.format('rows', 'q')} as score from rows, q where not is_bad and scope = 'cross-workspace' and {DOT.format('rows', 'q')} >= 0.2),
+l as (select list_sort(list(score), 'desc') as t from e), g as (select gap, len(t) < 2 or t[1] - t[2] >= gap as pass from l, (values (0.0), (0.001), (0.9)) v(gap)),
+r as (select gap, row_id, score, row_number() over (partition by gap order by score desc, row_id) as k from e, g where pass and recurrence_count >= 3) select gap::double as gap, row_id, round(score, 6) as score from r where k <= 5"""
+)
+def recall_gap(spark, d):
+    q, rows, out = first_vector(band(spark, d)), memory_rows(spark, d), None
+    for gap in (0.0, 0.001, 0.9):
+        part = memory.recall(rows, q, None, 0.2, gap, 3, 5).select(F.lit(gap).alias("gap"), "row_id", r6("score").alias("score"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query(
+    """with g as (select conv_id, sum(case when role = 'assistant' then length(coalesce(text, '')) else 0 end) as said, sum(case when role = 'user' then 1 else 0 end) as asks,
+sum(case when role = 'user' then length(coalesce(text, '')) else 0 end) as asked, sum(case when conv_id % 3 = 0 then 1 else 0 end) as tools from conversations group by 1),
+r as (select conv_id, case when said < 200 then 'short_assistant' when tools < 1 then 'no_tool_use' when asks <= 1 and asked <= 30 then 'trivial' else '' end as reason from g) select conv_id, reason = '' as captured, reason from r"""
+)
+def capture_gate_tools(spark, d):
+    return memory.capture_gate(table(spark, d, "conversations").withColumn("n_tools", (F.col("conv_id") % 3 == 0).cast("int")))
+
+
+SECRETS = (
+    "AKIA" + "ABCDEFGHIJKLMNOP", "sk-" + "ant-" + "a1_-" * 12, "sk-" + "Ab3" * 15, "ghp_" + "a1B2" * 9, "github_pat_" + "x" * 82, "eyJ" + "abc.def-1.ghi_2",
+    "-----BEGIN RSA " + "PRIVATE KEY-----\nMII\n-----END RSA " + "PRIVATE KEY-----", "0123456789abcdef" * 2,
+)
+
+
+def planted_secret() -> Column:
+    out = F.lit(SECRETS[-1])
+    for k, x in enumerate(SECRETS[:-1]):
+        out = F.when(F.col("doc_id") % 8 == k, x).otherwise(out)
+    return F.concat("text", F.lit(" key "), out, F.lit(" end"))
+
+
+PLANTED = "text || ' key ' || case doc_id % 8 " + " ".join(f"when {k} then '{x}'" for k, x in enumerate(SECRETS)) + " end || ' end'"
+
+
+def _scrubbed() -> str:
+    out = PLANTED
+    for pattern in T.SECRET_PATTERNS.values():
+        out = f"regexp_replace({out}, '{pattern}', '<REDACTED>', 'g')"
+    return out
+
+
+@query(f"select doc_id, sha256({_scrubbed()}) as scrubbed from documents")
+def redact_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.redact(planted_secret()), 256).alias("scrubbed"))
+
+
+PATHS = ("a/.env.local", "b/.envrc", "c/x.secret", "d/my.key", "e/cert.pem", "home/id_rsa", "u/.aws/credentials", "src/main.py")
+
+
+def event_path() -> Column:
+    return F.get(F.array(*map(F.lit, PATHS)), (F.col("event_id") % 8).cast("int"))
+
+
+@query("select event_id, event_id % 8 <> 7 as denied, case when event_id % 8 <> 7 then '<REDACTED file contents>' else event_type end as content from events")
+def denied_paths(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", T.denied_path(event_path()).alias("denied"), T.scrub_tool_call(event_path(), F.col("event_type")).alias("content"))
+
+
+@query("with q as (select conv_id, turn, trim(coalesce(text, '')) as q from conversations) select conv_id, turn, q from q where length(q) between 10 and 400 and strpos(lower(substring(q, 1, 40)), 'passage') = 0")
+def good_queries(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("q"))
+    return optimise.good_queries(c).select("conv_id", "turn", F.trim("q").alias("q"))
+
+
+@query("with w as (select doc_id as n, text as q, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as k from documents) select n, q from w where k between 3 and 30 order by n limit 5")
+def anchor_lines(spark, d):
+    return optimise.anchors(table(spark, d, "documents").select(F.col("doc_id").alias("n"), F.col("text").alias("q")))
+
+
+@query(f"with {ROWS} select row_id, polarity || ',' || scope as tags from rows")
+def valid_tags(spark, d):
+    return memory_rows(spark, d).select("row_id", F.array_join(T.valid_polarity(F.col("polarity")), ",").alias("tags"))
+
+
+@query(f"with {STAMPED} select row_id from rows where row_id % 2 = 0 and row_id % 5 <> 0")
+def journal_unseen(spark, d):
+    rows = memory_rows(spark, d)
+    return memory.unseen(rows.where("row_id % 2 = 0"), rows.where("row_id % 5 = 0")).select("row_id")
+
+
+@query(f"with {STAMPED} select max_by(transcript_hash, lpad(created_at, 30, '0') || lpad(row_id::varchar, 12, '0')) as transcript_hash from rows where polarity = 'factual' and transcript_hash <> 'manual'")
+def latest_capture(spark, d):
+    return memory.latest_capture(memory_rows(spark, d))
+
+
+@query(f"with {STAMPED} select row_id, recurrence_count + case when row_id % 4 = 0 then 2 else 0 end as recurrence_count, case when row_id % 4 = 0 then 'now' else created_at end as stamp from rows")
+def corroborated_rows(spark, d):
+    rows = memory_rows(spark, d)
+    hits = rows.where("row_id % 4 = 0").select("row_id")
+    return memory.corroborated(rows, hits.union(hits), "now").select("row_id", "recurrence_count", F.col("last_corroborated_at").alias("stamp"))
+
+
+@query(f"with {ROWS} select row_id, case row_id when 5 then true when 13 then false else is_bad end as is_bad, recurrence_count + (row_id = 7)::int as recurrence_count from rows")
+def voted_rows(spark, d):
+    r = memory_rows(spark, d)
+    for row, kind in ((5, "bad"), (13, "good"), (7, "corroborate")):
+        r = memory.vote(r, row, kind, "now")
+    return r.select("row_id", "is_bad", "recurrence_count")
+
+
+@query("select case when doc_id % 2 = 0 then 'prefer' else 'factual' end as primary_polarity, case when doc_id % 3 = 0 then 'working' else 'semantic' end as tier, count(*) as n from documents group by 1, 2")
+def migration_counts(spark, d):
+    text = F.concat("text", F.when(F.col("doc_id") % 2 == 0, " We prefer it.").otherwise(""))
+    e = table(spark, d, "documents").select(text.alias("text"), F.when(F.col("doc_id") % 3 == 0, "working").otherwise("semantic").alias("tier"), F.lit("").alias("created_utc"), F.lit(1).alias("recurrence_count"))
+    return memory.migration_tallies(memory.migrated(e, "workspace:x"))
+
+
+@query("with t as (select event_id as id, case event_type when 'click' then 'working' when 'view' then 'episodic' else 'semantic' end as tier from events) select case when tier = 'working' or id % 2 = 0 and tier = 'episodic' then 'working' else tier end as tier, count(*) as n from t where tier <> 'working' or id % 2 = 0 group by 1")
+def tier_counts(spark, d):
+    """Sizes of tiers once the working one was replaced by the rows of even ids of it and the episodic one, which leave that."""
+    tier = F.when(F.col("event_type") == "click", "working").when(F.col("event_type") == "view", "episodic").otherwise("semantic")
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), tier.alias("tier"))
+    moved = e.where("id % 2 = 0 and tier in ('working', 'episodic')")
+    return memory.tier_sizes(memory.replaced_tier(e.where("not (id % 2 = 0 and tier = 'episodic')"), "working", moved))
+
+
+@query(f"with {EO} select round(avg((best = id)::int), 6) as rate from (select x.id, arg_max(y.id, {DOT.format('x', 'y')}) as best from v x, v y where y.id % 3 <> 1 group by x.id)")
+def first_choice(spark, d):
+    v = band(spark, d).select("id", "vec")
+    return optimise.first_choice_rate(v, v.where("id % 3 <> 1"), v.select(F.col("id").alias("a"), F.col("id").alias("b"))).select(r6("rate").alias("rate"))
+
+
+@query(
+    f"""with {VERSIONS}, k as (select o.source_file, o.text as was, n.text as now from o left join n on n.doc_id = o.doc_id where o.doc_id % 5 <> 0 and n.text is not null union all select n.source_file, null, n.text from n where n.doc_id % 5 = 0)
+select row_number() over (order by case when was = now then 0 when was is not null then 1 else 2 end, source_file) - 1 as passage_idx, source_file, 'sha256:' || sha256(now) as content_hash, case when was = now then -1.0 else length(now) end::double as first from k"""
+)
+def applied_delta(spark, d):
+    old, new = versions(spark, d)
+    p = corpus.numbered(whole_passages(old.where("doc_id % 5 <> 0")).drop("passage_idx"), ["source_file"])
+    q = whole_passages(new)
+    texts = q.select("passage_id", "source_file", "char_offset", "char_length", "content_hash").join(new.select("source_file", "text"), "source_file")
+    delta = incremental.bucketise(p, texts)
+    # unchanged rows take their places from the old table, with a vector of -1
+    band_ = p.select("passage_idx", F.array(F.lit(-1.0)).cast("array<float>").alias("vec"))
+    rows, vecs = incremental.apply_delta(p, band_, delta, lambda t: F.array(F.length(t)).cast("array<float>"))
+    return rows.join(vecs, "passage_idx").select("passage_idx", "source_file", "content_hash", F.get("vec", F.lit(0)).cast("double").alias("first"))
+
+
+@query("select doc_id, case when doc_id % 2 = 0 then 'distilled:' || source else 'distilled:' || lang end as h from documents")
+def distilled_hashes(spark, d):
+    h = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("distilled:"), "source")).otherwise(F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", T.distilled_hash(h).alias("h"))
+
+
+@query("select doc_id, sha256(replace(replace(source || chr(13) || chr(10) || lang || chr(13) || text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) as h from documents")
+def unix_lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.lf(F.concat("source", F.lit("\r\n"), "lang", F.lit("\r"), "text")), 256).alias("h"))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as stamp from events")
+def iso_stamps(spark, d):
+    return table(spark, d, "events").select("event_id", T.iso(F.col("ts")).alias("stamp"))
+
+
+@query("select doc_id, '＜ctx＞' || source || '＜/ctx＞ <b>' as t from documents")
+def neutral_tags(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.neutralised(F.concat(F.lit("<ctx>"), "source", F.lit("</ctx> <b>")), "ctx").alias("t"))
+
+
+@query(
+    f"""with {V}, w as (select r, list_transform(range(64), lambda k: (((r * 7 + k * 3) % 11) - 5)::double) as w from range(8) t(r)),
+p as (select id, r, list_inner_product(vec, w) as x from v, w), n as (select id, sqrt(sum(x * x)) as n from p group by id)
+select p.id, r as dimension, round(x / n, 6) as value from p join n on p.id = n.id"""
+)
+def project_queries(spark, d):
+    """Vectors projected by an expression, and merged with an empty one."""
+    w = [[float((r * 7 + k * 3) % 11 - 5) for k in range(64)] for r in range(8)]
+    p = band(spark, d).select("id", vectors.project(vectors.merge("vec", vectors.empty(64)), w).alias("vec"))
+    return p.select("id", F.posexplode("vec").alias("dimension", "value")).select("id", F.col("dimension").cast("long").alias("dimension"), r6("value").alias("value"))
+
+
+@query(
+    "with q as (select event_id, 'Does ' || upper(event_type) || ' take ID' || (event_id % 5) || '?' as q, case when event_id % 2 = 0 then 'The ' || upper(event_type) || ' is ID' || (event_id % 3) else 'x' || upper(event_type) || ' none' end as p from events) "
+    "select event_id, array_to_string(list_filter([upper(event_type), 'ID' || (event_id % 5)], lambda t: case when length(t) <= 6 then not regexp_matches(p, '\\b' || t || '\\b') else strpos(lower(p), lower(t)) = 0 end), ',') as missing from q join events using (event_id)"
+)
+def names_missing(spark, d):
+    kind, n = F.upper("event_type"), F.col("event_id")
+    q = F.concat(F.lit("Does "), kind, F.lit(" take ID"), (n % 5).cast("string"), F.lit("?"))
+    p = F.when(n % 2 == 0, F.concat(F.lit("The "), kind, F.lit(" is ID"), (n % 3).cast("string"))).otherwise(F.concat(F.lit("x"), kind, F.lit(" none")))
+    return table(spark, d, "events").select("event_id", F.array_join(T.missing_names(q, p), ",").alias("missing"))

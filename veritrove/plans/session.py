@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_already = spark.sparkContext.getCheckpointDir()
     if set_already:
         return set_already
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="veritrove-")
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return f"file://{own}"

@@ -33,7 +33,9 @@ def detect_sources(folder: str) -> list[str]:
 
 def walk(spark: SparkSession, paths: list[str], root: str, suffixes: list[str] = TEXT_SUFFIXES) -> tuple[DataFrame, DataFrame]:
     """(source_file, text), and (source_file, reason) of what couldn't be decoded. Paths are relative to root; each once."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    # the suffixes go to the listing, so other files are never read
+    either = lambda x: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(map(either, suffixes)) + "}").load(paths)
     base = root.rstrip("/") + "/"
     path = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
     raw = raw.select(F.when(F.startswith(path, F.lit(base)), F.substr(path, F.lit(len(base) + 1))).otherwise(path).alias("source_file"), F.col("content").cast("string").alias("text"))

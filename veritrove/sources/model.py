@@ -58,10 +58,13 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(p, True)
     out.write(bytearray(text.encode()))
     out.close()
+    # renamed over what is there in one step, so a reader finds the old text or the new one
+    jvm = spark.sparkContext._jvm
     q, _ = _fs(spark, path)
-    if fs.exists(q):
-        fs.delete(q, False)
-    fs.rename(p, q)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(p), fs.makeQualified(q), over)
 
 
 def _get(spark: SparkSession, path: str) -> str:
@@ -121,7 +124,7 @@ def build(sources: DataFrame, make_encoder, revision: str = "hashed-64", least:
     p = numbered(passages(sources, least, most), ["source_file", "char_offset"])
     band = p.select("passage_idx", encoded("text", make_encoder).alias("vec"))
     first = band.select(F.size("vec")).first()
-    return Model(p.drop("text"), {"base": band}, {"revision": revision, "dim": first[0] if first else 0}, sources if bundle else None)
+    return Model(p.drop("text"), {"base": band}, {"revision": revision, "dim": first[0] if first else 0, "build": {"least": least, "most": most}}, sources if bundle else None)
 
 
 def converted(m: Model, sources: DataFrame, bundle: bool = False, manifest: DataFrame | None = None) -> Model:
@@ -133,15 +136,23 @@ def converted(m: Model, sources: DataFrame, bundle: bool = False, manifest: Data
     return Model(m.passages, m.bands, m.metadata, sources if bundle else None, manifest)
 
 
-def refreshed(m: Model, sources: DataFrame, make_encoder, skipped: DataFrame | None = None, least: int = 200, most: int = 3200) -> tuple[Model, dict[str, int]]:
+def build_bounds(m: Model, least: int | None = None, most: int | None = None) -> tuple[int, int]:
+    """The chunk bounds a model was built with, each replaced by one that is given."""
+    spec = {"least": 200, "most": 3200} | m.metadata.get("build", {})
+    return spec["least"] if least is None else least, spec["most"] if most is None else most
+
+
+def refreshed(m: Model, sources: DataFrame, make_encoder, skipped: DataFrame | None = None, least: int | None = None, most: int | None = None) -> tuple[Model, dict[str, int]]:
     """The model brought up to its sources, and passages by bucket. Nothing changed: the same model comes back.
 
-    Unreadable files keep their passages. An optimised band is dropped, to be projected anew."""
+    Chunk bounds are those that the model was built with, unless others are given. Unreadable files
+    keep their passages. An optimised band is dropped, to be projected anew."""
     from veritrove.functions.chunk import passages
     from veritrove.functions.encode import encoded
     from veritrove.operators.incremental import apply_delta, bucketise, protect_skipped
     from veritrove.plans.session import written
 
+    least, most = build_bounds(m, least, most)
     delta = bucketise(m.passages, passages(sources, least, most))
     if skipped is not None:
         delta = protect_skipped(delta, m.passages, skipped)
@@ -150,4 +161,5 @@ def refreshed(m: Model, sources: DataFrame, make_encoder, skipped: DataFrame | N
     if not set(counts) - {"unchanged"}:
         return m, counts
     p, band = apply_delta(m.passages, m.base, delta, lambda t: encoded(t, make_encoder))
-    return Model(p, {"base": band}, m.metadata, sources if m.sources is not None else None, m.manifest), counts
+    meta = {**m.metadata, "build": {"least": least, "most": most}}
+    return Model(p, {"base": band}, meta, sources if m.sources is not None else None, m.manifest), counts
