@@ -183,13 +183,13 @@ def brute_quality(t):
 
 def test_quality_rules(spark):
     rng = np.random.default_rng(1)
-    texts = ODD[:9] + ["a b c a b c a b c", "l#1\nl#1\n\n \nx <y>", "z " * 300, *(prose(rng, int(rng.integers(45, 200)), 60) for _ in range(40))]
-    d = frame(spark, texts, ["bad" if k < 12 else "good" for k in range(len(texts))])
+    texts = ODD + ["a b c a b c a b c", "l#1\nl#1\n\n \nx <y>", "z " * 300, *(prose(rng, int(rng.integers(45, 200)), 60) for _ in range(40))]
+    d = frame(spark, texts, ["bad" if k < 14 else "good" for k in range(len(texts))])
     got = {r.doc_id: r for r in quality_rules.quality_rules(d).collect()}
     for k, t in enumerate(texts):
         r = got[k]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(t), t
-        assert r.host_failed == (k < 12) and r.kept == (not r.base_failed and not r.host_failed)
+        assert r.host_failed == (k < 14) and r.kept == (not r.base_failed and not r.host_failed)
     kept = quality_rules.keep_good(d)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.kept}
     assert quality_rules.quality_rules(d.limit(0)).count() == 0
@@ -207,7 +207,7 @@ def test_a_few_failures_do_not_reject_a_host(spark):
 def test_lm_scoring(spark):
     rng = np.random.default_rng(3)
     # words follow their like, so a model with contexts beats the unigram
-    texts = [" ".join(f"{'ab'[k % 2]}{rng.integers(30)}" for _ in range(60)) for k in range(300)] + [None, "", "never seen", "a1 a1"]
+    texts = [" ".join(f"{'ab'[k % 2]}{rng.integers(30)}" for _ in range(60)) for k in range(300)] + [None, "", "never seen", "a1 a1", "x" * 50_000, "z " * 30_000]
     d = frame(spark, texts)
     got = {r.doc_id: r for r in lm_scoring.score_texts(d).collect()}
     toks = [WORD.findall(lower(t or "")) + [None] for t in texts]
@@ -279,7 +279,7 @@ def test_shares_of_other_words(spark, monkeypatch):
 
 def test_packing(spark):
     rng = np.random.default_rng(6)
-    texts = ODD[:9] + [prose(rng, int(rng.integers(1, 900))) for _ in range(200)] + [prose(rng, 5000)]
+    texts = ODD + [prose(rng, int(rng.integers(1, 900))) for _ in range(200)] + [prose(rng, 5000)]
     texts += [texts[20]] * 5
     d = frame(spark, texts, ["hot" if k % 3 == 0 else f"s{k}" for k in range(len(texts))])
     rows = packing.pack(d, capacity=1000, per_source=2).collect()
@@ -309,6 +309,33 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert packing.best_fit([60, 70, 75, 25], [1, 2, 2, 2], [1, 2, 3, 4], 100, 1)[3] == (2, 1)  # 0 and 1 have the source
 
 
+def brute_pack(lengths, sources, clusters, capacity, per_source):
+    """Best fit by its definition: of all bins that a piece fits in and may go to, that with the least room, the oldest of such."""
+    bins, out = [], {}
+    for k in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+        ok = [
+            (capacity - sum(lengths[i] for i in b) - lengths[k], n) for n, b in enumerate(bins)
+            if (left := capacity - sum(lengths[i] for i in b)) >= lengths[k] and (left or not lengths[k])
+            and sum(sources[i] == sources[k] for i in b) < per_source and all(clusters[i] != clusters[k] for i in b)
+        ]
+        n = min(ok)[1] if ok else len(bins)
+        if not ok:
+            bins.append([])
+        out[k] = (n, len(bins[n]))
+        bins[n].append(k)
+    return [out[k] for k in range(len(lengths))]
+
+
+def test_best_fit_equals_brute_force():
+    rng = np.random.default_rng(16)
+    for case in range(40):
+        n = int(rng.integers(1, 90))
+        lengths = rng.integers(1, 12 if case % 2 else 100, n).tolist()  # many ties, and few
+        sources, clusters = rng.integers(0, 6, n).tolist(), rng.integers(0, 30, n).tolist()
+        per = int(rng.integers(1, 4))
+        assert packing.best_fit(lengths, sources, clusters, 100, per) == brute_pack(lengths, sources, clusters, 100, per)
+
+
 def brute_license(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
     at = [(i, label) for p, label in license_scan.BASE_PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
@@ -320,7 +347,7 @@ def test_license_scan(spark):
     texts = ODD[:9] + [
         "Released under the MIT License.", "x MIT\nlicense, the mit-License! Apache LICENSE y", "Licensed under CC BY-NC 4.0.", mit, "foo " * 50 + mit.upper() + " bar",
         "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "the of license and public", "cc by cc by", "permission to use copy",
-        "license " * 3000,
+        "license " * 3000, *ODD[9:],
     ]
     got = {r.doc_id: r for r in license_scan.license_scan(frame(spark, texts)).collect()}
     for k, t in enumerate(texts):
@@ -345,12 +372,22 @@ def test_licenses_do_not_starve_each_other(spark):
     assert got[3] == {"bsd", "cc-by", "cc-by-nc"} and got[4] == set(key)
 
 
+def test_every_licence_wording_gives_its_label(spark):
+    texts = [w for _, _, w in license_scan.TEMPLATES] + [" ".join(w.split()[3:]) for _, _, w in license_scan.TEMPLATES]
+    got = {r.doc_id: r for r in license_scan.license_scan(frame(spark, texts)).collect()}
+    for k, (label, phrase, wording) in enumerate(license_scan.TEMPLATES):
+        assert label in got[k].labels.split(",") and got[k].score == 1
+        n = len(wording.split())
+        if n > 8 and phrase in texts[k + len(license_scan.TEMPLATES)]:  # its first words are cut off
+            assert label in got[k + len(license_scan.TEMPLATES)].labels.split(",") and got[k + len(license_scan.TEMPLATES)].score >= (n - 3) / n - 1e-9
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(8)
     items = [prose(rng, n, 3000) for n in (8, 20, 40, 90, 300)] + [None, "", "..."]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("score", F.lit(1))
     clean = [prose(rng, int(rng.integers(5, 600)), 3000) for _ in range(60)]
-    texts = [*clean, *ODD[:9]]
+    texts = [*clean, *ODD]
     leaks = set()
     items.append("Élan ñu ß. " + " ".join(f"Ó{k}é" for k in range(30)))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("score", F.lit(1))
@@ -410,9 +447,9 @@ def test_line_dedup(spark):
         sources.append(f"s{k % 20}" if k else None)
         lines = [f"own {k}", "everywhere", "", "few" if k % 20 < 7 else "many" if k % 20 < 9 else "rest", f"own {k}"]
         texts.append("\n".join(lines))
-    texts += [None, "", "everywhere", "everywhere"]
-    sources += ["s1", "s1", "s2", "s2"]
-    ids = [*range(42), 42, 42]
+    texts += [None, "", "everywhere", "everywhere", "x" * 200_000 + "\neverywhere", "long line " * 20_000]
+    sources += ["s1", "s1", "s2", "s2", "s3", "s3"]
+    ids = [*range(42), 42, 42, 43, 44]
     d = frame(spark, texts, sources, ids)
     got = line_dedup.dedup_lines(d).collect()
     spread = {}

@@ -41,6 +41,19 @@ TEMPLATES = (
     ("mpl-2.0", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
+    ("mit", "the software is provided as is without warranty of any kind", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("mit", "the above copyright notice and this permission notice shall be included", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsd", "redistributions of source code must retain the above copyright notice", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("isc", "the software is provided as is and the author disclaims all warranties", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("apache-2.0", "you may not use this file except in compliance with the license", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("gpl", "without even the implied warranty of merchantability or fitness", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("lgpl", "gnu lesser general public license", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "gnu affero general public license", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("zlib", "in no event will the authors be held liable", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl-1.0", "boost software license", "distributed under the boost software license version 1 0"),
+    ("cc-by-sa", "cc by sa", "licensed under cc by sa 4 0"),
+    ("cc0", "cc0 1 0 universal", "this work is dedicated to the public domain under cc0 1 0 universal"),
 )
 #: Template words that must be in place, as a share.
 MIN_SHARE = 0.6
@@ -79,9 +92,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
     Null texts count as empty: no words, no labels (''), score 0. score is the
-    highest share of a verified template's words that are in place; where only a
-    base phrase was found, the share of its template's mandatory phrase in its
-    wording. Phrases may repeat; each place counts. Extra columns are ignored."""
+    highest share of a verified template's words that are in place, and 0.5 at least where
+    a base phrase was found. Phrases may repeat; each place counts. Texts may be of any length.
+    Repeated rows are scanned each; extra columns are ignored; an empty table gives an empty result."""
     n_docs, df = word_counts(docs)
     idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) for w in VOCABULARY}
     rare = [sorted(set(key.split()), key=lambda w: (-idf[w], w))[:2] for _, key, _ in TEMPLATES]
@@ -118,8 +131,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     def share(at: Column, k: int) -> Column:
         words = TEMPLATES[k][2].split()
-        hit = functools.reduce(lambda a, b: a + b, [F.coalesce((F.get("w", at + j) == w).cast("int"), F.lit(0)) for j, w in enumerate(words)])
-        return hit / F.lit(float(len(words)))
+        skip = F.greatest(-at, F.lit(0))  # of a wording that would begin before the file
+        here = F.slice("w", at + skip + 1, F.lit(len(words)) - skip)
+        hit = F.filter(F.zip_with(here, F.slice(F.array(*map(F.lit, words)), skip + 1, F.lit(len(words)) - skip), lambda a, b: a == b), lambda x: x)
+        return F.size(hit) / F.lit(float(len(words)))
 
     def key_at(at: Column, k: int) -> Column:
         _, key, wording = TEMPLATES[k]

@@ -74,7 +74,10 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def strip_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with boilerplate lines out of text and n_chars set anew; rows that lose all their words go."""
+    """docs with boilerplate lines out of text and n_chars set anew; rows that lose all their words go.
+
+    Other rows stay as they are, also those of null, empty or blank text and those with a null doc_id; repeated
+    rows are treated alike; lines and texts may be of any length; other columns may have any names; an empty table stays empty."""
     d = _marked(docs, min_sites)
     changed = F.col("_drop").isNotNull()
     d = d.withColumn("text", F.when(changed, F.array_join(_kept(), "\n")).otherwise(F.col("text")))

@@ -95,8 +95,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
 
     A document without words (null, empty, blank) is one piece of no tokens. A
     null source is the source ''. Rows are dealt to shards by doc_id and text
-    hash; repeated rows never share a bin, as they are of one cluster. An empty table packs
-    to none."""
+    hash; repeated rows never share a bin, as they are of one cluster. Of pieces of one length the smaller
+    doc_id (nulls last) is packed first, and of bins with the same room the older one is taken. Extra columns
+    are ignored. An empty table packs to none."""
     spark = docs.sparkSession
     shards = max(1, -(-docs.count() // SHARD_ROWS))
     items = measured(docs).withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("int"))
