@@ -1,10 +1,12 @@
 """DuckDB SQL for the queries that SQL can express at the sizes it is run on.
 
-The others (language model scores, packing, licence verification, retrieval by
-word pairs, WARC digests in base32, BPE and DOM trees) are held against brute
-force, the library or exact round trips in tests/llm.
+The others (language model scores, packing, retrieval by word pairs, BPE and
+DOM trees) are held against brute force, the library or exact round trips in
+tests/llm.
 """
 
+from veritrove.llm.license_scan import BASE_PHRASES, MIN_SHARE, TEMPLATES
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 _QUALITY = rf"""with d as (
@@ -23,9 +25,47 @@ y as (select m, case when m * (1 - m) * (n - nn / n - (c - 1)) > 0 then (kk - m
 z as (select m, case when rho is null then 10.0 when rho > 0 then greatest(1.0, least(10000.0, (1 - rho) / rho)) else 10000.0 end as s from y),
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _wording(label: str, key: str, text: str) -> str:
+    """A template as a row: the place of its key phrase (words from 0), the key's first word and both as lists."""
+    words, part = text.split(), key.split()
+    shift = next(k for k in range(len(words)) if words[k : k + len(part)] == part)
+    return f"('{label}', {shift}, '{part[0]}', string_split('{key}', ' '), string_split('{text}', ' '))"
+
+
+def _license_sql() -> str:
+    base = ", ".join(f"('{label}', '{p.split()[0]}', string_split('{p}', ' '))" for p, label in BASE_PHRASES.items())
+    templates = ", ".join(_wording(*t) for t in TEMPLATES)
+    return rf"""with d as (select row_number() over () as rn, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b(label, head, key) as (values {base}),
+t(label, shift, head, key, words) as (values {templates}),
+p as (select rn, unnest(w) as x, unnest(range(0, len(w))) as i from d),
+f as (select p.rn, p.i, b.label from p join b on b.head = p.x join d on d.rn = p.rn where d.w[p.i + 1:p.i + len(b.key)] = b.key),
+s as (select p.rn, t.label, list_sum(list_transform(range(0, len(t.words)), lambda j: (p.i - t.shift + j >= 0 and coalesce(d.w[p.i - t.shift + j + 1] = t.words[j + 1], false))::int)) / len(t.words)::double as share
+  from p join t on t.head = p.x join d on d.rn = p.rn where d.w[p.i + 1:p.i + len(t.key)] = t.key),
+l as (select rn, label from f union select rn, label from s where share >= {MIN_SHARE}),
+fa as (select rn, count(*) as n, min(i) as lo, max(i) as hi, string_agg(distinct label, ',' order by label) as labels from f group by 1),
+la as (select rn, string_agg(label, ',' order by label) as labels from l group by 1),
+sa as (select rn, max(share) as share from s where share >= {MIN_SHARE} group by 1)
+select doc_id, len(w) as n_words, coalesce(fa.n, 0) as n_base, lo as first_word, hi as last_word, coalesce(fa.labels, '') as base_labels, coalesce(la.labels, '') as labels,
+  greatest(case when fa.n > 0 then 0.5 else 0 end::double, coalesce(share, 0)::double) as score
+from d left join fa on fa.rn = d.rn left join la on la.rn = d.rn left join sa on sa.rn = d.rn"""
+
+
+#: Five hex digits are four base32 digits, so a SHA-1 is eight such groups.
+_BASE32 = """list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(list_transform([15, 10, 5, 0], lambda k:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((list_sum(list_transform(range(1, 6), lambda j: (instr('0123456789abcdef', substr(h, (5 * g + j)::int, 1)) - 1) * (1 << (20 - 4 * j)::int)))::bigint >> k) & 31)::int, 1)), 'string_agg', '')), 'string_agg', '')"""
+
 ORACLES: dict[str, str] = {
+    "op5_license_scan": _license_sql(),
+    "op8_warc": f"""with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h from pages),
+f as (select *, min(page_id) over (partition by h) as first from p)
+select page_id, strlen(t)::bigint as payload_bytes, {_BASE32} as payload_digest, case when first < page_id then 'revisit' else 'response' end as record_type,
+  case when first < page_id then first end as refers_to from f""",
     "op1_ngram_jaccard": rf"""with recursive w as (
-  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') as w from documents),
+  select doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') as w from documents),
 g as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
   when len(w) > 0 then [array_to_string(w, ' ')] else []::varchar[] end as g from w),
 n as (select doc_id, len(g) as n, sha256(array_to_string(list_sort(g), chr(10))) as k from g),
