@@ -76,6 +76,11 @@ def test_top_k(spark):
     assert [r.id for r in search.top_k(v, [1, 0], 3).collect()] == [0, 1, 3]
     assert [r.id for r in search.top_k(v, [1, 0], 3, ["f"]).collect()] == [0, 1]
     assert search.top_k(v, [1, 0], 0).count() == 0
+    every = search.top_k_all(v.select("id", "vec"), v.where("id <> 1").select("id", "vec"), 3).orderBy("query_id", "rank").collect()
+    for q in v.where("id <> 1").collect():
+        alone = [(r.id, pytest.approx(r.score)) for r in search.top_k(v, list(q.vec), 3).collect()]
+        assert [(r.id, r.score) for r in every if r.query_id == q.id] == alone
+    assert search.top_k_all(v.select("id", "vec"), v.select("id", "vec"), 0).count() == 0
 
 
 def test_budget(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritrove.functions import text as T
 from veritrove.functions.vectors import dot
+from veritrove.operators import simjoin
 
 # The least top score and the largest share of drifted hits of each grounding mode.
 MODES = {"augment": (0.30, 0.30), "knowledge": (0.15, 1.0), "constrain": (0.0, 1.0)}
@@ -39,6 +40,16 @@ def top_k(band: DataFrame, q: list[float], k: int = 10, distinct_by: list[str] |
     return s.orderBy(F.desc("score"), "id").limit(k)
 
 
+def top_k_all(band: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, id, score, rank: the k rows of band nearest to each of queries (id, vec); ties go to the smaller id.
+
+    Queries and band are multiplied block by block, so there may be any number of either."""
+    if k <= 0:
+        return queries.select(F.col("id").cast("long").alias("query_id"), F.col("id").cast("long"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
+    found = simjoin.nearest(queries, band, k)
+    return found.select(F.col("a").alias("query_id"), F.col("b").alias("id"), F.col("cosine").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def drift_status(found: Column, now: Column, then: Column) -> Column:
     return F.when(found.isNull(), "missing").when(now == then, "verified").otherwise("drifted")
 

@@ -84,6 +84,16 @@ def search_topk(spark, d):
     return search.top_k(b.select("id", "vec"), first_vector(b), 10).select("id", r6("score").alias("score"))
 
 
+@query(
+    f"with {V}, s as (select x.id as query_id, y.id, {DOT.format('x', 'y')} as score from v x, v y where x.id % 20 = 0), "
+    "r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select query_id, id, round(score, 6) as score, rank from r where rank <= 10"
+)
+def search_topk_all(spark, d):
+    """Every row whose id is divisible by 20 as a query against all rows."""
+    v = band(spark, d).select("id", "vec")
+    return search.top_k_all(v, v.where("id % 20 = 0"), 10).select("query_id", "id", r6("score").alias("score"), "rank")
+
+
 @query(
     f"with {V}, s as (select v.id, d.source, {DOT.format('v', 'q')} as score from v join documents d on d.doc_id = v.id, q), "
     "r as (select *, row_number() over (partition by source order by score desc, id) as k from s) "
