@@ -83,10 +83,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op13_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from veritrove.llm.piece_encoding import encode_pieces
+
+    return encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard, op2_quality_rules, op3_lm_scoring, op4_best_fit_packing, op5_license_scan,
-        op6_decontamination, op7_line_dedup, op8_warc, op9_token_counts, op10_html_extraction, quality_hosts,
+        op6_decontamination, op7_line_dedup, op8_warc, op9_token_counts, op10_html_extraction,
+        op13_piece_encoding, quality_hosts,
     )
 }
