@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express at the sizes it is run on.
 
-The others (language model scores, packing, retrieval by word pairs, BPE and
-DOM trees) are held against brute force, the library or exact round trips in
+The others (language model scores, packing, retrieval by word pairs, token
+vocabularies and DOM trees) are held against brute force, the library or exact round trips in
 tests/llm.
 """
 
@@ -58,7 +58,57 @@ from d left join fa on fa.rn = d.rn left join la on la.rn = d.rn left join sa on
 _BASE32 = """list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(list_transform([15, 10, 5, 0], lambda k:
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((list_sum(list_transform(range(1, 6), lambda j: (instr('0123456789abcdef', substr(h, (5 * g + j)::int, 1)) - 1) * (1 << (20 - 4 * j)::int)))::bigint >> k) & 31)::int, 1)), 'string_agg', '')), 'string_agg', '')"""
 
+#: Frequencies of all phrases of up to three words by language, then cuts, cover and rank.
+_PHRASES = rf"""with d as (select row_number() over () as rn, coalesce(lang, 'und') as lang, {_LOWER} as t from documents),
+p as (select lang, rn, generate_subscripts(s, 1) as pn, unnest(s) as p from (select lang, rn, regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]') as s from d)),
+w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from p),
+g as (select lang, w[i:i + k - 1] as g from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3)) ks(k) where len(w) >= k)),
+f as (select lang, g, count(*) as f from g group by 1, 2),
+n as (select lang, sum(f)::bigint as n from f where len(g) = 1 group by 1),
+c as (select lang, g, f as a from f where len(g) > 1 and f >= 10),
+x as (select lang, g, a, unnest(range(1, len(g))) as k from c),
+s as (select x.lang, x.g, a, k, l.f as l, r.f as r, ((1000000::hugeint * a * a) // (l.f::hugeint * r.f))::bigint as score
+  from x join f l on l.lang = x.lang and l.g = x.g[1:k] join f r on r.lang = x.lang and r.g = x.g[k + 1:]),
+b as (select * from s qualify row_number() over (partition by lang, g order by score, k) = 1),
+i as (select lang, g[o:o + 1] as g, max(a) as a from (select lang, g, a, unnest([1, 2]) as o from c where len(g) = 3) group by 1, 2),
+o as (select b.lang, array_to_string(b.g, ' ') as phrase, b.a, l, r, score from b left join i on i.lang = b.lang and i.g = b.g where i.a is null or 100 * i.a < 50 * b.a)
+select o.lang, row_number() over (partition by o.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from o join n on n.lang = o.lang qualify rank <= 2000"""
+
+#: CRC-32 bit by bit; the fold as a recursion over turns, whose states carry cost, audit and the repaired turns.
+_REPAIR = r"""with recursive c as (select row_number() over () as rn, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as t,
+  list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint) as bytes from conversations),
+h as (select *, xor(list_reduce(list_concat([4294967295::bigint], bytes), lambda c, b:
+  list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295::bigint) % 20 as h from c),
+d as (select conv_id, turn, case when h = 4 then 'user' else role end as role, case when h = 1 then '' when h = 2 then translate(t, '.!?', '') else t end as t,
+  unnest(case when h = 3 then [0, 1] else [0] end) as copy from h where h <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, t) as k, rtrim(t, E' \t\n\x0b\x0c\r') as body from d),
+f as (select *, role[1:1] as i, case when body = '' then 'b' when row_number() over (partition by conv_id, role, t order by k) > 1 then 'd' when right(body, 1) not in ('.', '!', '?') then 't' else '' end as f,
+  lag(role[1:1]) over (partition by conv_id order by k) as before from o),
+m as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, sum((f = 'b')::int) as blank, sum((f = 'd')::int) as duplicate, sum((f = 't')::int) as truncated,
+  sum((before is not null and before || i not in ('su', 'ua', 'au'))::int) as illegal, count(*) as n from f group by 1),
+r as (select conv_id, 0::bigint as k, {c: 0::bigint, a: '', t: []::varchar[]} as s0, {c: 1000000000::bigint, a: '', t: []::varchar[]} as s1, {c: 1000000000::bigint, a: '', t: []::varchar[]} as s2,
+    {c: 1000000000::bigint, a: '', t: []::varchar[]} as s3 from m
+  union all
+  select conv_id, k, {c: s0.c + 3, a: s0.a || 'D', t: s0.t},
+    least({c: s1.c + 3, a: s1.a || 'D', t: s1.t}, {c: s0.c + x + case when i = 's' then 0 else 1000000000 end, a: s0.a || 'K', t: list_append(s0.t, role || ':' || t)}),
+    least({c: p2.c + 3, a: p2.a || 'D', t: p2.t}, {c: s0.c + x + u.c, a: s0.a || u.a, t: list_append(s0.t, u.t)}, {c: s1.c + x + u.c, a: s1.a || u.a, t: list_append(s1.t, u.t)}, {c: p3.c + x + u.c, a: p3.a || u.a, t: list_append(p3.t, u.t)}),
+    least({c: p3.c + 3, a: p3.a || 'D', t: p3.t}, {c: p2.c + x + a.c, a: p2.a || a.a, t: list_append(p2.t, a.t)})
+  from (select *, least(s3, {c: p2.c + 2, a: p2.a || 'I', t: list_append(p2.t, 'assistant:')}) as p3 from (
+    select r.conv_id, f.k, s0, s1, s2, s3, i, role, t, case f when 't' then 1 when '' then 0 else 1000000000 end as x,
+      case when i = 'u' then {c: 0, a: 'K', t: role || ':' || t} else {c: 2, a: 'R', t: 'user:' || t} end as u, case when i = 'a' then {c: 0, a: 'K', t: role || ':' || t} else {c: 2, a: 'R', t: 'assistant:' || t} end as a,
+      least(s2, {c: s0.c + 2, a: s0.a || 'I', t: list_append(s0.t, 'user:')}, {c: s1.c + 2, a: s1.a || 'I', t: list_append(s1.t, 'user:')}, {c: s3.c + 2, a: s3.a || 'I', t: list_append(s3.t, 'user:')}) as p2
+    from r join f on f.conv_id is not distinct from r.conv_id and f.k = r.k + 1))),
+e as (select conv_id, k, s0, s3, least(s2, {c: s0.c + 2, a: s0.a || 'I', t: list_append(s0.t, 'user:')}, {c: s1.c + 2, a: s1.a || 'I', t: list_append(s1.t, 'user:')}) as p2 from r),
+b as (select e.conv_id, gaps, blank, duplicate, truncated, illegal, least(s0, s3, {c: p2.c + 2, a: p2.a || 'I', t: list_append(p2.t, 'assistant:')}) as s
+  from e join m on m.conv_id is not distinct from e.conv_id and m.n = e.k)
+select v.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(s.c, 0)::bigint as cost, coalesce(s.a, '') as audit, sha256(coalesce(array_to_string(s.t, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) v left join b on b.conv_id is not distinct from v.conv_id"""
+
 ORACLES: dict[str, str] = {
+    "op12_conversation_repair": _REPAIR,
+    "op11_phrase_mining": _PHRASES,
     "op5_license_scan": _license_sql(),
     "op8_warc": f"""with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h from pages),
 f as (select *, min(page_id) over (partition by h) as first from p)

@@ -83,6 +83,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritrove.llm.phrase_mining import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritrove.llm.conversation_repair import damage_and_repair
+
+    return damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 def op13_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -96,6 +108,6 @@ QUERIES = {
     for f in (
         op1_ngram_jaccard, op2_quality_rules, op3_lm_scoring, op4_best_fit_packing, op5_license_scan,
         op6_decontamination, op7_line_dedup, op8_warc, op9_token_counts, op10_html_extraction,
-        op13_piece_encoding, quality_hosts,
+        op11_phrase_mining, op12_conversation_repair, op13_piece_encoding, quality_hosts,
     )
 }
