@@ -79,9 +79,15 @@ def test_remote(spark, folder, tmp_path):
 def test_optimise(spark, folder):
     path = str(folder / "model")
     C.build(spark, [str(folder / "docs")], path, make)
-    text, rc = C.optimise_band(spark, path, [(0, "Alpha beta engines"), (1, "Gamma delta pumps")] * 8, make, (8, 16))
+    queries = spark.createDataFrame([(k % 2, ("Alpha beta engines", "Gamma delta pumps")[k % 2] + f" {k}") for k in range(40)], "passage_idx long, query string")
+    text, rc = C.optimise_band(spark, path, queries, make, (8, 16), steps=3, batch=8)
     m = M.load(spark, path)
-    assert rc in (0, 4) and (rc == 4 or (m.band().count() == 2 and len(m.band().first().vec) == 16))
+    assert rc == 0 and m.band().count() == 2 and len(m.band().first().vec) == 16 and text.startswith("optimised: 16 dimensions")
+    base = {r.passage_idx: np.array(r.vec) for r in m.base.collect()}
+    for r in m.band().collect():
+        y = m.projections["optimised"] @ base[r.passage_idx]
+        assert np.allclose(y / np.linalg.norm(y), r.vec, atol=1e-5)
+    assert C.optimise_band(spark, path, queries.limit(3), make, (8, 16))[1] == 1
 
 
 def test_inverted_file_recall(spark):

@@ -1,5 +1,6 @@
 """Operators: laws, planted cases and gates."""
 
+import hashlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,35 @@ def test_capture(spark):
     assert gate == {1: "", 2: "short_assistant"}
     row = memory.captured(df, "workspace:x", "2024-01-01T00:00:00Z").collect()
     assert len(row) == 1 and "<REDACTED>" in row[0].text and len(row[0].transcript_hash) == 64
+    sha = lambda parts: hashlib.sha256("".join(p + "\0" for p in parts).encode()).hexdigest()
+    assert row[0].transcript_hash == sha([p for x in m[:3] for p in x[2:4]])
+    tools = F.when(F.col("turn") == 1, F.array(F.struct(F.lit("bash").alias("name"), F.lit(None).cast("string").alias("path"), F.lit("ls").alias("content"))))
+    with_tools = memory.captured(df.withColumn("tools", tools).withColumn("session_id", F.lit("s1")), "workspace:x", "").collect()[0]
+    assert with_tools.transcript_hash == sha(["s1", *m[0][2:4], *m[1][2:4], "bash", "", "ls", *m[2][2:4]])
+
+
+def test_capture_of_long_conversations(spark):
+    """A conversation far longer than what is kept of it, among short ones, whatever order its rows come in."""
+    n = 30_000
+    long = spark.range(n).select(F.lit(7).cast("long").alias("conv_id"), "id", F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("message "), "id").alias("text"))
+    df = long.select("conv_id", F.col("id").alias("turn"), "role", "text", F.lit(0).alias("n_tools")).union(spark.createDataFrame([(8, 0, "assistant", "x" * 300, 0), (8, 1, "user", "y" * 40, 0)], "conv_id long, turn long, role string, text string, n_tools int"))
+    got = {r.conv_id: r for r in memory.captured(df.orderBy(F.rand(3)), "w", "", most_chars=100).collect()}
+    h = hashlib.sha256()
+    for k in range(n):
+        h.update(f"{('user', 'assistant')[k % 2]}\0message {k}\0".encode())
+    assert got[7].transcript_hash == h.hexdigest() and got[7].text == "\n\n".join(f"message {k}" for k in range(1, 40, 2))[:100] and len(got[8].text) == 100
+
+
+def test_lessons_and_votes(spark):
+    reply = 'As in [1] and [see: x]: [{"text": " Use it. ", "polarity": ["prefer", "workspace:{workspace_hash}"]}, {"text": "b", "polarity": ["none"]}]'
+    assert memory.lessons(reply, "abc") == [{"text": "Use it.", "polarity": ["prefer", "workspace:abc"], "intent": ""}]
+    assert memory.lessons("none", "a") == [] and memory.lessons("[", "a") == [] and memory.lessons("[1] []", "a") == []
+    rows = spark.createDataFrame([(f"r{k}", False, 1, "then") for k in range(4)], "row_id string, is_bad boolean, recurrence_count int, last_corroborated_at string")
+    votes = spark.createDataFrame([(1, "r0", "bad"), (2, "r0", "good"), (3, "r1", "good"), (4, "r1", "bad"), (5, "r2", "corroborate"), (6, "r2", "corroborate"), (7, "r9", "bad")], "n int, row_id string, kind string")
+    got = {r.row_id: tuple(r)[1:] for r in memory.voted(rows, votes, "now").collect()}
+    assert got == {"r0": (False, 1, "then"), "r1": (True, 1, "then"), "r2": (False, 3, "now"), "r3": (False, 1, "then")}
+    with pytest.raises(Exception):
+        memory.voted(rows, votes.withColumn("kind", F.lit("worse")), "").collect()
 
 
 def test_model_round_trip_and_refresh(spark, tmp_path):
@@ -215,12 +245,7 @@ def test_watch_sees_edits_and_removals(spark, tmp_path):
     assert sorted(seen) == [("a.md", "changed"), ("b.md", "removed"), ("c.md", "added")]
 
 
-def test_training_and_negatives(spark):
-    q, p = unit(120, 16, 1), None
-    p = q + 0.05 * unit(120, 16, 2)
-    p /= np.linalg.norm(p, axis=1, keepdims=True)
-    w = optimise.train(q, p, dims=(4, 8), steps=120)
-    assert w.shape == (8, 16)
+def test_negatives_and_filter(spark):
     v = vectors(spark, unit(6))
     h = optimise.hard_negatives(v, v, v.select(F.col("id").alias("a"), F.col("id").alias("b")), pool=4, take=7).collect()
     assert len(h) == 42 and all(r.a != r.b for r in h)

@@ -6,11 +6,13 @@ last_corroborated_at (ISO strings), transcript_hash, is_bad, vec.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,23 @@ def vote(rows: DataFrame, row_id: str, kind: str, now: str) -> DataFrame:
     return rows.withColumns({"recurrence_count": F.when(me, F.col("recurrence_count") + 1).otherwise(F.col("recurrence_count")), "last_corroborated_at": F.when(me, F.lit(now)).otherwise(F.col("last_corroborated_at"))})
 
 
+def voted(rows: DataFrame, votes: DataFrame, now: str) -> DataFrame:
+    """rows after a table of votes (n, row_id, kind) in the order of n: the last of bad and good holds, each corroborate counts.
+
+    One join, however many votes there are. Unknown kinds are refused when the result is read."""
+    flag = F.col("kind").isin("bad", "good")
+    kind = F.when(flag | (F.col("kind") == "corroborate"), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown vote "), F.coalesce("kind", F.lit("null")))))
+    v = votes.withColumn("kind", kind).groupBy("row_id").agg(
+        F.max_by(F.when(flag, F.col("kind") == "bad"), F.when(flag, F.col("n"))).alias("_bad"), F.count_if(F.col("kind") == "corroborate").alias("_more")
+    )
+    r = rows.join(v, "row_id", "left")
+    return r.withColumns({
+        "is_bad": F.coalesce("_bad", "is_bad"),
+        "recurrence_count": (F.col("recurrence_count") + F.coalesce("_more", F.lit(0))).cast(rows.schema["recurrence_count"].dataType),
+        "last_corroborated_at": F.when(F.col("_more") > 0, F.lit(now)).otherwise(F.col("last_corroborated_at")),
+    }).drop("_bad", "_more")
+
+
 def retained(entries: DataFrame, now: Column) -> DataFrame:
     """entries (tier, salience, created_utc, id) with `effective`, decayed; those above the floor, as many as each tier holds."""
     age = T.age_seconds(F.col("created_utc"), now)
@@ -134,21 +153,49 @@ def capture_gate(messages: DataFrame, least_chars: int = 200, require_tool_use:
 
 
 def captured(messages: DataFrame, workspace: str, now: str, require_tool_use: bool = False, most_chars: int = 24_000) -> DataFrame:
-    """A factual row for each transcript that passes the gate: what the assistant said, in order, scrubbed and cut."""
+    """A factual row for each transcript that passes the gate: what the assistant said, in order, scrubbed and cut.
+
+    messages has conv_id, turn, role, text, n_tools, and may have session_id and tools (array of name, path, content), which
+    then count in the transcript's hash. A transcript's messages are sorted by turn within a partition and go by one at a
+    time, through a running hash and a running cut, so a transcript may be of any length."""
     ok = capture_gate(messages, require_tool_use=require_tool_use).where("captured").select("conv_id")
-    said = messages.join(ok, "conv_id").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", "text")))).alias("a"),
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("all"),
-    )
-    body = F.array_join(F.transform("a", lambda m: m.text), "\n\n")
-    parts = F.flatten(F.transform("all", lambda m: F.array(m.role, m.text)))
-    whole = F.sha2(F.array_join(F.transform(parts, lambda p: F.concat(F.coalesce(p, F.lit("")), F.lit("\x00"))), ""), 256)
-    return said.select(
-        "conv_id",
-        F.substring(T.redact(body), 1, most_chars).alias("text"),
+    closed = lambda *parts: F.concat(*(x for p in parts for x in (F.coalesce(p, F.lit("")), F.lit("\x00"))))
+    hashed = closed(F.col("role"), F.col("text"))
+    if "tools" in messages.columns:
+        called = F.transform("tools", lambda t: closed(t["name"], t["path"], t["content"]))
+        hashed = F.concat(hashed, F.coalesce(F.array_join(called, ""), F.lit("")))
+    session = closed(F.col("session_id")) if "session_id" in messages.columns else F.lit("")
+    said = F.when(F.col("role") == "assistant", T.redact(F.col("text")))
+    rows = messages.join(ok, "conv_id").select("conv_id", "turn", "role", "text", hashed.alias("hashed"), session.alias("session"), said.alias("said"))
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "hashed", "session", "said")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, sha, pieces, chars, kind, any_ = None, None, [], 0, None, False
+
+        def ended() -> pa.RecordBatch:
+            body = "\n\n".join(pieces)[:most_chars]
+            return pa.RecordBatch.from_arrays([pa.array([conv], kind), pa.array([body]), pa.array([sha.hexdigest()])], names=["conv_id", "text", "transcript_hash"])
+
+        for b in batches:
+            kind = b.schema.field("conv_id").type
+            for now_at, h, s, t in zip(*(b.column(c).to_pylist() for c in ("conv_id", "hashed", "session", "said"))):
+                if not any_ or now_at != conv:
+                    if any_:
+                        yield ended()
+                    conv, sha, pieces, chars, any_ = now_at, hashlib.sha256(s.encode()), [], 0, True
+                sha.update(h.encode())
+                if t is not None and chars < most_chars:  # what comes after the cut isn't kept
+                    pieces.append(t)
+                    chars += len(t) + 2
+        if any_:
+            yield ended()
+
+    made = rows.mapInArrow(run, f"conv_id {messages.schema['conv_id'].dataType.simpleString()}, text string, transcript_hash string")
+    return made.select(
+        "conv_id", "text",
         F.array(F.lit("factual"), F.lit(workspace)).alias("polarity"),
         F.lit(1).alias("recurrence_count"), F.lit(now).alias("created_at"), F.lit(now).alias("last_corroborated_at"),
-        whole.alias("transcript_hash"), F.lit(False).alias("is_bad"),
+        "transcript_hash", F.lit(False).alias("is_bad"),
     )
 
 
@@ -218,22 +265,28 @@ LLM = Callable[[str, list[dict], int], tuple[str, int, int]]
 
 
 def lessons(reply: str, workspace: str, most: int = 2) -> list[dict]:
-    """The lessons in a model's reply: objects with text and a valid polarity, of the first JSON array in it."""
-    start = reply.find("[")
-    if start < 0:
-        return []
-    try:
-        found, _ = json.JSONDecoder().raw_decode(reply[start:])
-    except ValueError:
-        return []
+    """The lessons in a model's reply: objects with text and a valid polarity, of the first JSON array in it that has only objects."""
+    at = reply.find("[")
+    while at >= 0:
+        try:
+            found, _ = json.JSONDecoder().raw_decode(reply[at:])
+        except ValueError:
+            found = [None]
+        if all(isinstance(x, dict) for x in found):
+            return _valid_lessons(found, workspace)[:most]
+        at = reply.find("[", at + 1)
+    return []
+
+
+def _valid_lessons(found: list[dict], workspace: str) -> list[dict]:
     out = []
-    for x in found if isinstance(found, list) else []:
-        if not isinstance(x, dict) or not isinstance(x.get("text"), str) or not x["text"].strip() or not isinstance(x.get("polarity"), list):
+    for x in found:
+        if not isinstance(x.get("text"), str) or not x["text"].strip() or not isinstance(x.get("polarity"), list):
             continue
         tags = [str(t).replace("{workspace_hash}", workspace) for t in x["polarity"]]
         if sum(t in ("prefer", "avoid", "factual") for t in tags) == 1:
             out.append({"text": x["text"].strip(), "polarity": tags, "intent": x.get("intent") or ""})
-    return out[:most]
+    return out
 
 
 def distil(captures: list[dict], workspace: str, ask: LLM, scrubs: Callable[[str], bool], seen: set[tuple[str, str]], most: int = 2) -> list[dict]:

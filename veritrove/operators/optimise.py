@@ -1,17 +1,13 @@
-"""Training a nested projection of the base band: queries, hard negatives, InfoNCE, writing."""
+"""Before a nested projection is trained (see training): queries, their filter, hard negatives, estimates."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrove.operators import simjoin
 
-# Nested dimensions, temperature, steps, batch and rate of the training.
-DIMS, TEMPERATURE, STEPS, BATCH, RATE = (64, 128, 256, 512), 0.02, 250, 128, 5e-4
+STEPS = 250  # a fixed value: the steps of a training
 
 
 def stratified(passages: DataFrame, per_file: int = 3, most: int = 6_000, seed: int = 0) -> DataFrame:
@@ -50,15 +46,6 @@ def retention(kept: int, emitted: int) -> float:
     return kept / emitted if emitted else 0.0
 
 
-def synthetic_queries(passages: list[dict], ask: Callable, per_passage: int = 3) -> list[tuple[int, str]]:
-    """(passage_idx, query) from a language model's lines, what passes the filter."""
-    out = []
-    for p in passages:
-        reply, _, _ = ask(f"Write {per_passage} search queries, one a line.", [{"role": "user", "content": p["text"]}], 256)
-        out += [(p["passage_idx"], q.strip()) for q in reply.splitlines() if good_query(q)]
-    return out
-
-
 def hard_negatives(queries: DataFrame, band: DataFrame, positives: DataFrame, pool: int = 64, take: int = 7, seed: int = 0) -> DataFrame:
     """a (query), b, slot: of the nearest `pool` without the positive (a, b) the first `take` by hash; short pools repeat."""
     near = simjoin.nearest(queries, band, pool).join(positives.select("a", "b"), ["a", "b"], "left_anti")
@@ -69,40 +56,6 @@ def hard_negatives(queries: DataFrame, band: DataFrame, positives: DataFrame, po
     return slots.select("a", "b", F.col("slot").cast("int").alias("slot"))
 
 
-def train(queries: np.ndarray, positives: np.ndarray, dims: tuple[int, ...] = DIMS, steps: int = STEPS, seed: int = 0) -> np.ndarray:
-    """W (largest dim by base dim): InfoNCE over the nested dims with in-batch negatives, Adam, from a random orthogonal start.
-
-    Stops early where the first-choice rate of the last dims stays below 0.2 by step 100."""
-    rng = np.random.default_rng(seed)
-    d = queries.shape[1]
-    dims = tuple(k for k in dims if k <= d) or (d,)
-    w = np.linalg.qr(rng.normal(size=(d, d)))[0][: max(dims)]
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, steps + 1):
-        at = rng.choice(len(queries), min(BATCH, len(queries)), replace=False)
-        q, p = queries[at], positives[at]
-        grad = np.zeros_like(w)
-        hits = 0.0
-        for k in dims:
-            a, b = q @ w[:k].T, p @ w[:k].T
-            na, nb = np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12), np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
-            ua, ub = a / na, b / nb
-            s = ua @ ub.T / TEMPERATURE
-            e = np.exp(s - s.max(1, keepdims=True))
-            soft = e / e.sum(1, keepdims=True)
-            hits = float((s.argmax(1) == np.arange(len(s))).mean())
-            g = (soft - np.eye(len(s))) / (len(s) * TEMPERATURE)
-            ga, gb = g @ ub, g.T @ ua
-            ga = (ga - ua * (ga * ua).sum(1, keepdims=True)) / na
-            gb = (gb - ub * (gb * ub).sum(1, keepdims=True)) / nb
-            grad[:k] += (ga.T @ q + gb.T @ p) / len(dims)
-        if step == 100 and hits < 0.2:
-            raise RuntimeError("training was stopped: the first choice is right too seldom")
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w
-
-
 def estimate(n_queries: int, tokens_per_query: int = 900, price: float = 3.0) -> float:
     """Cost in dollars at a price per million tokens."""
     return n_queries * tokens_per_query * price / 1e6

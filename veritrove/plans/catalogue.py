@@ -7,14 +7,19 @@ six places on both sides, as sums differ in their order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrove.functions import chunk, vectors
 from veritrove.functions import text as T
-from veritrove.operators import corpus, incremental, memory, optimise, search, simjoin
+from veritrove.operators import corpus, graph, incremental, memory, optimise, pruned, search, simjoin, training
+from veritrove.plans.session import shared_dir, written
+from veritrove.sources import archive
+from veritrove.sources.model import Model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -663,15 +668,84 @@ def ann_search(spark, d):
 
 
 @query()
-def mined_projection(spark, d):
-    """A projection trained on noisy copies of the band (at most 4,096 rows of it, by hash), applied to it: the first value."""
-    import numpy as np
+def graph_search(spark, d):
+    """Every row whose id is divisible by 20 as a query, by graphs over all rows."""
+    b = band(spark, d).select("id", "vec")
+    index = written(graph.build(b), "graph")
+    return graph.search(index, b.where("id % 20 = 0"), 10).select("a", "b", r6("cosine").alias("cosine"), "rank")
+
+
+@query(
+    f"with {V}, s as (select x.id as a, y.id as b, {DOT.format('x', 'y')} as s from v x, v y where x.id % 20 = 0), "
+    "r as (select *, row_number() over (partition by a order by s desc, b) as rank from s) select a, b, round(s, 6) as cosine, rank from r where rank <= 10"
+)
+def retrieve_by_size(spark, d):
+    """The same through the dispatch: exactly up to 5,000 rows, by graphs beyond."""
+    b = band(spark, d).select("id", "vec")
+    index = graph.index_of(b)
+    found = graph.retrieve(b.where("id % 20 = 0"), b, None if index is None else written(index, "graph"), k=10)
+    return found.select("a", "b", r6("cosine").alias("cosine"), "rank")
+
+
+@query(f"with {V} select x.id as a, y.id as b, round({DOT.format('x', 'y')}, 6) as cosine from v x, v y where x.id < y.id and {DOT.format('x', 'y')} >= {NEAR}")
+def pruned_pairs(spark, d):
+    found, _ = pruned.similar(band(spark, d).select("id", "vec"), None, NEAR)
+    return found.select("a", "b", r6("cosine").alias("cosine"))
+
+
+@query(
+    """select vec_id as passage_idx, 'v/' || vec_id as source_file, left(sha256('v/' || vec_id || chr(31) || '0' || chr(31) || len(embedding)), 16) as passage_id,
+round(embedding[1]::double / sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 5) as first, len(embedding)::int as dim from embeddings"""
+)
+def archive_round_trip(spark, d):
+    """The embeddings as a model in one archive file, written and read back."""
+    b = band(spark, d)
+    size = F.size("vec").cast("long")
+    passages = b.select(F.col("id").alias("passage_idx"), F.concat(F.lit("v/"), F.col("id").cast("string")).alias("source_file"), F.lit(0).cast("long").alias("char_offset"), size.alias("char_length"), F.lit("sha256:").alias("content_hash"))
+    passages = passages.withColumn("passage_id", T.passage_id("source_file", "char_offset", "char_length"))
+    path = f"{shared_dir(spark).rstrip('/')}/archive-{uuid.uuid4().hex}.zip"
+    archive.write(Model(passages, {"base": b.select(F.col("id").alias("passage_idx"), "vec")}), path)
+    m = archive.read(spark, path)
+    return m.passages.join(m.base, "passage_idx").select("passage_idx", "source_file", "passage_id", F.round(F.get("vec", F.lit(0)).cast("double"), 5).alias("first"), F.size("vec").alias("dim"))
+
 
+def asked_about(b: DataFrame) -> DataFrame:
+    """A query for each row of the band: its vector, a little beside itself."""
+    noise = lambda x, p: x.cast("double") + 0.05 * ((F.col("id") * 31 + (p + 1) * 17) % 101 - 50) / 50.0
+    return b.select("id", F.transform("vec", noise).alias("vec"))
+
+
+def own_row(b: DataFrame) -> DataFrame:
+    return b.select(F.col("id").alias("a"), F.col("id").alias("b"))
+
+
+ASKED = V + """, aq as (select id, list_transform(range(1, len(vec) + 1), lambda p: vec[p] + 0.05 * ((id * 31 + p * 17) % 101 - 50) / 50.0) as vec from v),
+n as (select x.id as a, y.id as b, list_inner_product(x.vec, y.vec) as c from aq x, v y), r as (select *, row_number() over (partition by a order by c desc, b) as k from n),
+h as (select a, b, row_number() over (partition by a order by sha256('0:' || a || ':' || b)) - 1 as slot from r where k <= 64 and a <> b)"""
+
+
+@query(
+    f"""with {ASKED}, e as (select a, b from h where slot < 7 union all select id, id from v),
+s as (select a, b, k, list_cosine_similarity(aq.vec[1:k], v.vec[1:k]) / 0.02 as s from e join aq on aq.id = e.a join v on v.id = e.b, (values (16), (32), (64)) d(k)),
+l as (select a, k, ln(sum(exp(s - m))) + any_value(m) - max(s) filter (where a = b) as l from (select *, max(s) over (partition by a, k) as m from s) group by 1, 2)
+select a, round(avg(l), 6) as loss from l group by 1"""
+)
+def infonce_losses(spark, d):
+    """Each query's loss against its mined negatives before training: the projection keeps the base's own dimensions."""
     b = band(spark, d).select("id", "vec")
-    x = np.array([list(r["vec"]) for r in b.orderBy(F.xxhash64("id"), "id").limit(4096).collect()])
-    q = x + 0.05 * np.random.default_rng(0).normal(size=x.shape)
-    w = optimise.train(q / np.linalg.norm(q, axis=1, keepdims=True), x, dims=(16, 32), steps=60)
-    return simjoin.project_band(b, w).select("id", r6(F.get("vec", F.lit(0))).alias("first"))
+    asked = asked_about(b)
+    known = training.examples(asked, b, own_row(b), optimise.hard_negatives(asked, b, own_row(b)))
+    return training.example_losses(known, np.eye(64), (16, 32, 64)).select("a", r6("loss").alias("loss"))
+
+
+@query()
+def mined_projection(spark, d):
+    """A projection trained on a query for each row of the band and its mined negatives, applied to the band: the first value."""
+    b = band(spark, d).select("id", "vec")
+    asked = asked_about(b)
+    mined = written(optimise.hard_negatives(asked, b, own_row(b)), "negatives")
+    t = training.train(asked, b, own_row(b), mined, dims=(16, 32), steps=24, rate=0.01)
+    return simjoin.project_band(b, t.w).select("id", r6(F.get("vec", F.lit(0))).alias("first"))
 
 
 # operators by their further branches
@@ -811,12 +885,14 @@ def corroborated_rows(spark, d):
     return memory.corroborated(rows, hits.union(hits), "now").select("row_id", "recurrence_count", F.col("last_corroborated_at").alias("stamp"))
 
 
-@query(f"with {ROWS} select row_id, case row_id when 5 then true when 13 then false else is_bad end as is_bad, recurrence_count + (row_id = 7)::int as recurrence_count from rows")
+@query(
+    f"""with {ROWS}, w as (select event_id % 200 as row_id, arg_max(event_id % 3 = 0, event_id) filter (where event_id % 3 < 2) as bad, count(*) filter (where event_id % 3 = 2) as more from events group by 1)
+select r.row_id, coalesce(bad, is_bad) as is_bad, recurrence_count + coalesce(more, 0) as recurrence_count from rows r left join w on w.row_id = r.row_id"""
+)
 def voted_rows(spark, d):
-    r = memory_rows(spark, d)
-    for row, kind in ((5, "bad"), (13, "good"), (7, "corroborate")):
-        r = memory.vote(r, row, kind, "now")
-    return r.select("row_id", "is_bad", "recurrence_count")
+    kind = F.element_at(F.array(F.lit("bad"), F.lit("good"), F.lit("corroborate")), (F.col("event_id") % 3 + 1).cast("int"))
+    votes = table(spark, d, "events").select(F.col("event_id").alias("n"), (F.col("event_id") % 200).alias("row_id"), kind.alias("kind"))
+    return memory.voted(memory_rows(spark, d), votes, "now").select("row_id", "is_bad", "recurrence_count")
 
 
 @query("select case when doc_id % 2 = 0 then 'prefer' else 'factual' end as primary_polarity, case when doc_id % 3 = 0 then 'working' else 'semantic' end as tier, count(*) as n from documents group by 1, 2")

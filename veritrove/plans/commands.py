@@ -12,11 +12,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrove.functions.encode import Encoder
-from veritrove.operators import corpus, incremental, optimise, search
+from veritrove.functions.encode import Encoder, encoded
+from veritrove.operators import corpus, incremental, optimise, search, synthesis, training
 from veritrove.operators.deep_search import Result, deep_search
+from veritrove.operators.simjoin import project_band
+from veritrove.plans.session import written
 from veritrove.sources import files
 from veritrove.sources import model as M
+from veritrove.sources.remote import Feed, TextCache
 
 Make = Callable[[], Encoder]
 
@@ -120,17 +123,22 @@ def freshness(m: M.Model, opener: Callable[[str], bytes]) -> tuple[str, int]:
     return ", ".join(f"{r['status']}: {r['count']}" for r in rows), 2 if any(r["status"] != "verified" for r in rows) else 0
 
 
-def sync(spark: SparkSession, path: str, opener: Callable[[str], bytes], make: Make, catalogue: DataFrame | None = None, allow_unavailable: bool = False) -> tuple[str, int]:
-    """Fetches what the manifest (or a new catalogue) names, refreshes by passage, and pins anew from the live bytes.
-
-    A source that can't be fetched stops the run unless allowed; then its passages stay as they are."""
-    from veritrove.plans.session import written
+def sync(
+    spark: SparkSession, path: str, opener: Callable[[str], bytes], make: Make, catalogue: DataFrame | None = None, allow_unavailable: bool = False, feed: Feed | None = None, cache: str | None = None
+) -> tuple[str, int]:
+    """Fetches what the manifest (or a new catalogue, or a feed's) names, refreshes by passage, and pins anew from the live bytes.
 
+    A source that can't be fetched stops the run unless allowed; then its passages stay as they are. With a feed nothing is
+    fetched while its head is that of the last run, and what it pins comes from the cache where that has it."""
     m = M.load(spark, path)
     if m.manifest is None:
         return "not a remote model", 1
-    want = catalogue if catalogue is not None else m.manifest
-    got = written(files.fetched(want, opener), "fetched")
+    head = feed.head() if feed is not None else None
+    if head is not None and head == m.metadata.get("head"):
+        return "unchanged upstream", 0
+    want = feed.catalogue() if feed is not None else catalogue if catalogue is not None else m.manifest
+    texts = TextCache(spark, cache).texts(want, opener, strict=feed is not None) if cache is not None else files.fetched(want, opener)
+    got = written(texts, "fetched")
     gone = got.where("text is null").select("source_file", F.lit("unavailable").alias("reason"))
     if not allow_unavailable and not gone.isEmpty():
         return f"unavailable: {gone.count()}", 2
@@ -138,6 +146,8 @@ def sync(spark: SparkSession, path: str, opener: Callable[[str], bytes], make: M
     new, counts = M.refreshed(m, live.select("source_file", "text"), make, gone)
     kept = m.manifest.join(live.select("source_file"), "source_file", "left_anti").join(gone.select("source_file"), "source_file", "left_semi")
     new.manifest = live.select("source_file", "url", "sha256").unionByName(kept.select("source_file", "url", "sha256"))
+    if head is not None and gone.isEmpty():
+        new.metadata = {**new.metadata, "head": head}
     M.save(new, path)
     return ", ".join(f"{k}: {counts.get(k, 0)}" for k in ("unchanged", "updated", "added", "removed")), 0
 
@@ -153,21 +163,42 @@ def convert(spark: SparkSession, path: str, out: str, sources: DataFrame, to: st
     return to, 0
 
 
-def optimise_band(spark: SparkSession, path: str, queries: list[tuple[int, str]], make: Make, dims: tuple[int, ...] = optimise.DIMS) -> tuple[str, int]:
-    """Trains a projection on (passage_idx, query) pairs and writes the optimised band."""
+def optimise_band(
+    spark: SparkSession, path: str, queries: DataFrame, make: Make, dims: tuple[int, ...] = training.DIMS, steps: int = training.STEPS, batch: int = training.BATCH, pool: int = 64
+) -> tuple[str, int]:
+    """Trains a projection on queries (passage_idx, query) against mined negatives, and writes the optimised band with its projection.
+
+    Code 4: training was stopped as the first choice is right too seldom; 1: too few queries for a batch."""
     m = M.load(spark, path)
-    base = {r["passage_idx"]: r["vec"] for r in m.base.where(F.col("passage_idx").isin([i for i, _ in queries])).collect()}  # as many as there are queries
-    q = np.asarray(make()([t for _, t in queries]), np.float64)
-    p = np.array([base[i] for i, _ in queries], np.float64)
+    band = m.base.select(F.col("passage_idx").alias("id"), "vec")
+    kept = optimise.good_queries(queries.select("passage_idx", F.col("query").alias("q"))).distinct()
+    asked = written(kept.select(F.xxhash64("passage_idx", "q").alias("id"), "passage_idx", encoded("q", make).alias("vec")), "queries")
+    positives = asked.select(F.col("id").alias("a"), F.col("passage_idx").alias("b"))
+    negatives = written(optimise.hard_negatives(asked.select("id", "vec"), band, positives, pool), "negatives")
     try:
-        w = optimise.train(q, p, dims)
-    except RuntimeError as e:
-        return str(e), 4
-    from veritrove.operators.simjoin import project_band
-
-    projected = project_band(m.base.select(F.col("passage_idx").alias("id"), "vec"), w).withColumnRenamed("id", "passage_idx")
-    M.save(M.with_band(m, "optimised", projected), path)
-    return f"optimised: {len(w)} dimensions", 0
+        t = training.train(asked.select("id", "vec"), band, positives, negatives, dims, steps, batch)
+    except ValueError as e:
+        return str(e), 1
+    if t.stopped == "dev":
+        return f"stopped at step {t.steps}: the first choice is right in {t.dev_rate:.2f}", 4
+    projected = project_band(band, t.w).withColumnRenamed("id", "passage_idx")
+    M.save(M.with_band(m, "optimised", projected, t.w), path)
+    return f"optimised: {len(t.w)} dimensions, loss {t.loss:.4f}, first choice {t.dev_rate:.2f}", 0
+
+
+def optimise_model(
+    spark: SparkSession, path: str, sources: DataFrame, make: Make, ask: Callable, cache: str, description: str = "a knowledge model", dims: tuple[int, ...] = training.DIMS,
+    steps: int = training.STEPS, batch: int = training.BATCH, most: int = synthesis.MOST, estimate_only: bool = False,
+) -> tuple[str, int]:
+    """The whole way to an optimised band: queries for a sample of passages (resumable in the cache folder), their negatives, training, writing."""
+    m = M.load(spark, path)
+    if estimate_only:
+        n = min(most, m.passages.count())
+        return f"{n} queries, about ${optimise.estimate(n):.2f}, {optimise.estimate_seconds(n):.0f} s", 0
+    texts = search.verified(m.passages, sources).where("drift_status = 'verified'").select("passage_idx", "source_file", "text")
+    made = synthesis.generate(texts, ask, cache, description, most=most)
+    text, rc = optimise_band(spark, path, made.queries, make, dims, steps, batch)
+    return f"{text}; kept {made.kept} of {made.replies} replies", rc
 
 
 def deep(m: M.Model, sources: DataFrame, make: Make, question: str, ask: Callable, max_hops: int = 4) -> Result:

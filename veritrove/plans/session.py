@@ -63,14 +63,14 @@ def _remove_written() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back.
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """Writes df as Parquet in the shared folder (with the writer's options, if any) and reads it back.
 
     Lineage ends there, so what follows neither recomputes df nor depends on
     the executors that made it. The tables go when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/veritrove/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark, path))

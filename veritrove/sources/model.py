@@ -1,6 +1,6 @@
 """A knowledge model on disk: Parquet tables in snapshot folders, and a pointer that is flipped last.
 
-Layout: <path>/<snapshot>/{metadata.json, passages, bands/band=..., sources, manifest}
+Layout: <path>/<snapshot>/{metadata.json, passages, bands/<band>, projections/<band>, sources, manifest}
 and <path>/CURRENT. Files go through Spark or Hadoop's file systems, so a
 model can live wherever the session's tables do. One writer at a time.
 """
@@ -11,6 +11,7 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ class Model:
     metadata: dict = field(default_factory=dict)
     sources: DataFrame | None = None  # bundled texts
     manifest: DataFrame | None = None  # remote ones
+    projections: dict[str, np.ndarray] = field(default_factory=dict)  # of bands made from the base, of fixed size
 
     @property
     def dim(self) -> int:
@@ -58,9 +60,14 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(p, True)
     out.write(bytearray(text.encode()))
     out.close()
-    # renamed over what is there in one step, so a reader finds the old text or the new one
+    renamed(spark, path + ".tmp", path)
+
+
+def renamed(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a file over what is there in one step, so a reader finds the old one or the new one."""
+    p, fs = _fs(spark, old)
+    q, _ = _fs(spark, new)
     jvm = spark.sparkContext._jvm
-    q, _ = _fs(spark, path)
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
@@ -76,7 +83,11 @@ def check(m: Model) -> None:
     n, distinct, last = m.passages.agg(F.count("*"), F.count_distinct("passage_idx"), F.max("passage_idx")).first()
     if n and (n != distinct or last + 1 != n):
         raise ValueError("passage numbers aren't contiguous")
+    if set(m.projections) - set(m.bands):
+        raise ValueError("a projection needs its band")
     for name, band in m.bands.items():
+        if name in m.projections and (np.ndim(m.projections[name]) != 2 or not len(m.projections[name])):
+            raise ValueError(f"the projection of band {name} is no matrix")
         if band.join(m.passages, "passage_idx", "left_semi").count() != n or band.count() != n:
             raise ValueError(f"band {name} doesn't fit the passages")
 
@@ -93,7 +104,9 @@ def save(m: Model, path: str) -> str:
     for name in ("sources", "manifest"):
         if getattr(m, name) is not None:
             getattr(m, name).write.option("compression", "zstd").parquet(f"{at}/{name}")
-    meta = {**m.metadata, "format_version": FORMAT, "bands": sorted(m.bands)}
+    for name, w in m.projections.items():
+        spark.createDataFrame([(k, row) for k, row in enumerate(np.asarray(w, np.float64).tolist())], "row int, w array<double>").coalesce(1).write.parquet(f"{at}/projections/{name}")
+    meta = {**m.metadata, "format_version": FORMAT, "bands": sorted(m.bands), "projections": sorted(m.projections)}
     meta |= {"has": [n for n in ("sources", "manifest") if getattr(m, n) is not None]}
     _put(spark, f"{at}/metadata.json", json.dumps(meta, sort_keys=True))
     _put(spark, f"{path.rstrip('/')}/CURRENT", snap)
@@ -108,11 +121,14 @@ def load(spark: SparkSession, path: str) -> Model:
     if meta.get("format_version") != FORMAT:
         raise ValueError(f"format version {meta.get('format_version')}")
     read = spark.read.parquet
-    return Model(read(f"{at}/passages"), {b: read(f"{at}/bands/{b}") for b in meta["bands"]}, meta, *(read(f"{at}/{n}") if n in meta["has"] else None for n in ("sources", "manifest")))
+    of = {name: np.array([r.w for r in read(f"{at}/projections/{name}").orderBy("row").collect()]) for name in meta.get("projections", [])}
+    return Model(read(f"{at}/passages"), {b: read(f"{at}/bands/{b}") for b in meta["bands"]}, meta, *(read(f"{at}/{n}") if n in meta["has"] else None for n in ("sources", "manifest")), of)
 
 
-def with_band(m: Model, name: str, band: DataFrame) -> Model:
-    return Model(m.passages, {**m.bands, name: band}, m.metadata, m.sources, m.manifest)
+def with_band(m: Model, name: str, band: DataFrame, projection: np.ndarray | None = None) -> Model:
+    """The model with one more band, and the projection from the base band where there is one."""
+    projections = {k: w for k, w in m.projections.items() if k != name} | ({name: projection} if projection is not None else {})
+    return Model(m.passages, {**m.bands, name: band}, m.metadata, m.sources, m.manifest, projections)
 
 
 def build(sources: DataFrame, make_encoder, revision: str = "hashed-64", least: int = 200, most: int = 3200, bundle: bool = True) -> Model:
@@ -133,7 +149,7 @@ def converted(m: Model, sources: DataFrame, bundle: bool = False, manifest: Data
 
     if not verified(m.passages, sources).where("drift_status <> 'verified'").isEmpty():
         raise ValueError("passages have drifted; refresh first")
-    return Model(m.passages, m.bands, m.metadata, sources if bundle else None, manifest)
+    return Model(m.passages, m.bands, m.metadata, sources if bundle else None, manifest, m.projections)
 
 
 def build_bounds(m: Model, least: int | None = None, most: int | None = None) -> tuple[int, int]:
