@@ -26,7 +26,8 @@ from veritrove.llm import textvec as tv
 from veritrove.plans.session import written
 
 MIN_COUNT, MOST_WORDS, COVERED_PERCENT, TOP = 10, 3, 50, 2000
-BLOCK_WORDS = 2_000_000
+#: Words of a block, and blocks of a file.
+BLOCK_WORDS, FILE_BLOCKS = 250_000, 4
 #: Bits of the bitmap of frequent phrases (8 MB). With very many frequent phrases it passes more candidates, never fewer.
 FILTER_BITS = 26
 SALTS = 64
@@ -159,7 +160,7 @@ def _extended(terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, freq
     """The phrases of one word more than the last of `frequent` has: their words' keys, and the lengths of their lists.
 
     frequent: the bitmaps of the frequent phrases of 1, 2, ... words."""
-    term = np.repeat(np.arange(len(terms)), counts)
+    term = np.repeat(np.arange(len(terms), dtype=np.int32), counts)
     order = np.argsort(positions)
     ends, term = positions[order], term[order]
     kind, parts, sizes = term, [terms], counts  # of each occurrence its phrase; of each phrase its words and frequency here
@@ -168,10 +169,15 @@ def _extended(terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, freq
         ends, term, kind = ends[known], term[known], kind[known]
         # both lists are in order of position, so the ends one later stand next to the ends
         at = np.flatnonzero(ends[1:] == ends[:-1] + 1) + 1
-        pair, index, kind, sizes = np.unique(kind[at - 1].astype(np.int64) * len(terms) + term[at], return_index=True, return_inverse=True, return_counts=True)
-        before = pair // max(1, len(terms))
-        parts = [*(p[before] for p in parts), terms[term[at][index]]]
+        both = kind[at - 1].astype(np.int64) * len(terms) + term[at]
         ends, term = ends[at], term[at]
+        if k + 1 < len(frequent):
+            pair, kind, sizes = np.unique(both, return_inverse=True, return_counts=True)
+            kind = kind.astype(np.int32)
+        else:  # phrases by occurrence aren't asked for any more
+            pair, sizes = np.unique(both, return_counts=True)
+        before, after = np.divmod(pair, max(1, len(terms)))
+        parts = [*(p[before] for p in parts), terms[after]]
     return parts, sizes
 
 
@@ -248,7 +254,8 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, most_words: int =
     words; repeated rows count each; texts may be of any length; an empty table gives an empty result."""
     if most_words < 2 or min_count < 1:
         raise ValueError("phrases have two words at least and occur")
-    index = written(positional_index(docs), "positions")
+    # small files: what a task reads, and Arrow sends on at once, is a few blocks
+    index = written(positional_index(docs), "positions", maxRecordsPerFile=FILE_BLOCKS)
     words = written(_word_counts(index), "words")
     found = _scored(_frequent(index, words, min_count, most_words), covered)
     best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
