@@ -39,7 +39,7 @@ def brute(rows, least=10, most=3, covered=50, top=2000):
 
 
 def texts(rng, n):
-    vocabulary = [f"W{i}" if i % 5 else f"é{i}漢" for i in range(40)]
+    vocabulary = ["en", "de", "und", *(f"W{i}" if i % 5 else f"é{i}漢" for i in range(37))]  # words called like languages too
     weights = 1 / np.arange(1, 41)
     out = []
     for _ in range(n):
@@ -64,7 +64,6 @@ def test_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(phrase_mining, "FILTER_BITS", bits)
         assert sorted(map(tuple, collocations(d).collect())) == want
     assert sorted(map(tuple, collocations(d, 6, 4, 60, 15).collect())) == brute(rows, 6, 4, 60, 15)
-    assert sorted(map(tuple, collocations(d, 4, 2, 50, 5).collect())) == brute(rows, 4, 2, 50, 5)
     t = pa.table({"text": pa.array([t for t, _ in rows]), "lang": pa.array([x for _, x in rows])})
     con = duckdb.connect()
     con.register("documents", t)

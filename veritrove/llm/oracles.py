@@ -59,19 +59,22 @@ _BASE32 = """list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((list_sum(list_transform(range(1, 6), lambda j: (instr('0123456789abcdef', substr(h, (5 * g + j)::int, 1)) - 1) * (1 << (20 - 4 * j)::int)))::bigint >> k) & 31)::int, 1)), 'string_agg', '')), 'string_agg', '')"""
 
 #: Frequencies of all phrases of up to three words by language, then cuts, cover and rank.
-_PHRASES = rf"""with d as (select row_number() over () as rn, coalesce(lang, 'und') as lang, {_LOWER} as t from documents),
-p as (select lang, rn, generate_subscripts(s, 1) as pn, unnest(s) as p from (select lang, rn, regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]') as s from d)),
-w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from p),
-g as (select lang, w[i:i + k - 1] as g from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3)) ks(k) where len(w) >= k)),
-f as (select lang, g, count(*) as f from g group by 1, 2),
-n as (select lang, sum(f)::bigint as n from f where len(g) = 1 group by 1),
-c as (select lang, g, f as a from f where len(g) > 1 and f >= 10),
-x as (select lang, g, a, unnest(range(1, len(g))) as k from c),
-s as (select x.lang, x.g, a, k, l.f as l, r.f as r, ((1000000::hugeint * a * a) // (l.f::hugeint * r.f))::bigint as score
-  from x join f l on l.lang = x.lang and l.g = x.g[1:k] join f r on r.lang = x.lang and r.g = x.g[k + 1:]),
-b as (select * from s qualify row_number() over (partition by lang, g order by score, k) = 1),
-i as (select lang, g[o:o + 1] as g, max(a) as a from (select lang, g, a, unnest([1, 2]) as o from c where len(g) = 3) group by 1, 2),
-o as (select b.lang, array_to_string(b.g, ' ') as phrase, b.a, l, r, score from b left join i on i.lang = b.lang and i.g = b.g where i.a is null or 100 * i.a < 50 * b.a)
+_PHRASES = rf"""with d as (select coalesce(lang, 'und') as lang, {_LOWER} as t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as p from d),
+w as materialized (select lang, row_number() over () as pn, regexp_extract_all(p, '[^\x20\x09]+') as w from p),
+u as (select lang, pn, unnest(w) as x, unnest(range(0, len(w))) as i from w),
+v as materialized (select lang, x as w1, lead(x) over o as w2, lead(x, 2) over o as w3 from u window o as (partition by pn order by i)),
+f1 as materialized (select lang, w1, count(*) as f from v group by 1, 2),
+f2 as materialized (select lang, w1, w2, count(*) as f from v where w2 is not null group by 1, 2, 3),
+f3 as materialized (select lang, w1, w2, w3, count(*) as f from v where w3 is not null group by 1, 2, 3, 4 having count(*) >= 10),
+n as (select lang, sum(f)::bigint as n from f1 group by 1),
+x as (select c.lang, c.w1 || ' ' || c.w2 as phrase, c.w1, c.w2, null as w3, c.f as a, 1 as k, l.f as l, r.f as r from f2 c join f1 l on l.lang = c.lang and l.w1 = c.w1 join f1 r on r.lang = c.lang and r.w1 = c.w2 where c.f >= 10
+  union all select c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.w1, c.w2, c.w3, c.f, 1, l.f, r.f from f3 c join f1 l on l.lang = c.lang and l.w1 = c.w1 join f2 r on r.lang = c.lang and r.w1 = c.w2 and r.w2 = c.w3
+  union all select c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.w1, c.w2, c.w3, c.f, 2, l.f, r.f from f3 c join f2 l on l.lang = c.lang and l.w1 = c.w1 and l.w2 = c.w2 join f1 r on r.lang = c.lang and r.w1 = c.w3),
+s as (select *, ((1000000::hugeint * a * a) // (l::hugeint * r))::bigint as score from x),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+i as (select lang, w1, w2, max(f) as f from (select lang, w1, w2, f from f3 union all select lang, w2, w3, f from f3) group by 1, 2, 3),
+o as (select b.* from b left join i on b.w3 is null and i.lang = b.lang and i.w1 = b.w1 and i.w2 = b.w2 where i.f is null or 100 * i.f < 50 * b.a)
 select o.lang, row_number() over (partition by o.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
 from o join n on n.lang = o.lang qualify rank <= 2000"""
 

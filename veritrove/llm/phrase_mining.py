@@ -64,7 +64,9 @@ class _Block:
         self.next = int(position[-1]) + 2
         code = np.array([self.names.setdefault(x, len(self.names)) for x in langs], np.int32)[text]
         self.salts += [tv.hash_of(x) for x in [*self.names][len(self.salts) :]]
-        self.keys.append(tv.mix(tv.hashes(w) ^ np.array(self.salts, np.int64).astype(np.uint64)[code]))
+        # languages are hashed once more: words may be called like languages
+        salt = tv.mix(tv.mix(np.array(self.salts, np.int64).astype(np.uint64)) + np.uint64(1))
+        self.keys.append(tv.mix(tv.hashes(w) ^ salt[code]))
         self.lang.append(code)
         self.position.append(position)
         self.start.append(w.start + self.bytes)
