@@ -229,3 +229,23 @@ def test_odd_pages(spark):
     assert by[1].text == by[2].text == "" and by[3].text == "plain text" and by[4].text == "unclosed"
     assert by[5].n_chars == 20_000 * 2 - 1 and by[3].url == "odd"
     assert html_extract.extract(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_house_styles_stay():
+    """Headings, by-lines and summaries that all of a host's articles share are part of each."""
+    make = lambda k: page(f"<article><h1>Dish {k}</h1><p class='by'>By the kitchen</p><h2>Ingredients</h2><p>Flour {k}</p><h2>Method</h2><p>Mix {k}</p><div><p>Share</p><p>Print</p></div></article>")
+    want = [f"Dish {k}\nBy the kitchen\nIngredients\nFlour {k}\nMethod\nMix {k}" for k in range(6)]
+    assert html_extract.extract_group([make(k) for k in range(6)]) == want  # a box of nothing but template goes
+    plain = lambda k: page(f"<div class='k1'><h2>Summary</h2><p>Story {k} is short.</p><h2>Details</h2><p>Story {k} is long, too.</p></div><div class='k2'><h3>Links</h3><p>One</p><p>Two</p></div>")
+    assert html_extract.extract_group([plain(k) for k in range(6)]) == [f"Summary\nStory {k} is short.\nDetails\nStory {k} is long, too." for k in range(6)]
+
+
+def test_parts_of_names_do_not_drop_parts_of_articles():
+    make = lambda k: page(f"<article><p>T{k}</p><section class='social-impact'><p>Impact {k}</p></section><div class='notice-of-appeal'><p>Appeal {k}</p></div><div class='share-buttons'><p>Tell {k}</p></div></article>")
+    for n in (1, 2, 6):  # whatever the size of the host
+        assert html_extract.extract_group([make(k) for k in range(n)]) == [f"T{k}\nImpact {k}\nAppeal {k}" for k in range(n)]
+
+
+def test_all_articles_side_by_side():
+    html = page("<article><p>First part.</p></article><article><p>Second part, which is longer.</p></article><aside><article><p>teaser</p></article></aside>")
+    assert one(html) == "First part.\nSecond part, which is longer."
