@@ -85,3 +85,30 @@ def test_dispatch_and_odd_rows(spark, monkeypatch):
     empty = graph.build(band.limit(0))
     assert graph.search(empty, queries, 3).count() == 0 and graph.search(index, queries.limit(0), 3).count() == 0
     graph.check(empty, 0, 8)
+
+
+def test_model_with_graphs(spark, tmp_path, monkeypatch):
+    from veritrove.sources import model as M
+
+    x = clustered(150, 8, 9)
+    passages = spark.range(150).select(F.col("id").alias("passage_idx"), F.lit("f").alias("source_file"), F.lit(0).alias("char_offset"), F.lit(0).alias("char_length"), F.lit("h").alias("content_hash"), F.col("id").cast("string").alias("passage_id"))
+    m = M.Model(passages, {"base": frame(spark, x).withColumnRenamed("id", "passage_idx")})
+    w = np.eye(8)[:4]
+    m = M.with_band(m, "optimised", simjoin.project_band(frame(spark, x), w).withColumnRenamed("id", "passage_idx"), w)
+    assert M.indexed(m).graphs == {}
+    monkeypatch.setattr(graph, "LEAST_ROWS", 100)
+    path = str(tmp_path / "m")
+    M.save(M.indexed(m), path)
+    again = M.load(spark, path)
+    assert sorted(again.graphs) == ["base", "optimised"]
+    queries = frame(spark, x[:12])
+    for band in ("base", "optimised"):
+        exact = {(r.a, r.b) for r in M.retrieve(m, queries, 3, band).collect()}
+        assert {(r.a, r.b) for r in M.retrieve(again, queries, 3, band).collect()} == exact
+    assert M.with_band(again, "base", again.base).graphs.keys() == {"optimised"}  # a new band has no graph yet
+    snap = next(p for p in (tmp_path / "m").iterdir() if p.is_dir())
+    spark.read.parquet(f"{snap}/graphs/base").select("shard", "dim", F.slice("ids", 1, 149).alias("ids"), "vecs", "links").write.parquet(f"{snap}/bad")
+    (snap / "graphs/base").rename(snap / "graphs/old")
+    (snap / "bad").rename(snap / "graphs/base")
+    with pytest.raises(ValueError):
+        M.load(spark, path)

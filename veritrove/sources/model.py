@@ -1,6 +1,6 @@
 """A knowledge model on disk: Parquet tables in snapshot folders, and a pointer that is flipped last.
 
-Layout: <path>/<snapshot>/{metadata.json, passages, bands/<band>, projections/<band>, sources, manifest}
+Layout: <path>/<snapshot>/{metadata.json, passages, bands/<band>, projections/<band>, graphs/<band>, sources, manifest}
 and <path>/CURRENT. Files go through Spark or Hadoop's file systems, so a
 model can live wherever the session's tables do. One writer at a time.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrove.functions.vectors import l2_normalize
+from veritrove.operators import graph
 
 FORMAT = 4
 
@@ -28,6 +29,7 @@ class Model:
     sources: DataFrame | None = None  # bundled texts
     manifest: DataFrame | None = None  # remote ones
     projections: dict[str, np.ndarray] = field(default_factory=dict)  # of bands made from the base, of fixed size
+    graphs: dict[str, DataFrame] = field(default_factory=dict)  # search indexes of bands (see operators.graph)
 
     @property
     def dim(self) -> int:
@@ -106,7 +108,12 @@ def save(m: Model, path: str) -> str:
             getattr(m, name).write.option("compression", "zstd").parquet(f"{at}/{name}")
     for name, w in m.projections.items():
         spark.createDataFrame([(k, row) for k, row in enumerate(np.asarray(w, np.float64).tolist())], "row int, w array<double>").coalesce(1).write.parquet(f"{at}/projections/{name}")
-    meta = {**m.metadata, "format_version": FORMAT, "bands": sorted(m.bands), "projections": sorted(m.projections)}
+    sizes = {}
+    for name, g in m.graphs.items():
+        g.write.parquet(f"{at}/graphs/{name}")
+        sizes[name] = list(spark.read.parquet(f"{at}/bands/{name}").agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first())
+        graph.check(spark.read.parquet(f"{at}/graphs/{name}"), *sizes[name])
+    meta = {**m.metadata, "format_version": FORMAT, "bands": sorted(m.bands), "projections": sorted(m.projections), "graphs": sizes}
     meta |= {"has": [n for n in ("sources", "manifest") if getattr(m, n) is not None]}
     _put(spark, f"{at}/metadata.json", json.dumps(meta, sort_keys=True))
     _put(spark, f"{path.rstrip('/')}/CURRENT", snap)
@@ -122,13 +129,27 @@ def load(spark: SparkSession, path: str) -> Model:
         raise ValueError(f"format version {meta.get('format_version')}")
     read = spark.read.parquet
     of = {name: np.array([r.w for r in read(f"{at}/projections/{name}").orderBy("row").collect()]) for name in meta.get("projections", [])}
-    return Model(read(f"{at}/passages"), {b: read(f"{at}/bands/{b}") for b in meta["bands"]}, meta, *(read(f"{at}/{n}") if n in meta["has"] else None for n in ("sources", "manifest")), of)
+    return Model(read(f"{at}/passages"), {b: read(f"{at}/bands/{b}") for b in meta["bands"]}, meta, *(read(f"{at}/{n}") if n in meta["has"] else None for n in ("sources", "manifest")), of, {b: graph.load(spark, f"{at}/graphs/{b}", *size) for b, size in meta.get("graphs", {}).items()})
 
 
 def with_band(m: Model, name: str, band: DataFrame, projection: np.ndarray | None = None) -> Model:
     """The model with one more band, and the projection from the base band where there is one."""
     projections = {k: w for k, w in m.projections.items() if k != name} | ({name: projection} if projection is not None else {})
-    return Model(m.passages, {**m.bands, name: band}, m.metadata, m.sources, m.manifest, projections)
+    return Model(m.passages, {**m.bands, name: band}, m.metadata, m.sources, m.manifest, projections, {k: g for k, g in m.graphs.items() if k != name})
+
+
+def indexed(m: Model) -> Model:
+    """The model with a search graph for each band that is large enough for one."""
+    graphs = {name: graph.index_of(band.select(F.col("passage_idx").alias("id"), "vec")) for name, band in m.bands.items()}
+    return Model(m.passages, m.bands, m.metadata, m.sources, m.manifest, m.projections, {k: g for k, g in graphs.items() if g is not None})
+
+
+def retrieve(m: Model, queries: DataFrame, k: int = 10, prefer: str | None = None) -> DataFrame:
+    """a, b (passage_idx), cosine, rank of the passages nearest to queries (id, vec of the base band): in the band asked for, else the
+    optimised one, else the base; by its graph where it has one, else exactly."""
+    name = prefer or ("optimised" if "optimised" in m.bands else "base")
+    band = m.band(name).select(F.col("passage_idx").alias("id"), "vec")
+    return graph.retrieve(queries, band, m.graphs.get(name), m.projections.get(name), k)
 
 
 def build(sources: DataFrame, make_encoder, revision: str = "hashed-64", least: int = 200, most: int = 3200, bundle: bool = True) -> Model:
@@ -149,7 +170,7 @@ def converted(m: Model, sources: DataFrame, bundle: bool = False, manifest: Data
 
     if not verified(m.passages, sources).where("drift_status <> 'verified'").isEmpty():
         raise ValueError("passages have drifted; refresh first")
-    return Model(m.passages, m.bands, m.metadata, sources if bundle else None, manifest, m.projections)
+    return Model(m.passages, m.bands, m.metadata, sources if bundle else None, manifest, m.projections, m.graphs)
 
 
 def build_bounds(m: Model, least: int | None = None, most: int | None = None) -> tuple[int, int]:
