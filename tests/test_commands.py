@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from veritrove.functions.encode import hashed_encoder
-from veritrove.operators import ann, search
+from veritrove.operators import ann, corpus, search
 from veritrove.plans import commands as C
 from veritrove.sources import model as M
 
@@ -30,7 +30,16 @@ def test_build_search_refresh(spark, folder):
     text, rc = C.find(m, m.sources, make, "Alpha beta engines", 1)
     assert rc == 0 and "a.md" in text
     assert C.find(m, m.sources, make, "Alpha XYZ9 engines", 2, mode="constrain", strict_names=True)[1] == 3
-    assert C.profile(m, m.sources)[0].endswith("verified: 2") and "skipped" in C.profile(m)[0]
+    text = C.profile(m, m.sources)[0]
+    assert "verified: 2" in text and "bands: base (" in text and "skipped" in C.profile(m)[0]
+    p = corpus.profile_of(m, m.sources)
+    assert (p.passages, p.source_files, p.drift, p.format_version) == (2, 2, {"verified": 2}, 4) and p.bands == {"base": m.dim}
+    other = M.Model(m.passages, m.bands, m.metadata | {"revision": "other"})
+    assert corpus.between(corpus.intersect, m, m, 0.9).count() >= 2 and corpus.between(corpus.unique, m, other, same_revision=False).count() == 0
+    with pytest.raises(ValueError):
+        corpus.between(corpus.intersect, m, other)
+    with pytest.raises(ValueError):
+        corpus.between(corpus.unique, m, M.Model(m.passages, m.bands, m.metadata | {"dim": 3}), same_revision=False)
     assert "overlap: 1.0000" in C.compare(m, m)[0]
     text, _ = C.summary(m, m.sources, make, ["pumps"])
     assert "## Landscape" in text and "- b.md (1)" in text and "### pumps" in text

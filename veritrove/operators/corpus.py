@@ -7,6 +7,8 @@ char_offset, char_length, content_hash, passage_id), `base` and optionally
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,13 @@ def check_pair(a, b, same_revision: bool = False) -> None:
         raise ValueError(f"base bands differ in revision: {a.revision} and {b.revision}")
 
 
+def between(op, a, b, *args, same_revision: bool = True, **options):
+    """op(base band of a, base band of b, ...) of two models, refused where their base bands can't be compared: for unique,
+    intersect, corpus_diff, merge, compare and the others that take two tables."""
+    check_pair(a, b, same_revision)
+    return op(_ids(a.base), _ids(b.base), *args, **options)
+
+
 def locate(model, passage_idx: int) -> DataFrame:
     """The passage's citation; an error if there is none."""
     row = model.passages.where(F.col("passage_idx") == passage_idx).select(*CITATION)
@@ -42,6 +51,29 @@ def profile(passages: DataFrame) -> DataFrame:
     return passages.groupBy("source_file").agg(F.count("*").alias("n"))
 
 
+@dataclass
+class Profile:
+    """What a model is made of. drift is empty unless its sources were given; files has a row for each (source_file, n)."""
+
+    passages: int
+    source_files: int
+    files: DataFrame
+    bands: dict[str, int]
+    encoder: str
+    revision: str
+    format_version: int
+    drift: dict[str, int]
+
+
+def profile_of(model, sources: DataFrame | None = None) -> Profile:
+    """Counts, bands and their dimensions, the encoder, and with sources how many passages are verified, drifted and missing."""
+    n, n_files = model.passages.agg(F.count("*"), F.count_distinct("source_file")).first()
+    bands = {name: int(b.agg(F.coalesce(F.max(F.size("vec")), F.lit(0))).first()[0]) for name, b in model.bands.items()}
+    drift = {} if sources is None else {r["drift_status"]: r["n"] for r in drift_tallies(model.passages, sources).collect()}
+    backbone = model.metadata.get("archive", {}).get("backbone", {})
+    return Profile(n, n_files, profile(model.passages), bands, str(backbone.get("name", "")), model.revision, int(model.metadata.get("format_version", 4)), drift)
+
+
 def drift_tallies(passages: DataFrame, sources: DataFrame) -> DataFrame:
     """drift_status, n of all passages."""
     return search.verified(passages, sources).groupBy("drift_status").agg(F.count("*").alias("n"))

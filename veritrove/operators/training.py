@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from veritrove.operators.optimise import first_choice_rate
 from veritrove.operators.simjoin import project_band
-from veritrove.plans.session import written
+from veritrove.plans.session import released, written
 
 # Nested dimensions, temperature, steps, batch, rate and share of queries held out.
 DIMS, TEMPERATURE, STEPS, BATCH, RATE, DEV_SHARE = (64, 128, 256, 512), 0.02, 250, 128, 5e-4, 0.1
@@ -138,6 +138,11 @@ def train(
     W starts from a normal distribution of variance 1 / base dimension. Training stops at step DEV_STEP if too few of the held-out queries
     have their positive as first choice in the whole band ('dev'), and after PATIENCE steps without a smaller loss ('plateau'),
     unless the loss is under LOSS_FLOOR. Too few queries for a batch are refused."""
+    with released():
+        return _rounds(queries, band, positives, negatives, dims, steps, batch, rate, seed, progress)
+
+
+def _rounds(queries, band, positives, negatives, dims, steps, batch, rate, seed, progress) -> Trained:
     held = F.pmod(F.xxhash64(F.lit(seed), F.lit("dev"), "a"), F.lit(round(1 / DEV_SHARE))) == 0
     known = examples(queries, band, positives, negatives).withColumn("held", held)
     known = written(known, "examples")

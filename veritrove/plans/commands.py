@@ -67,13 +67,11 @@ def skill_context(m: M.Model, sources: DataFrame, make: Make, questions: list[st
 
 
 def profile(m: M.Model, sources: DataFrame | None = None) -> tuple[str, int]:
-    n, n_files = m.passages.agg(F.count("*"), F.count_distinct("source_file")).first()
-    lines = [f"passages: {n}", f"files: {n_files}", f"bands: {', '.join(sorted(m.bands))}", f"encoder: {m.revision}"]
-    if sources is None:
-        lines.append("drift: skipped")
-    else:
-        lines += [f"{r['drift_status']}: {r['count']}" for r in corpus.drift(m.passages, sources).groupBy("drift_status").count().orderBy("drift_status").collect()]
-    return "\n".join(lines), 0
+    p = corpus.profile_of(m, sources)
+    lines = [f"passages: {p.passages}", f"files: {p.source_files}", "bands: " + ", ".join(f"{k} ({d})" for k, d in sorted(p.bands.items())), f"encoder: {p.encoder or p.revision}", f"format: {p.format_version}"]
+    lines += ["drift: skipped"] if sources is None else [f"{k}: {n}" for k, n in sorted(p.drift.items())]
+    most = [f"  {r.source_file} ({r.n})" for r in p.files.orderBy(F.desc("n"), "source_file").limit(10).collect()]
+    return "\n".join([*lines, "largest files:", *most]), 0
 
 
 def compare(a: M.Model, b: M.Model, sample_size: int = 512) -> tuple[str, int]:

@@ -6,6 +6,9 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,29 +54,49 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # the JVM may be gone when the interpreter ends
             return
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Tables that written() makes inside go at the end: for work whose result has been collected or written elsewhere by then."""
+    mine: list[str] = []
+    token = _scope.set(mine)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for spark, path in [x for x in _written if x[1] in mine]:
+            _remove(spark, path)
+            _written.remove((spark, path))
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes df as Parquet in the shared folder (with the writer's options, if any) and reads it back.
 
     Lineage ends there, so what follows neither recomputes df nor depends on
-    the executors that made it. The tables go when the driver ends."""
+    the executors that made it. The tables go when the driver ends, or at the end of released()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/veritrove/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark, path))
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
