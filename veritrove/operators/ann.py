@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrove.operators import simjoin
@@ -33,7 +33,7 @@ def indexed(band: DataFrame, centroids: np.ndarray) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x = np.array(b.column("vec").to_pylist(), np.float64).reshape(b.num_rows, -1)
+            x = np.asarray(b.column("vec").flatten(), np.float64).reshape(b.num_rows, -1)
             d = -2 * x @ centroids.T + (centroids**2).sum(1) if b.num_rows else np.zeros((0, len(centroids)))
             yield b.append_column("cell", pa.array(d.argmin(1).astype(np.int32)))
 
@@ -66,34 +66,41 @@ def probes_for(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: i
     return int(np.argmax(reached >= recall)) + 1
 
 
-def search_all(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, probes: int = 8, block: int = simjoin.BLOCK) -> DataFrame:
+def search_all(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, probes: int = 8, block: int = 8 * simjoin.BLOCK) -> DataFrame:
     """a, b, cosine, rank of the top k of each query (id, vec) among the rows of its nearest cells.
 
-    Rows and queries of a cell are packed into blocks by the ids' hash, so a large cell is spread."""
+    Rows and queries of a cell are cut into parts of about `block` by the ids' hash and meet in a grid, so a large cell is spread
+    over many tasks; k rows a query leave each of them."""
 
     def probed(batches):
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+            x = np.asarray(b.column("vec").flatten(), np.float64).reshape(b.num_rows, -1)
             near = _ranked(x, centroids)[:, :probes] if b.num_rows else np.zeros((0, probes))
             yield b.append_column("cells", pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32())))
 
-    def packed(df: DataFrame, prefix: str) -> DataFrame:
-        parts = max(1, -(-df.count() // block))
-        row = F.struct(F.col("id").alias("id"), F.col("vec").alias("vec"))
-        blocks = df.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.sort_array(F.collect_list(row)).alias("x"))  # of bounded size
-        return blocks.select("cell", F.transform("x", lambda r: r.id).alias(f"{prefix}ids"), F.transform("x", lambda r: r.vec).alias(f"{prefix}vecs"))
-
-    def run(batches):
-        for b in batches:
-            for r in range(b.num_rows):
-                i, x, j, y = (np.array(b.column(c)[r].as_py(), t) for c, t in enumerate((np.int64, np.float64, np.int64, np.float64)))
-                dots = x @ y.T
-                best = np.argsort(-dots, axis=1, kind="stable")[:, :k]  # ids ascend within a block
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, best.shape[1])), pa.array(j[best].ravel()), pa.array(np.take_along_axis(dots, best, 1).ravel())], names=["a", "b", "cosine"])
-
     typed = lambda df, *more: df.where("id is not null and vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), *more)
-    q = typed(queries).mapInArrow(probed, "id long, vec array<double>, cells array<int>").select("id", "vec", F.explode("cells").alias("cell"))
-    pairs = packed(q, "l").join(packed(typed(index, "cell"), "r"), "cell").select("lids", "lvecs", "rids", "rvecs")
-    found = pairs.mapInArrow(run, "a long, b long, cosine double")
-    best = found.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("n"), "b"))), 1, k).alias("x"))
-    return best.select("a", F.posexplode("x").alias("r", "x")).select("a", F.col("x.b").alias("b"), (-F.col("x.n")).alias("cosine"), (F.col("r") + 1).cast("long").alias("rank"))
+    rows = typed(index, "cell")
+    asked = typed(queries).mapInArrow(probed, "id long, vec array<double>, cells array<int>").select("id", "vec", F.explode("cells").alias("cell"))
+
+    def parts(df: DataFrame) -> Column:
+        """How many parts the row's cell has on this side."""
+        sizes = {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}  # a number for each cell
+        return F.get(F.array(*(F.lit(max(1, -(-sizes.get(c, 0) // block))).cast("long") for c in range(len(centroids)))), F.col("cell"))
+
+    own, other = parts(asked), parts(rows)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    q = asked.withColumn("g", F.pmod(F.xxhash64("id"), own)).withColumn("h", every(other))
+    r = rows.withColumn("h", F.pmod(F.xxhash64("id"), other)).withColumn("g", every(own))
+
+    def run(key, one, two):
+        out = {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())}
+        if one.num_rows and two.num_rows:
+            (i, x), (j, y) = simjoin._matrix(one), simjoin._matrix(two)
+            dots = x @ y.T
+            best = np.argsort(-dots, axis=1, kind="stable")[:, :k]  # ids ascend
+            out = {"a": i.take(pa.array(np.repeat(np.arange(len(x)), best.shape[1]))), "b": j.take(pa.array(best.ravel())), "cosine": pa.array(np.take_along_axis(dots, best, 1).ravel())}
+        return pa.table(out)
+
+    found = q.groupBy("cell", "g", "h").cogroup(r.groupBy("cell", "g", "h")).applyInArrow(run, "a long, b long, cosine double")
+    w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
