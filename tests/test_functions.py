@@ -102,3 +102,16 @@ def test_passages_hash_code_points(spark):
     rows = passages(spark.createDataFrame([("f", text), ("g", None)], "source_file string, text string")).orderBy("char_offset").collect()
     full = re.sub("\r\n?", "\n", text)
     assert [full[r.char_offset : r.char_offset + r.char_length] for r in rows] == [r.text for r in rows] and len(rows) == 2
+
+
+def test_names_missing_without_a_job(spark):
+    """The same answer as the expression gives, for one pair of strings."""
+    import itertools
+
+    from veritrove.operators import search
+
+    questions = ["Is MVE or MLV in 'Blue Whale' (A1)?", "what of X2, \"ab\" and 'abc  '?", "THE AND ISO-9001 é GPU", "", "no names", "'it's odd' NASA NASA", "'éa.b' R2D2 (CPU)"]
+    passages = ["about MVEs and MVE. blue whale a1", "iso-9001 GPUs x2 abc", "", "NASA, R2D2! ÉA.B cpu CPU2 gpu", "xGPU GPU_ CPU"]
+    pairs = list(itertools.product(questions, passages))
+    got = spark.createDataFrame(pairs, "q string, p string").select("q", "p", T.missing_names(F.col("q"), F.col("p")).alias("m")).collect()
+    assert len(got) == len(pairs) and all(search.names_missing(r.q, r.p) == list(r.m) for r in got)

@@ -122,7 +122,7 @@ def polarity(text: Column, default: str = "factual") -> Column:
 
 def distinctive_tokens(question: Column) -> Column:
     """Quoted names of three characters or more, then all-capital words and words with a digit; each once."""
-    quoted = F.filter(F.transform(F.regexp_extract_all(question, F.lit("['\"]([^'\"]+)['\"]"), 1), F.trim), lambda q: F.length(q) >= 3)
+    quoted = F.filter(F.transform(F.regexp_extract_all(question, F.lit("['\"]([^'\"]+)['\"]"), 1), lambda q: F.trim(q)), lambda q: F.length(q) >= 3)
     rest = F.regexp_replace(F.regexp_replace(question, "['\"][^'\"]+['\"]", " "), "[()]", " ")
     words = F.regexp_extract_all(rest, F.lit(r"([A-Za-z][A-Za-z0-9\-]*)"), 1)
     keep = F.filter(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -128,11 +130,17 @@ def refusal_directive(missing: list[str]) -> str:
 
 
 def names_missing(question: str, passages: str) -> list[str]:
-    from pyspark.sql import SparkSession
+    """text.missing_names for one pair of strings, without a job."""
+    quoted = [q.strip(" ") for q in re.findall(r"['\"]([^'\"]+)['\"]", question)]
+    words = re.findall(r"[A-Za-z][A-Za-z0-9\-]*", re.sub("[()]", " ", re.sub(r"['\"][^'\"]+['\"]", " ", question)))
+    names = [q for q in quoted if len(q) >= 3] + [w for w in words if len(w) >= 2 and (w.upper() == w or re.search("[0-9]", w)) and w.lower() not in T.STOPWORDS]
+
+    def held(t: str) -> bool:
+        if t.upper() == t and t.lower() != t and len(t) <= 6:
+            return re.search(rf"\b{re.escape(t)}\b", passages) is not None
+        return t.lower() in passages.lower()
 
-    spark = SparkSession.getActiveSession()
-    df = spark.createDataFrame([(question, passages)], "q string, p string")
-    return list(df.select(T.missing_names(F.col("q"), F.col("p"))).first()[0])
+    return [t for t in dict.fromkeys(names) if not held(t)]
 
 
 def table_of_contents(passages: DataFrame, budget: int = 800 * CHARS_PER_TOKEN) -> str:
