@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veritrove.llm import decontaminate, jaccard_join, license_scan, line_dedup, lm_scoring, packing, quality_rules, token_counts
 from veritrove.llm import textvec as tv
+from veritrove.plans.session import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, q string, _drop string, shard int"
@@ -129,6 +130,41 @@ def test_links_of_large_families(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_signatures_take_few_bytes_however_many_tasks():
+    """What is sent is whole, and takes no more for each signature when it goes to a thousand tasks."""
+    rng = np.random.default_rng(8)
+    texts = pa.array([prose(rng, int(n)) for n in rng.integers(250, 900, 200)])
+    sent = {}
+    for tasks in (20, 1000):
+        split = jaccard_join.split_of({3: 1e5, 4: 1e7, 5: 4e6}, tasks)
+        assert tasks <= split.sum(0).max() <= tasks + 3
+        n = size = 0
+        for b in [pa.RecordBatch.from_arrays([texts], names=["text"])]:
+            for fp, sizes, rows in jaccard_join._fresh_signatures(b, 5, 0.75, set()):
+                sig, owner, band, spare, place = jaccard_join._flat(rows)
+                want = sorted(zip((sig >> np.uint64(32)).tolist(), fp[owner].tolist(), sizes[owner].tolist(), band.tolist(), spare.tolist(), place.tolist()))
+                got = []
+                for out in jaccard_join._blobs(fp, sizes, rows, split, np.sort(sig)[:100]):
+                    for pid, x in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+                        assert 0 <= pid < split.sum(0).max()
+                        (f, s, bd, sp, count), (g, pl, *_) = jaccard_join._unpacked(x)
+                        got += zip(g.tolist(), *(np.repeat(c, count).tolist() for c in (f, s, bd, sp)), pl.tolist())
+                        size += len(x)
+                assert sorted(got) == want
+                n += len(want)
+        sent[tasks] = size / n
+    assert sent[20] < 9 and sent[1000] < 17, sent
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    """The files of a written table's shuffles go with it, not when the JVM collects them."""
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    t = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "freed")
+    assert tracker.shuffleStatuses().size() <= before
+    assert sum(r.n for r in t.collect()) == 1000
+
+
 def test_spanning_joins_what_is_linked():
     rng = np.random.default_rng(3)
     for _ in range(50):

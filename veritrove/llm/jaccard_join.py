@@ -60,7 +60,8 @@ BLOCK_BYTES, DISTANCES, SLICE_CELLS = 1 << 20, 64, 1 << 22
 MOST_LARGE = 1 << 16
 #: Parts that a key with many rows is dealt out to.
 SALTS = 64
-REDUCER_SIGNATURES = 2_500_000  # signatures a reduce task gets on average, at most
+REDUCER_SIGNATURES = 4_000_000  # signatures a reduce task gets on average, at most
+MOST_BANDS = 34
 #: A signature that so many of every SAMPLE-th document share is hot: its rows are members of a large bucket at once,
 #: dealt out by set, and no task gathers them. At most HOT_MOST are broadcast. Results don't depend on these.
 SAMPLE, HOT_COUNT, HOT_MOST = 64, 64, 1 << 16
@@ -205,44 +206,64 @@ def _flat(rows: list) -> tuple[np.ndarray, ...]:
     )
 
 
-def _blobs(fp: np.ndarray, sizes: np.ndarray, rows: list, parts: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each reduce task one blob: fingerprint, size, band and spare of its texts, and (signature, text, place) rows.
+def _column(x: np.ndarray) -> bytes:
+    """Whole numbers of at least 0, in as few bytes each as the largest needs, and that width before them."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(x.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def split_of(weights: dict[int, float], least: int) -> np.ndarray:
+    """First reduce task and number of tasks of each band (2 rows), by the bands' signatures.
+
+    A set's signatures of a band go to that band's tasks only, so what is sent about a set isn't sent to all."""
+    each = max(1.0, min(REDUCER_SIGNATURES, sum(weights.values()) / max(1, least)))
+    count = np.array([max(1, -(-int(weights.get(b, 0)) // int(each))) for b in range(MOST_BANDS)], np.int64)
+    has = np.array([b in weights for b in range(MOST_BANDS)])
+    return np.stack([np.where(has, np.cumsum(np.where(has, count, 0)) - count, 0), count])
+
+
+def _blobs(fp: np.ndarray, sizes: np.ndarray, rows: list, split: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each reduce task one blob: fingerprint, size, band, spare and number of rows of its texts, and the rows' signatures and places.
 
     Rows of hot signatures go to tasks by fingerprint, with their own task's number beside them."""
     if not rows:
         return
     sig, owner, band, spare, place = _flat(rows)
-    own = (sig % np.uint64(parts)).astype(np.int64)
+    parts = int(split.sum(0).max())
+    own = split[0][band] + (sig % split[1][band].astype(np.uint64)).astype(np.int64)
     is_hot = hot[np.minimum(np.searchsorted(hot, sig), len(hot) - 1)] == sig if len(hot) else np.zeros(len(sig), bool)
     for kind in (0, 1):
         chosen = np.flatnonzero(is_hot == bool(kind))
         pid = own[chosen] if not kind else (fp[owner[chosen]] % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(pid, kind="stable")
-        chosen = chosen[order]
-        edges = np.flatnonzero(np.r_[True, np.diff(pid[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
+        order = np.lexsort((owner[chosen] * 64 + band[chosen], pid))
+        chosen, pid = chosen[order], pid[order]
+        who = owner[chosen] * 64 + band[chosen]
+        new = np.flatnonzero(np.r_[True, (pid[1:] != pid[:-1]) | (who[1:] != who[:-1])]) if len(pid) else np.zeros(0, np.int64)
+        one, count = chosen[new], np.diff(np.r_[new, len(pid)])
+        edges = np.flatnonzero(np.r_[True, np.diff(pid[new]) != 0, True]) if len(new) else np.zeros(1, np.int64)
         pids, blobs = [], []
         for a, z in zip(edges.tolist(), edges[1:].tolist()):
-            at = chosen[a:z]
-            who, one, index = np.unique(owner[at] * 64 + band[at], return_index=True, return_inverse=True)
-            who //= 64
-            body = [np.array([len(who), z - a, kind], "<u4"), fp[who], sizes[who].astype("<u4"), band[at][one].astype("<i4"), spare[at][one].astype("<i4")]
-            body += [(sig[at] >> np.uint64(32)).astype("<u4"), index.astype("<u4"), place[at].astype("<u4")]
+            t, at = one[a:z], chosen[new[a] : new[z] if z < len(new) else len(pid)]
+            body = [np.array([z - a, len(at), kind], "<u4").tobytes(), fp[owner[t]].tobytes(), (sig[at] >> np.uint64(32)).astype("<u4").tobytes()]
+            body += [_column(c) for c in (sizes[owner[t]], band[t], spare[t] + 1, count[a:z], place[at])]
             if kind:
-                body.append(own[at].astype("<u4"))
-            blobs.append(b"".join(x.tobytes() for x in body))
-            pids.append(int(pid[order[a]]))
+                body.append(_column(own[at]))
+            blobs.append(b"".join(body))
+            pids.append(int(pid[new[a]]))
         if pids:
             yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int32()), pa.array(blobs, pa.binary())], names=["pid", "blob"])
 
 
-def _unpacked(x: bytes) -> tuple[np.ndarray, ...]:
-    """Of each row: signature, fingerprint, size, band, spare, place; and its own task's number if it is hot."""
+def _unpacked(x: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each text: fingerprint, size, band, spare, number of rows. Of each row: signature, place; and its own task's number if it is hot."""
     n, m, kind = (int(v) for v in np.frombuffer(x, "<u4", 3))
-    fp = np.frombuffer(x, np.uint64, n, 12)
-    size, band, spare = (np.frombuffer(x, "<i4", n, 12 + 8 * n + 4 * n * k) for k in range(3))
-    sig, index, place = (np.frombuffer(x, "<u4", m, 12 + 20 * n + 4 * m * k) for k in range(3))
-    own = np.frombuffer(x, "<u4", m, 12 + 20 * n + 12 * m) if kind else None
-    return sig, fp[index], size[index], band[index], spare[index], place, own
+    fp, sig = np.frombuffer(x, "<u8", n, 12), np.frombuffer(x, "<u4", m, 12 + 8 * n)
+    at, columns = 12 + 8 * n + 4 * m, []
+    for length in (n, n, n, n, m, m)[: 6 if kind else 5]:
+        columns.append(np.frombuffer(x, f"<u{x[at]}", length, at + 1))
+        at += 1 + x[at] * length
+    size, band, spare, count, place, *own = columns
+    return [fp, size.astype(np.int64), band.astype(np.int64), spare.astype(np.int64) - 1, count.astype(np.int64)], [sig, place, *own]
 
 
 def _fresh_signatures(b: pa.RecordBatch, n_words: int, threshold: float, seen: set[int]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
@@ -268,7 +289,7 @@ def _element_rows(b: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.n
         return fp, sizes, []
     t = np.repeat(np.arange(len(fp)), sizes)
     place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    spare = sizes - most_differing(sizes, threshold) - 1
+    spare = np.maximum(sizes - most_differing(sizes, threshold) - 1, -1)
     sig = tv.mix(np.concatenate(values) + (band[t].astype(np.uint64) + np.uint64(7)) * np.uint64(0x9FB21C651E98DF25))
     return fp, sizes, [(sig, t, place, band, spare)]
 
@@ -287,7 +308,11 @@ def _hot(rows: DataFrame, each) -> np.ndarray:
     return np.sort(np.array([r["sig"] for r in counts.orderBy(F.desc("count"), "sig").limit(HOT_MOST).collect()], np.int64).view(np.uint64))
 
 
-def _signature_blobs(docs: DataFrame, n_words: int, threshold: float, parts: int) -> DataFrame:
+def _dealt(blobs: DataFrame, split: np.ndarray) -> DataFrame:
+    return blobs.repartitionById(int(split.sum(0).max()), F.col("pid"))
+
+
+def _signature_blobs(docs: DataFrame, n_words: int, threshold: float, split: np.ndarray) -> DataFrame:
     """The blobs of whole texts. A task passes over sets that it has met."""
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
     hot = _hot(sample, lambda b, seen: _fresh_signatures(b, n_words, threshold, seen))
@@ -296,21 +321,21 @@ def _signature_blobs(docs: DataFrame, n_words: int, threshold: float, parts: int
         seen: set[int] = set()
         for b in batches:
             for fp, sizes, rows in _fresh_signatures(b, n_words, threshold, seen):
-                yield from _blobs(fp, sizes, rows, parts, hot)
+                yield from _blobs(fp, sizes, rows, split, hot)
 
-    return docs.select("text").mapInArrow(run, "pid int, blob binary").repartitionById(parts, F.col("pid"))
+    return _dealt(docs.select("text").mapInArrow(run, "pid int, blob binary"), split)
 
 
-def _element_blobs(sets: DataFrame, threshold: float, parts: int) -> DataFrame:
+def _element_blobs(sets: DataFrame, threshold: float, split: np.ndarray) -> DataFrame:
     """The blobs of (fp, band, elements) rows."""
     sample = sets.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).select("fp", "band", "elements")
     hot = _hot(sample, lambda b, seen: [_element_rows(b, threshold)])
 
     def run(batches):
         for b in batches:
-            yield from _blobs(*_element_rows(b, threshold), parts, hot)
+            yield from _blobs(*_element_rows(b, threshold), split, hot)
 
-    return sets.select("fp", "band", "elements").mapInArrow(run, "pid int, blob binary").repartitionById(parts, F.col("pid"))
+    return _dealt(sets.select("fp", "band", "elements").mapInArrow(run, "pid int, blob binary"), split)
 
 
 def _members(key: np.ndarray, fp: np.ndarray, band: np.ndarray, spare: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
@@ -328,23 +353,30 @@ def _buckets(threshold: float):
         for b in batches:
             for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if np.frombuffer(x, "<u4", 3)[2]:
-                    sig, fp, _, band, spare, place, own = _unpacked(x)
-                    kinds, index = np.unique(fp, return_inverse=True)
-                    fresh = np.array([v not in met for v in kinds.tolist()], bool)
-                    met.update(kinds.tolist())
-                    sig, fp, band, spare, place, own = (c[fresh[index]] for c in (sig, fp, band, spare, place, own))
-                    yield _members((own.astype(np.int64) << 32) + sig.astype(np.int64), fp, band, spare, place)
+                    (fp, _, band, spare, count), (sig, place, own) = _unpacked(x)
+                    fresh = np.array([v not in met for v in fp.tolist()], bool)
+                    met.update(fp.tolist())
+                    rows = np.repeat(fresh, count)
+                    fp, band, spare = (np.repeat(c[fresh], count[fresh]) for c in (fp, band, spare))
+                    yield _members((own[rows].astype(np.int64) << 32) + sig[rows].astype(np.int64), fp, band, spare, place[rows])
                 else:
                     blobs.setdefault(p, []).append(x)
         for p in list(blobs):
-            s, f, size, band, spare, place = (np.concatenate(c) for c in zip(*(_unpacked(x)[:6] for x in blobs.pop(p))))
+            texts, rows = zip(*(_unpacked(x) for x in blobs.pop(p)))
+            s = np.concatenate([r[0] for r in rows])
             order = np.argsort(s, kind="stable")
             same = s[order][1:] == s[order][:-1]
             order = order[np.r_[same, False] | np.r_[False, same]]  # what is alone in its bucket goes
-            order = order[np.lexsort((f[order], s[order]))]
-            s, f, size, band, spare, place = (c[order] for c in (s, f, size, band, spare, place))
+            s = s[order]
             if not len(s):
                 continue
+            place = np.concatenate([r[1] for r in rows])[order]
+            f, size, band, spare, count = (np.concatenate(c) for c in zip(*texts))
+            text = np.repeat(np.arange(len(f), dtype=np.uint32), count)[order]
+            del texts, rows, same, order
+            f, size, band, spare = (c[text] for c in (f, size, band, spare))
+            order = np.lexsort((f, s))
+            s, f, size, band, spare, place = (c[order] for c in (s, f, size, band, spare, place))
             new = np.r_[True, (s[1:] != s[:-1]) | (f[1:] != f[:-1])]
             s, f, size, band, spare, place = (c[new] for c in (s, f, size, band, spare, place))
             start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
@@ -599,6 +631,20 @@ def _clusters(found: DataFrame, open_sets: DataFrame) -> DataFrame:
     return written(components(star, "a", "b").select(F.col("node").alias("a"), F.col("component").alias("cluster")), "clusters")
 
 
+def _weights(groups: DataFrame, threshold: float) -> dict[int, float]:
+    """About how many signatures the sets have in each band; they are in their own, and near its upper end in the next one too."""
+    size = F.col("n_shingles")
+    own = F.floor(F.log(size.cast("double")) / F.log(F.lit(4.0)) + 1e-9).cast("int")
+    bands = groups.select(size, own.alias("own")).withColumn("next", size >= threshold * F.pow(F.lit(4.0), F.col("own") + 1))
+    sums = bands.groupBy("own").agg(F.sum(size * 1.25).alias("n"), F.sum(F.when(F.col("next"), size * 2.0)).alias("above")).collect()  # a row for each band
+    out: dict[int, float] = {}
+    for r in sums:
+        out[r.own] = out.get(r.own, 0) + r.n
+        if r.above:
+            out[r.own + 1] = out.get(r.own + 1, 0) + r.above
+    return out
+
+
 def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: float = 0.75) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row of docs (doc_id, text).
 
@@ -613,18 +659,17 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: float = 0.7
     named = nodes.where("fp is not null and doc_id is not null")
     groups = named.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     groups = written(groups, "groups")
-    total = groups.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(shuffle_partitions(spark), int(total * 1.25 // REDUCER_SIGNATURES) + 1)
+    split = split_of(_weights(groups, threshold), shuffle_partitions(spark))
     known = docs.where("doc_id is not null")
 
-    blobs = _signature_blobs(known, n_words, threshold, parts)
+    blobs = _signature_blobs(known, n_words, threshold, split)
     found = written(blobs.mapInArrow(_buckets(threshold), FOUND_SCHEMA), "buckets")
     pairs = found.where("sig is null").select("a", "b")
     open_sets = written(_unsettled(found), "unsettled")
     counts = edges = None
     if not open_sets.isEmpty():
         texts = written(_elements(known, groups, open_sets.select("fp").distinct(), n_words).join(open_sets, "fp"), "unsettled-sets")
-        again = _element_blobs(texts, threshold, parts).mapInArrow(_buckets(threshold), FOUND_SCHEMA)
+        again = _element_blobs(texts, threshold, split).mapInArrow(_buckets(threshold), FOUND_SCHEMA)
         again = written(again, "elements")
         pairs = pairs.union(again.where("sig is null").select("a", "b"))
         open_sets = written(_unsettled(again), "open")
