@@ -1,6 +1,7 @@
 """Scalars and passages against hand-made cases."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,17 @@ def test_names(spark):
     assert one(spark, T.missing_names(F.lit("What is MVE?"), F.lit("the MVE is"))) == []
 
 
+def test_jaccard_of_long_texts_in_linear_time(spark):
+    a, b = (" ".join(f"w{k}" for k in range(s, s + 30_000)) for s in (0, 15_000))
+    start = time.perf_counter()
+    t = spark.createDataFrame([(a, b)], "a string, b string")
+    assert t.select(T.jaccard_3gram("a", "b")).first()[0] == pytest.approx(14_998 / (2 * 29_998 - 14_998))
+    assert t.select(T.set_jaccard(T.word_3grams("a", True), T.word_3grams("b", True))).first()[0] == pytest.approx(14_998 / (2 * 29_998 - 14_998))
+    assert time.perf_counter() - start < 15
+    odd = spark.createDataFrame([(None, "a b c"), ("", "a b c"), ("A  b\nc", "a b c"), ("ab c d", "a bc d")], "a string, b string")
+    assert [r[0] for r in odd.select(T.jaccard_3gram("a", "b")).collect()] == [1.0, 1.0, 1.0, 0.0]
+
+
 def test_small_scalars(spark):
     assert one(spark, T.jaccard_3gram(F.lit("a b c d"), F.lit("A b c x"))) == pytest.approx(1 / 3)
     assert one(spark, T.jaccard_3gram(F.lit("a b"), F.lit("a b c"))) == 1.0

@@ -71,18 +71,29 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def jaccard_3gram(a: str | Column, b: str | Column) -> Column:
-    """Jaccard of lower-cased word 3-grams; 1 where either side has fewer than three words."""
+def word_3grams(text: str | Column, hashed: bool = False) -> Column:
+    """Distinct lower-cased word 3-grams joined by a space, which no word holds; null with fewer than three words. Hashed: 64 bits of each.
+
+    Strings and numbers are compared by hash; arrays would be compared each with each."""
+    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda x: x != "")
+    gram = lambda w, k: F.concat_ws(" ", *(F.get(w, k + j) for j in range(3)))  # noqa: E731, slice() would copy all of w for each
+    each = (lambda w, k: F.xxhash64(gram(w, k))) if hashed else gram
+    three = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda k: each(w, k)))
+    return let(words, lambda w: F.when(F.size(w) >= 3, three(w)))
+
 
-    def grams(t):
-        words = F.filter(F.split(F.lower(t), r"(?U)\s+"), lambda x: x != "")
-        three = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda k: F.slice(w, k + 1, 3)))
-        return let(words, lambda w: F.when(F.size(w) >= 3, three(w)))
+def set_jaccard(x: Column, y: Column) -> Column:
+    """Jaccard of two arrays of distinct values; 1 where either is null."""
 
     def share(x, y):
-        return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+        return let(F.size(F.array_intersect(x, y)), lambda both: both / (F.size(x) + F.size(y) - both))
 
-    return let(F.struct(grams(a).alias("x"), grams(b).alias("y")), lambda g: F.when(g.x.isNull() | g.y.isNull(), 1.0).otherwise(share(g.x, g.y)))
+    return F.when(x.isNull() | y.isNull(), 1.0).otherwise(share(x, y))
+
+
+def jaccard_3gram(a: str | Column, b: str | Column) -> Column:
+    """Jaccard of lower-cased word 3-grams; 1 where either side has fewer than three words."""
+    return let(F.struct(word_3grams(a).alias("x"), word_3grams(b).alias("y")), lambda g: set_jaccard(g.x, g.y))
 
 
 def redact(text: Column, extra: dict[str, str] | None = None) -> Column:
