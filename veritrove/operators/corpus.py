@@ -206,10 +206,14 @@ def corpus_diff(old: DataFrame, new: DataFrame, threshold: float = 0.95) -> Data
 
 
 def contradictions(band: DataFrame, texts: DataFrame, cosine: float = 0.85, lexical: float = 0.3, max_pairs: int | None = 1000) -> DataFrame:
-    """a, b, cosine, jaccard: near in meaning by vector, far in wording. texts has id, text."""
-    p = simjoin.self_pairs(band, cosine)
-    x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    j = p.join(x, "a").join(y, "b").select("a", "b", "cosine", T.jaccard_3gram("x", "y").alias("jaccard")).where(F.col("jaccard") <= lexical)
+    """a, b, cosine, jaccard: near in meaning by vector, far in wording. texts has id, text; 3-grams are compared by 64-bit hashes."""
+    from veritrove.plans.session import written
+
+    p = written(simjoin.self_pairs(band, cosine), "similar")
+    met = p.select(F.col("a").alias("id")).union(p.select("b")).distinct()
+    grams = written(texts.join(met, "id", "left_semi").select("id", T.word_3grams("text", hashed=True).alias("grams")), "grams")  # once a text, not once a pair
+    x, y = grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), grams.select(F.col("id").alias("b"), F.col("grams").alias("y"))
+    j = p.join(x, "a").join(y, "b").select("a", "b", "cosine", T.set_jaccard(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") <= lexical)
     return j if max_pairs is None else j.orderBy(F.desc("cosine"), "a", "b").limit(max_pairs)
 
 
