@@ -348,3 +348,21 @@ def test_grid_of_stripes():
 
 def retention_and_time():
     return optimise.retention(3, 6), optimise.retention(0, 0), optimise.estimate_seconds(20)
+
+
+def test_best_of_blocks_sorts_only_what_can_be_among_the_best(monkeypatch):
+    """Ties and bounds as by sorting whole rows; later blocks leave few values to sort."""
+    rng = np.random.default_rng(4)
+    full = rng.integers(-9, 10, (30, 70)).astype(float)
+    low = np.sort(full, 1)[:, -5]
+    for bound in (None, low):
+        best, at = np.full((30, 5), -np.inf), np.full((30, 5), -1)
+        for t in range(0, 70, 16):
+            simjoin.best_of(full[:, t : t + 16].copy(), t, best, at, bound)
+        assert (at == np.argsort(-full, axis=1, kind="stable")[:, :5]).all()
+    cells, real = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: cells.append(x.size) or real(x, *a, **k))
+    x, best, at = rng.normal(size=(64, 8192)), np.full((64, 5), -np.inf), np.full((64, 5), -1)
+    for t in range(0, 8192, 1024):
+        simjoin.best_of(x[:, t : t + 1024], t, best, at)
+    assert sum(cells) < x.size / 20
