@@ -249,3 +249,17 @@ def test_parts_of_names_do_not_drop_parts_of_articles():
 def test_all_articles_side_by_side():
     html = page("<article><p>First part.</p></article><article><p>Second part, which is longer.</p></article><aside><article><p>teaser</p></article></aside>")
     assert one(html) == "First part.\nSecond part, which is longer."
+
+
+def test_matching_does_not_depend_on_the_number_of_children(monkeypatch):
+    """Long lists of children get the best matching too, the same as short ones."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        x, y = ([("p", "", *[("b", "")] * int(rng.integers(3))) if rng.integers(2) else ("li", f"c{rng.integers(3)}") for _ in range(int(rng.integers(1, 14)))] for _ in range(2))
+        want = html_extract.matched(x, y, {})
+        with monkeypatch.context() as m:
+            m.setattr(html_extract, "MOST_CELLS", 0)
+            assert html_extract.matched(x, y, {}) == want
+    x = [("h1", "")] + [("p", str(k % 7)) for k in range(300)] + [("div", "x")]
+    y = [("div", "x")] + [("p", str(k % 7)) for k in range(300)] + [("h1", "")]
+    assert len(html_extract.matched(x, y, {})) == 300

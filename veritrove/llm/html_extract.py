@@ -21,12 +21,14 @@ stays where the run it stands in varies.
 from __future__ import annotations
 
 import html as entities
+import math
 import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,7 +47,7 @@ LEAST_PAGES, TEMPLATE_SHARE, VARIES = 3, 0.8, 0.5
 #: Pages of others are aligned by elements and names from the root.
 KIND_SHARE, REFERENCE_BYTES = 0.001, 1 << 16
 #: Elements are nested so deep at most; what is deeper goes to the last of them. Cells of a matching of two lists of children
-#: after equal ends are cut off; larger ones are matched in order by their first equals.
+#: after equal ends are cut off; larger ones are matched by rows, to the same result.
 MAX_DEPTH, MOST_CELLS = 200, 40_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -269,17 +271,7 @@ def matched(x: tuple | list, y: tuple | list, memo: dict) -> list[tuple[int, int
     m, n = len(x) - start - tail, len(y) - start - tail
     middle: list[tuple[int, int]] = []
     if m * n > MOST_CELLS:
-        at: dict[tuple, list[int]] = {}
-        for j in range(n - 1, -1, -1):
-            at.setdefault(y[start + j], []).append(j)
-        last = -1
-        for i in range(m):
-            places = at.get(x[start + i], [])
-            while places and places[-1] <= last:
-                places.pop()
-            if places:
-                last = places.pop()
-                middle.append((i, last))
+        middle = _many_matched(x[start : start + m], y[start : start + n], memo)
     elif m and n:
         w = [[0] * (n + 1) for _ in range(m + 1)]
         own = [[match(p, q, memo) for q in y[start : start + n]] for p in x[start : start + m]]
@@ -300,6 +292,41 @@ def matched(x: tuple | list, y: tuple | list, memo: dict) -> list[tuple[int, int
     return [(k, k) for k in range(start)] + [(start + i, start + j) for i, j in middle] + ends
 
 
+def _many_matched(x: tuple | list, y: tuple | list, memo: dict) -> list[tuple[int, int]]:
+    """The same matching by whole rows: some rows of the table are kept, and those between them made again on the way back."""
+    kinds_x, kinds_y = {}, {}
+    a = np.array([kinds_x.setdefault(c, len(kinds_x)) for c in x])
+    b = np.array([kinds_y.setdefault(c, len(kinds_y)) for c in y])
+    own = np.array([[match(p, q, memo) for q in kinds_y] for p in kinds_x], np.int64)
+    step = max(1, math.isqrt(len(x)))
+
+    def following(row: np.ndarray, i: int) -> np.ndarray:
+        return np.r_[0, np.maximum.accumulate(np.maximum(row[1:], row[:-1] + own[a[i]][b]))]
+
+    row, kept = np.zeros(len(y) + 1, np.int64), []
+    for i in range(len(x)):
+        if i % step == 0:
+            kept.append(row)
+        row = following(row, i)
+    out: list[tuple[int, int]] = []
+    j = len(y)
+    for low in range((len(x) - 1) // step * step, -1, -step):
+        rows = [kept[low // step]]
+        for i in range(low, min(low + step, len(x))):
+            rows.append(following(rows[-1], i))
+        i = len(rows) - 1
+        while i and j:
+            score = own[a[low + i - 1], b[j - 1]]
+            if score and rows[i][j] == rows[i - 1][j - 1] + score:
+                i, j = i - 1, j - 1
+                out.append((low + i, j))
+            elif rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+    return out[::-1]
+
+
 def _size(a: tuple) -> int:
     return 1 + sum(_size(x) for x in a[2:])
 
