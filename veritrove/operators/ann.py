@@ -66,11 +66,21 @@ def probes_for(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: i
     return int(np.argmax(reached >= recall)) + 1
 
 
+def best_rows(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dot products and numbers of the k best rows of y for each of x, -inf where there are fewer; few products are held at once."""
+    best, at = np.full((len(x), k), -np.inf), np.full((len(x), k), -1, np.int64)
+    for s in range(0, len(x), simjoin.BLOCK):
+        for t in range(0, len(y), simjoin.BLOCK):
+            e = s + simjoin.BLOCK
+            simjoin.best_of(x[s:e] @ y[t : t + simjoin.BLOCK].T, t, best[s:e], at[s:e])
+    return best, at
+
+
 def search_all(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, probes: int = 8, block: int = 8 * simjoin.BLOCK) -> DataFrame:
     """a, b, cosine, rank of the top k of each query (id, vec) among the rows of its nearest cells.
 
     Rows and queries of a cell are cut into parts of about `block` by the ids' hash and meet in a grid, so a large cell is spread
-    over many tasks; k rows a query leave each of them."""
+    over many tasks; k rows a query leave each of them, and BLOCK by BLOCK dot products are held at once."""
 
     def probed(batches):
         for b in batches:
@@ -96,9 +106,9 @@ def search_all(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: i
         out = {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())}
         if one.num_rows and two.num_rows:
             (i, x), (j, y) = simjoin._matrix(one), simjoin._matrix(two)
-            dots = x @ y.T
-            best = np.argsort(-dots, axis=1, kind="stable")[:, :k]  # ids ascend
-            out = {"a": i.take(pa.array(np.repeat(np.arange(len(x)), best.shape[1]))), "b": j.take(pa.array(best.ravel())), "cosine": pa.array(np.take_along_axis(dots, best, 1).ravel())}
+            best, at = best_rows(x, y, k)
+            p, c = np.nonzero(np.isfinite(best))
+            out = {"a": i.take(pa.array(p)), "b": j.take(pa.array(at[p, c])), "cosine": pa.array(best[p, c])}
         return pa.table(out)
 
     found = q.groupBy("cell", "g", "h").cogroup(r.groupBy("cell", "g", "h")).applyInArrow(run, "a long, b long, cosine double")
