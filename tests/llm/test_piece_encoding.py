@@ -56,6 +56,36 @@ def test_whole_texts_give_what_units_give():
     assert all(m.merged(p) == [p] for p in r.sample(sorted(m.valid), 500))
 
 
+def test_units_end_before_other_characters_and_at_line_ends(library):
+    """This model has entries from other characters to letters (.com), but none back, so a word is one unit whatever follows it."""
+    m, r = PieceModel.of(PATH), random.Random(10)
+    assert m.units("heat.\nThe heat,%% x.com  2²a_b\n\n") == ["▁heat", ".", "\n", "The", "▁heat", ",%%", "▁x", ".com", "▁▁2²a", "_b", "\n\n"]
+    words = ["heat", "The", ".com", "über", "don't", "x²", "漢字", "0", "_", "▁", "é́", "🙂"]
+    for _ in range(2000):
+        text = "".join(r.choice(words) + r.choice(["", "", " ", ".", ",", "\n", ".\n", "%%%", "  "]) for _ in range(r.randint(1, 9)))
+        ids = library.encode(text, add_eos=True)
+        assert m.encode(text) == ids and m.decode(ids) == library.decode(ids)
+
+
+def test_characters_of_entries_that_are_none_alone(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(PATH, "rb") as f:
+        model.ParseFromString(f.read())
+    for p in model.pieces:
+        if p.piece in "qé":  # qu, é and others stay
+            p.piece = {"q": "\ue000", "é": "\ue001"}[p.piece]
+    (tmp_path / "m.model").write_bytes(model.SerializeToString())
+    m, r = PieceModel(str(tmp_path / "m.model")), random.Random(11)
+    library = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
+    assert sorted(m.part) == ["q", "é"]
+    for _ in range(1000):
+        text = "".join(r.choice(["q", "é", "qu", "e", "s", "t", " ", "🙂", "漢", "."]) for _ in range(r.randint(1, 20)))
+        ids = library.encode(text, add_eos=True)
+        assert m.encode(text) == ids and m.decode(ids) == library.decode(ids)
+
+
 def test_rows(spark, library, monkeypatch):
     monkeypatch.setattr(piece_encoding, "KEPT_UNITS", 50)  # what is kept doesn't matter
     texts = [*ODD, *pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()[:60]]

@@ -9,9 +9,10 @@ run), checked against the token before; if it doesn't fit, its next shorter pref
 in a bitfield as failed and the token before it is shortened. A place is reached with one certain token before it (the
 encoding of a prefix is unique as well), so a failed place never has to be tried again and the work is linear.
 
-Where no entry crosses from a word to the next space or from letters to other characters (checked over the whole
-vocabulary when the model is loaded; else coarser units, at last whole texts, are taken), no merge does either, and texts
-are encoded by such units; what a unit gives is kept by the worker. Characters that are no entry go by their bytes.
+Where no entry crosses from a word to the next space, from letters to other characters or into or out of line ends
+(checked over the whole vocabulary when the model is loaded; else coarser units, at last whole texts, are taken), no merge
+does either, and texts are encoded by such units; what a unit gives is kept by the worker. Characters that are no entry go
+by their bytes. The search runs on numbers: ids, then characters that only longer entries have, then one for all others.
 """
 
 from __future__ import annotations
@@ -64,13 +65,21 @@ class PieceModel:
                 self.sound.append(" ⁇ " if i == self.unknown else "" if special[i] else p.replace(SPACE, " "))
         #: Entries that their own characters merge to; the others never come out.
         self.valid = {p for p in self.score if len(p) == 1 or self.merged(p) == [p]}
+        parts = sorted({c for p in self.score for c in p} - self.score.keys())
+        self.part = {c: size + k for k, c in enumerate(parts)}
+        #: The number of characters that are in no entry, how many numbers there are, and of each number its text and length.
+        self.other, self.numbers = size + len(parts), size + len(parts) + 1
+        self.text = [*self.pieces, *parts, ""]
+        self.length = [*map(len, self.text[:-1]), 1]
+        #: The number of the longest entry that a number's text begins with and isn't (a single character always counts), or -1.
+        self.shorter = [self.prefix(p) if p in self.valid else -1 for p in self.text]
         self.backward = ahocorasick.Automaton()
         for p in self.valid:
-            self.backward.add_word(p[::-1], len(p))
+            self.backward.add_word(p[::-1], self.id[p])
         self.backward.make_automaton()
         self.pattern = next((p for p in _UNITS if all(len(p.findall(x)) == 1 for x in self.score)), None)
-        self._prefix: dict[str, int] = {}
-        self._fit: dict[tuple[str, str], bool] = {}
+        self._fit: dict[int, bool] = {}
+        self.decimal = [*map(str, range(size))]
         self.kept = _Units(self)
         probe = "ab  ▁c\n漢 ﬁ"
         if sp.encode(probe, add_eos=True) != self.encode(probe):
@@ -95,68 +104,79 @@ class PieceModel:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fits(self, a: str, b: str) -> bool:
-        """Whether a and b stay apart when their characters are merged anew; nothing stands for the text's start."""
-        known = self._fit.get((a, b))
+    def fits(self, a: int, b: int) -> bool:
+        """Whether the texts of a and b stay apart when their characters are merged anew; -1 stands for the text's start."""
+        key = a * self.numbers + b
+        known = self._fit.get(key)
         if known is None:
             if len(self._fit) >= KEPT_PAIRS:
                 self._fit.clear()
-            known = self._fit[a, b] = not a or self.merged(a + b) == [a, b]
+            x, y = self.text[a], self.text[b]
+            known = self._fit[key] = a < 0 or a == self.other or b == self.other or self.merged(x + y) == [x, y]
         return known
 
-    def shorter(self, piece: str) -> int:
-        """The length of the longest entry that piece begins with and isn't; a single character counts as one."""
-        n = self._prefix.get(piece)
-        if n is None:
-            n = next((k for k in range(len(piece) - 1, 1, -1) if piece[:k] in self.valid), min(1, len(piece) - 1))
-            if piece in self.valid:  # not what is no entry, of which there is no end
-                self._prefix[piece] = n
-        return n
+    def prefix(self, piece: str) -> int:
+        n = next((k for k in range(len(piece) - 1, 1, -1) if piece[:k] in self.valid), min(1, len(piece) - 1))
+        return -1 if not n else self.id[piece[:n]] if piece[:n] in self.valid else self.part[piece[:n]]
 
     def longest(self, unit: str) -> list[int]:
-        """For each place the length of the longest entry that begins there, or 1."""
-        n = len(unit)
-        out = [1] * n
-        for end, size in self.backward.iter(unit[::-1]):
-            if size > out[n - 1 - end]:
-                out[n - 1 - end] = size
+        """For each place the number of the longest entry that begins there, or of its character; -1 for the end."""
+        last, length = len(unit) - 1, self.length
+        out = [self.part.get(c, self.other) for c in unit] if self.part else [self.other] * len(unit)
+        out.append(-1)
+        at, most = -1, 0
+        for end, k in self.backward.iter(unit[::-1]):
+            if end != at or length[k] > most:
+                at, most = end, length[k]
+                out[last - end] = k
         return out
 
-    def tokens(self, unit: str) -> list[str]:
-        """The merge encoding of unit: entries, and characters that are no entry."""
-        n, longest, fit = len(unit), self.longest(unit), self._fit
-        failed = bytearray((n >> 3) + 1)
-        out: list[str] = []
-        before, at, size = "", 0, longest[0] if n else 0
+    def found(self, unit: str) -> list[int]:
+        """The merge encoding of unit in numbers: entries, and characters that are no entry."""
+        n, longest = len(unit), self.longest(unit)
+        length, shorter, fit, numbers = self.length, self.shorter, self._fit, self.numbers
+        failed = bytearray(n + 1)
+        out: list[int] = []
+        before, at, k = -1, 0, longest[0]
         while at < n:
-            while size:
-                end = at + size
-                piece = unit[at:end]
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    known = fit.get((before, piece))
-                    if known or known is None and self.fits(before, piece):
+            while k >= 0:
+                end = at + length[k]
+                if not failed[end]:
+                    known = fit.get(before * numbers + k)
+                    if known or known is None and self.fits(before, k):
                         break
-                size = self.shorter(piece)
-            if size:
-                out.append(piece)
-                before, at = piece, end
-                size = longest[at] if at < n else 0
+                k = shorter[k]
+            if k >= 0:
+                out.append(k)
+                before, at, k = k, end, longest[end]
             else:
-                failed[at >> 3] |= 1 << (at & 7)
+                failed[at] = 1
                 out.pop()
-                at -= len(before)
-                size = self.shorter(before)
-                before = out[-1] if out else ""
+                at -= length[before]
+                k = shorter[before]
+                before = out[-1] if out else -1
+        return out
+
+    def tokens(self, unit: str) -> list[str]:
+        """The merge encoding of unit: entries, and characters that are no entry."""
+        out, at = [], 0
+        for k in self.found(unit):
+            out.append(unit[at : at + self.length[k]])
+            at += self.length[k]
         return out
 
     def unit_ids(self, unit: str) -> list[int]:
+        found = self.found(unit)
+        if not found or max(found) < len(self.pieces):
+            return found
         ids: list[int] = []
-        for t in self.tokens(unit):
-            i = self.id.get(t)
-            if i is None:
-                ids += [self.byte[b] for b in t.encode()]
+        at = 0
+        for k in found:
+            if k < len(self.pieces):
+                ids.append(k)
             else:
-                ids.append(i)
+                ids += [self.byte[b] for b in unit[at].encode()]
+            at += self.length[k]
         return ids
 
     def units(self, text: str) -> list[str]:
@@ -171,9 +191,12 @@ class PieceModel:
 
     def sounds(self, ids: Iterable[int]) -> str:
         """What ids stand for, one space at the start not yet taken off."""
-        out, run = [], bytearray()
-        for i in ids:
-            x = self.sound[i]
+        parts = [self.sound[i] for i in ids]
+        try:
+            return "".join(parts)
+        except TypeError:  # there are bytes among them
+            out, run = [], bytearray()
+        for x in parts:
             if isinstance(x, int):
                 run.append(x)
                 continue
@@ -191,14 +214,16 @@ class PieceModel:
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """The number of ids, and SHA-256 of the ids and of the decoded text, unit by unit."""
-        found = [*map(self.kept.__getitem__, self.units(text))]
-        ids = " ".join([*(x for x, _ in found), str(self.end)])
-        decoded = "".join([x for _, x in found])[1:]
+        ids, decoded = zip(*map(self.kept.__getitem__, self.units(text))) if text else ((), ())
+        ids = " ".join([*ids, self.decimal[self.end]])
+        decoded = "".join(decoded)[1:]
         return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
-#: Units of a text, fine ones first: spaces and the letters after them, letters, other characters; spaces and what follows.
-_UNITS = [re.compile(p) for p in (r"▁*[^\W\d_¹²³]+|▁+|(?:[^▁\w]|[\d_¹²³])+", r"▁+[^▁]*|[^▁]+")]
+#: Units of a text, fine ones first: spaces and the letters after them, letters, other characters; spaces, other characters and
+#: the letters after them, but line ends; spaces and what follows. Where they are cut depends on the two characters beside the cut alone.
+_OTHER, _LETTERS = r"(?:[^▁\n\w]|[\d_¹²³])", r"[^\W\d_¹²³]+"
+_UNITS = [re.compile(p) for p in (r"▁*[^\W\d_¹²³]+|▁+|(?:[^▁\w]|[\d_¹²³])+", rf"▁*{_OTHER}*{_LETTERS}|▁*{_OTHER}+|▁+|\n+", r"▁+[^▁]*|[^▁]+")]
 
 
 class _Units(dict):
@@ -210,7 +235,7 @@ class _Units(dict):
 
     def __missing__(self, unit: str) -> tuple[str, str]:
         ids = self.model.unit_ids(unit)
-        out = " ".join(map(str, ids)), self.model.sounds(ids)
+        out = " ".join([self.model.decimal[i] for i in ids]), self.model.sounds(ids)
         if len(unit) <= KEPT_LENGTH:
             if len(self) >= KEPT_UNITS:
                 self.clear()
