@@ -1,5 +1,7 @@
 """Graph index: its parts against brute force, recall, round trip, checks, dispatch."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +38,20 @@ def test_near_rows_and_links():
     assert graph.linked(x[:1], 16).max() == -1 and graph.linked(x[:0], 16).shape == (0, 16)
 
 
+def test_links_are_chosen_in_blocks():
+    """The same links whatever the block, in little more memory than near rows and links take."""
+    x = np.concatenate([clustered(700, 8, 10), np.repeat(clustered(3, 8, 11), 60, 0)])
+    links = graph.linked(x, 16)
+    for block in (1, 97, 880):
+        assert (graph.linked(x, 16, block=block) == links).all()
+    x = clustered(6000, 16, 12)
+    tracemalloc.start()
+    links = graph.linked(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 36 * links.nbytes
+
+
 @pytest.mark.parametrize("x", [clustered(3000, 16, 2), np.repeat(clustered(40, 8, 3), 30, 0), clustered(7, 4, 4)])
 def test_beam_search_recall(x):
     q = clustered(60, x.shape[1], 5)
