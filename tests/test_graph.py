@@ -103,6 +103,38 @@ def test_dispatch_and_odd_rows(spark, monkeypatch):
     graph.check(empty, 0, 8)
 
 
+def test_retrieve_by_size_is_its_sql(spark, tmp_path, monkeypatch):
+    """The query by graphs, which miss some rows of vectors that don't cluster, against the SQL; copies tie."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    x = np.random.default_rng(13).normal(size=(3000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[2900:] = x[:100]
+    frame(spark, x).select(F.col("id").alias("vec_id"), F.col("vec").alias("embedding"), F.lit(0).alias("label")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(graph, "LEAST_ROWS", 1000)
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(entry.oracle_sql()["retrieve_by_size"]).fetchall()
+    got = [tuple(r) for r in entry.queries()["retrieve_by_size"](spark, str(tmp_path)).collect()]
+    assert len(got) == 1500 and sorted(got) == sorted(want)
+
+
+def test_completed_whatever_was_found(spark):
+    """Few, wrong or no rows found, long queries and vectors of doubles: the k nearest all the same."""
+    x = clustered(400, 8, 14).astype(float)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    band = spark.createDataFrame(rows, "id long, vec array<double>")
+    queries = spark.createDataFrame([(i, [37 * v for v in r]) for i, r in rows[:30]], band.schema)
+    want = sorted((r.a, r.b, r["rank"]) for r in simjoin.nearest(queries, band, 4).collect())
+    dots = 37 * x[:30] @ x.T
+    for n in (0, 4, 400):  # found among so many of the rows
+        near = np.argsort(-dots[:, :n], axis=1)[:, :4]
+        found = spark.createDataFrame([(a, int(b), float(dots[a, b]), k + 1) for a in range(25) for k, b in enumerate(near[a])], "a long, b long, cosine double, rank long")
+        assert sorted((r.a, r.b, r["rank"]) for r in graph.completed(found, queries, band, 4).collect()) == want
+
+
 def test_model_with_graphs(spark, tmp_path, monkeypatch):
     from veritrove.sources import model as M
 
