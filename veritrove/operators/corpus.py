@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veritrove.functions import text as T
 from veritrove.functions.vectors import dot, l2_normalize
-from veritrove.operators import search, simjoin
+from veritrove.operators import overlap, search, simjoin
 from veritrove.operators.cluster import components
 
 CITATION = ["passage_idx", "source_file", "char_offset", "char_length", "content_hash", "passage_id"]
@@ -211,9 +211,9 @@ def contradictions(band: DataFrame, texts: DataFrame, cosine: float = 0.85, lexi
 
     p = written(simjoin.self_pairs(band, cosine), "similar")
     met = p.select(F.col("a").alias("id")).union(p.select("b")).distinct()
-    grams = written(texts.join(met, "id", "left_semi").select("id", T.word_3grams("text", hashed=True).alias("grams")), "grams")  # once a text, not once a pair
-    x, y = grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), grams.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    j = p.join(x, "a").join(y, "b").select("a", "b", "cosine", T.set_jaccard(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") <= lexical)
+    # once a text, not once a pair
+    grams = written(texts.join(met, "id", "left_semi").select(F.monotonically_increasing_id().alias("set"), "id", T.word_3grams("text", hashed=True).alias("items")), "grams")
+    j = overlap.jaccards(p, grams, lexical)
     return j if max_pairs is None else j.orderBy(F.desc("cosine"), "a", "b").limit(max_pairs)
 
 
