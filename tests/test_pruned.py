@@ -79,6 +79,21 @@ def test_joins_take_the_pruned_way(spark, monkeypatch):
     assert {(r.a, r.b) for r in simjoin.pairs(d, d, 0.9).collect()} == brute(x, x, 0.9)
 
 
+def test_joins_that_rule_out_little_take_the_plain_grid(spark, monkeypatch):
+    """Vectors without clusters go to few cells each, not to one for each pivot."""
+    x = np.random.default_rng(9).normal(size=(300, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d, sent = frame(spark, x), []
+    cells = simjoin._cells
+    monkeypatch.setattr(simjoin, "PRUNED_PAIRS", 1)
+    monkeypatch.setattr(simjoin, "_cells", lambda *args: sent.append(args[5]) or cells(*args))
+    assert {(r.a, r.b) for r in simjoin.self_pairs(d, 0.4).collect()} == brute(x, x, 0.4, True)
+    assert {(r.a, r.b) for r in simjoin.pairs(d, d, 0.4).collect()} == brute(x, x, 0.4)
+    assert sent == [(1, 1), (1, 1)]
+    simjoin.self_pairs(frame(spark, clustered(300, 8, 6, 0.05, 20)), 0.9).collect()
+    assert len(sent) == 2  # clusters are still told apart
+
+
 def test_nearest_in_rounds(spark, monkeypatch):
     assert simjoin.rounds_of(1500, 1500, 1000) == [(0, 1), (1, 3), (3, 9), (9, 27), (27, 81), (81, 243), (243, 729), (729, 1500)]
     assert simjoin.rounds_of(32, 32, 1000) == [(0, 32)] and simjoin.rounds_of(1, 1, 8) == [(0, 1)]
